@@ -23,8 +23,32 @@ def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.query(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm import quality_rules
+
+    return quality_rules.query(table(spark, sf_dir, "documents"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm import langid
+
+    return langid.query(table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm import license_scan
+
+    return license_scan.query(table(spark, sf_dir, "documents"))
+
+
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm import html_extract
+
+    return html_extract.query(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op7_piece_bpe)}
+    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_html_extract, op6_langid, op7_piece_bpe, op8_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
