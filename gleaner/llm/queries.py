@@ -47,8 +47,20 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.query(table(spark, sf_dir, "pages"))
 
 
+def op5_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm import sketch
+
+    return sketch.query(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm import mixing
+
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_html_extract, op6_langid, op7_piece_bpe, op8_license_scan)}
+    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_html_extract, op5_sketch, op6_langid, op7_piece_bpe, op8_license_scan, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
