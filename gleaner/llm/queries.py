@@ -59,8 +59,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm import kneser_ney
+
+    return kneser_ney.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op3_quality_rules, op4_html_extract, op5_sketch, op6_langid, op7_piece_bpe, op8_license_scan, op10_mixing)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_simhash, op3_quality_rules, op4_html_extract, op5_sketch, op6_langid, op7_piece_bpe, op8_license_scan, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
