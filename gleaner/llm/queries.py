@@ -65,8 +65,14 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.llm import suffix_dedup
+
+    return suffix_dedup.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_kneser_ney, op2_simhash, op3_quality_rules, op4_html_extract, op5_sketch, op6_langid, op7_piece_bpe, op8_license_scan, op10_mixing)}
+    return {f.__name__: f for f in (op1_kneser_ney, op2_simhash, op3_quality_rules, op4_html_extract, op5_sketch, op6_langid, op7_piece_bpe, op8_license_scan, op9_suffix_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
