@@ -1,4 +1,8 @@
-"""A training-data pipeline of five stages over `documents`."""
+"""A training-data pipeline of five stages over `documents`.
+
+Each stage works on all that the one before kept. All but the last return the columns of
+`documents`; the last returns one row per document with its piece ids' digests.
+"""
 
 from __future__ import annotations
 
@@ -6,9 +10,37 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import common
+from gleaner.llm import common, langid, mixing, piece_bpe, simhash, suffix_dedup
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language (operator 6)."""
+    return langid.keep_identified(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each SimHash component (operator 2)."""
+    return simhash.keep_one_per_group(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out passages of 50 bytes and more that an earlier document has (operator 9)."""
+    return suffix_dedup.trimmed(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats documents so that sources meet their target weights; each document is used at least once (operator 10)."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes every document to piece ids and decodes it again (operator 7)."""
+    return piece_bpe.query(docs)
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix_sources", mix_sources), ("encode", encode)]
 
-STAGES: list = []
+#: SQL expresses none of the stages' fingerprints, automata and tables; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
