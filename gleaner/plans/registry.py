@@ -1,10 +1,541 @@
-"""Named queries over the driver's tables, each with the SQL that gives the same rows."""
+"""Named queries over the driver's tables, each with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gleaner.functions import columns as X
+from gleaner.functions import constants as C
+from gleaner.operators import dedup, enrich, extract, filters, mining, score, search, select, state, tags
+from gleaner.plans import sql as S
+from gleaner.sources.views import ARTICLES, NOW, TAGGED, articles, load, tagged
+from gleaner.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+T = "substr(split_part(text, chr(10), 1), 1, 80)"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def docs(spark, sf):
+    """Documents with a title and their id as order."""
+    d = load(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("ord"), F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(80)).alias("title"), F.col("text").alias("content"), "lang", "source")
+
+
+def pages(spark, sf):
+    return load(spark, sf, "pages").select(F.col("page_id").alias("ord"), "url")
+
+
+# -- URLs and text ---------------------------------------------------------------------------------------------------
+
+@query(f"SELECT page_id, {S.norm_url('url')} AS url_norm FROM pages")
+def normalize_url(spark, sf):
+    return load(spark, sf, "pages").select("page_id", X.normalize_url(F.col("url")).alias("url_norm"))
+
+
+@query(f"SELECT page_id, {S.domain('url')} AS domain FROM pages")
+def normalized_domain(spark, sf):
+    return load(spark, sf, "pages").select("page_id", X.normalized_domain(F.col("url")).alias("domain"))
+
+
+@query(f"SELECT {S.domain('url')} AS domain, count(*) AS n FROM pages GROUP BY 1")
+def domain_counts(spark, sf):
+    return pages(spark, sf).groupBy(X.normalized_domain(F.col("url")).alias("domain")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, {S.url_reason('url')} AS reason FROM pages")
+def url_validity_reason(spark, sf):
+    return load(spark, sf, "pages").select("page_id", X.url_reason(F.col("url")).alias("reason"))
+
+
+@query(f"SELECT doc_id, {S.norm_title(T)} AS title_norm FROM documents")
+def normalize_title(spark, sf):
+    return docs(spark, sf).select(F.col("ord").alias("doc_id"), X.normalize_title(F.col("title")).alias("title_norm"))
+
+
+@query(f"SELECT doc_id, {S.content_hash('text')} AS content_hash FROM documents")
+def content_hash(spark, sf):
+    return docs(spark, sf).select(F.col("ord").alias("doc_id"), X.content_hash(F.col("content")).alias("content_hash"))
+
+
+@query(f"SELECT doc_id, {S.match_key(T)} AS match_key FROM documents")
+def match_key(spark, sf):
+    return docs(spark, sf).select(F.col("ord").alias("doc_id"), X.match_key(F.col("title")).alias("match_key"))
+
+
+# -- filters ---------------------------------------------------------------------------------------------------------
+
+@query(f"SELECT doc_id FROM documents WHERE {S.count_in(f'lower({T})', C.TITLE_PHRASES)} = 0")
+def title_doc_type_filter(spark, sf):
+    return docs(spark, sf).where(~filters.title_is_doc_type(F.col("title"))).select(F.col("ord").alias("doc_id"))
+
+
+@query(f"WITH {ARTICLES} SELECT ord FROM articles WHERE NOT {S.any_whole_word("title || ' ' || url", C.TOPICS)}")
+def blacklist_topic_filter(spark, sf):
+    return articles(spark, sf).where(~filters.off_topic(F.col("title"), F.col("url"))).select("ord")
+
+
+@query(f"SELECT doc_id, {S.source_type_reason(T, 'text')} AS reason FROM documents")
+def source_type_reason(spark, sf):
+    return docs(spark, sf).select(F.col("ord").alias("doc_id"), filters.source_type_reason(F.col("title"), F.col("content")).alias("reason"))
+
+
+@query(f"SELECT doc_id, {S.content_reason('text')} AS reason FROM documents")
+def content_quality_reason(spark, sf):
+    return docs(spark, sf).select(F.col("ord").alias("doc_id"), filters.content_reason(F.col("content")).alias("reason"))
+
+
+@query(f"SELECT doc_id, {S.summary_ok('substr(text, 1, 200)', T)} AS ok FROM documents")
+def summary_quality(spark, sf):
+    return docs(spark, sf).select(F.col("ord").alias("doc_id"), filters.summary_ok(F.left("content", F.lit(200)), F.col("title")).alias("ok"))
+
+
+_REASON = (f"(CASE WHEN {S.url_reason('url')} <> 'ok' THEN 'invalid_url' WHEN {S.count_in('lower(title)', C.TITLE_PHRASES)} > 0 THEN 'invalid_source_type' "
+           f"WHEN {S.any_whole_word("title || ' ' || url", C.TOPICS)} THEN 'failed_relevance_validation' WHEN {S.source_type_reason('title', 'content')} <> 'ok' THEN 'invalid_source_type' "
+           f"WHEN {S.content_reason('content')} <> 'ok' THEN 'low_quality_content' ELSE 'accepted_articles' END)")
+
+
+@query(f"WITH {ARTICLES} SELECT {_REASON} AS reason, count(*) AS n FROM articles GROUP BY 1")
+def rejection_stats(spark, sf):
+    return articles(spark, sf).groupBy(filters.reject_reason().alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT doc_id, {S.whole_word('text', 'the')} AS w_the, {S.whole_word('text', 'a.i.')} AS w_ai, {S.whole_word('text', 'él')} AS w_el FROM documents")
+def whole_word_match(spark, sf):
+    c = F.col("content")
+    return docs(spark, sf).select(F.col("ord").alias("doc_id"), X.whole_word(c, "the").alias("w_the"), X.whole_word(c, "a.i.").alias("w_ai"), X.whole_word(c, "él").alias("w_el"))
+
+
+_KEYS = ["ther", "Die der", "hation"]
+
+
+@query(f"WITH {TAGGED} SELECT ord FROM tagged WHERE " + " OR ".join(
+    f"(list_contains(list_transform(tags, lambda t: {S.match_key('t')}), {S.lit(k)}) OR contains({S.match_key('title')}, {S.lit(k)}) OR contains({S.match_key('content')}, {S.lit(k)}))" for k in ("ther", "dieder", "hation")))
+def keyword_or_search(spark, sf):
+    return filters.keyword_search(tagged(spark, sf), ", ".join(_KEYS)).select("ord")
+
+
+_PRIORITY = (*C.PRIORITY, "this", "with", "thaner")
+
+
+@query(f"SELECT doc_id, least({S.count_in(f"lower({T} || '  ' || substr(text, 1, 1000))", _PRIORITY)} * 20.0, 100.0)::DOUBLE AS score FROM documents")
+def relevance_rule_score(spark, sf):
+    return docs(spark, sf).select(F.col("ord").alias("doc_id"), filters.relevance_score(F.col("title"), F.lit(""), F.col("content"), "This with thaner").alias("score"))
+
+
+_SYN = "(CASE k WHEN 'artificial intelligence' THEN ['artificial intelligence', 'ai', 'a.i.'] WHEN 'electric vehicles' THEN ['electric vehicles', 'electric vehicle', 'ev', 'evs'] WHEN 'machine learning' THEN ['machine learning', 'ml'] ELSE [k] END)"
+
+
+@query(f"SELECT conv_id, turn, flatten(list_transform(list_filter(list_transform(string_split(CASE WHEN turn % 2 = 0 THEN ' AI, Machine Learning ,' ELSE 'electric vehicles,' || role END, ','), lambda x: lower(trim(x))), lambda x: x <> ''), lambda k: {_SYN})) AS keys FROM conversations")
+def synonym_expansion(spark, sf):
+    c = load(spark, sf, "conversations")
+    kw = F.when(F.col("turn") % 2 == 0, " AI, Machine Learning ,").otherwise(F.concat(F.lit("electric vehicles,"), F.col("role")))
+    return c.select("conv_id", "turn", X.expand_column(kw).alias("keys"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains(lower({T}), 'ther') OR contains(lower({T}), 'ung')")
+def phrase_substring_semijoin(spark, sf):
+    phrases = X.words(["ther", "ung"])
+    return docs(spark, sf).where(F.exists(phrases, lambda p: F.contains(F.lower("title"), p))).select(F.col("ord").alias("doc_id"))
+
+
+# -- selection -------------------------------------------------------------------------------------------------------
+
+@query(f"SELECT min(page_id) AS ord, {S.norm_url('url')} AS url_norm FROM pages GROUP BY 2")
+def first_wins_url(spark, sf):
+    return select.first_wins(pages(spark, sf).select("ord", X.normalize_url(F.col("url")).alias("url_norm")), "url_norm")
+
+
+_RANKED = f"""r AS (SELECT page_id AS ord, url, {S.domain('url')} AS domain FROM pages), k AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ord) AS rn FROM r)"""
+
+
+@query(f"WITH {_RANKED} SELECT ord, url, domain, CASE WHEN domain <> '' AND rn = 1 AND domain NOT IN ('example.com') THEN 0 WHEN domain <> '' AND rn = 1 THEN 1 ELSE 2 END::INT AS phase FROM k WHERE {S.url_reason('url')} = 'ok' ORDER BY phase, ord LIMIT 20"
+       .replace("FROM pages), k", f"FROM pages WHERE {S.url_reason('url')} = 'ok'), k").replace(f"FROM k WHERE {S.url_reason('url')} = 'ok'", "FROM k"))
+def diverse_select(spark, sf):
+    ok = pages(spark, sf).where(X.url_reason(F.col("url")) == "ok")
+    return select.diverse(ok, 20, ("example.com",)).select("ord", "url", "domain", "phase")
+
+
+@query(f"WITH {_RANKED} SELECT ord, domain, rn AS domain_rank FROM k WHERE rn <= 3 ORDER BY ord LIMIT 15")
+def domain_cap3_top15(spark, sf):
+    return select.capped_by_domain(pages(spark, sf)).select("ord", "domain", "domain_rank")
+
+
+@query(f"WITH {_RANKED} SELECT ord, CASE WHEN domain <> '' AND rn = 1 THEN 0.3 ELSE 0.0 END::DOUBLE AS bonus FROM k")
+def diversity_bonus(spark, sf):
+    return select.diversity_bonus(pages(spark, sf)).select("ord", F.col("bonus").cast("double").alias("bonus"))
+
+
+@query(f"WITH {ARTICLES}, k AS (SELECT ord, lang, row_number() OVER (PARTITION BY lang ORDER BY ord) AS topic_rank FROM articles) SELECT ord, lang, topic_rank FROM k WHERE topic_rank <= 25")
+def topic_quota(spark, sf):
+    a = articles(spark, sf).withColumn("topic_idx", F.lit(0))
+    return select.topic_quota(a, 100, 4, "lang").select("ord", "lang", "topic_rank")
+
+
+@query(f"WITH {ARTICLES}, k AS (SELECT ord, lang, row_number() OVER (PARTITION BY lang ORDER BY ord) AS round FROM articles) SELECT ord, lang, round FROM k WHERE round <= 5 ORDER BY round, lang LIMIT 5")
+def pinned_round_robin(spark, sf):
+    return select.round_robin(articles(spark, sf), "lang", "lang").select("ord", "lang", "round")
+
+
+@query(f"WITH {_RANKED} SELECT ord, CASE WHEN rn = 1 THEN 0 ELSE 1 END::INT AS pass FROM k ORDER BY pass, ord LIMIT 50")
+def target_two_pass(spark, sf):
+    return select.two_pass(pages(spark, sf), 50).select("ord", "pass")
+
+
+@query(f"WITH {ARTICLES} SELECT ord, published_at FROM articles ORDER BY published_at DESC, ord LIMIT 50")
+def string_date_sort(spark, sf):
+    return select.page(articles(spark, sf), [F.desc("published_at"), F.asc("ord")], 0, 50).select("ord", "published_at")
+
+
+@query(f"WITH {ARTICLES} SELECT ord, title FROM articles ORDER BY lower(title), ord LIMIT 10 OFFSET 20")
+def paginate(spark, sf):
+    return select.page(articles(spark, sf), [F.lower("title"), F.col("ord")], 20, 10).select("ord", "title")
+
+
+# -- scores ----------------------------------------------------------------------------------------------------------
+
+_REC = f"(1.0 / (1.0 + greatest(0.0::DOUBLE, (epoch(TIMESTAMP '{NOW}') - epoch(date_trunc('second', published_ts))) / 86400.0)))"
+
+
+@query(f"WITH {ARTICLES} SELECT ord, round({_REC}, 6)::DOUBLE AS recency FROM articles")
+def recency_score(spark, sf):
+    return articles(spark, sf).select("ord", F.round(score.recency(F.col("published_at"), NOW), 6).alias("recency"))
+
+
+_KW = "the, this, die"
+_MATCH = " + ".join(f"(CASE WHEN {S.whole_word('title', k)} THEN 2.0 ELSE 0.0 END + CASE WHEN {S.whole_word('content', k)} THEN 0.5 ELSE 0.0 END)" for k in X.expand(_KW))
+
+
+@query(f"WITH {ARTICLES}, k AS (SELECT *, row_number() OVER (PARTITION BY {S.domain('url')} ORDER BY ord) AS rn, {S.domain('url')} AS domain FROM articles) SELECT ord, round({_REC} + {_MATCH} + CASE WHEN domain <> '' AND rn = 1 THEN 0.3 ELSE 0.0 END, 6)::DOUBLE AS score FROM k")
+def article_score(spark, sf):
+    a = select.diversity_bonus(articles(spark, sf))
+    total = score.recency(F.col("published_at"), NOW) + score.keyword_match(_KW, F.col("title"), F.col("content")) + F.col("bonus").cast("double")
+    return a.select("ord", F.round(total, 6).alias("score"))
+
+
+@query(f"WITH {ARTICLES} SELECT ord, round(CASE WHEN ord % 7 = 0 THEN 1e6 ELSE 0 END + CASE WHEN contains(url, '-mock.com') THEN 0 ELSE 1e4 END + 0.1 * length(content) + 0.5 * length(title), 3)::DOUBLE AS quality FROM articles")
+def quality_score(spark, sf):
+    q = score.quality(F.col("ord") % 7 == 0, F.col("url"), F.col("content"), F.col("title"), F.lit(0.0))
+    return articles(spark, sf).select("ord", F.round(q, 3).alias("quality"))
+
+
+# -- deduplication ---------------------------------------------------------------------------------------------------
+
+@query(f"SELECT min(page_id) AS ord, sha256({S.norm_url('url')}) AS url_hash FROM pages GROUP BY 2")
+def dedup_url_hash(spark, sf):
+    p = pages(spark, sf).withColumn("url_hash", X.hash_of(X.normalize_url(F.col("url"))))
+    return dedup.by_key(p, F.col("url_hash")).select("ord", "url_hash")
+
+
+@query(f"SELECT min(doc_id) AS ord FROM documents WHERE {S.norm_title(T)} <> '' GROUP BY {S.norm_title(T)} UNION ALL SELECT doc_id FROM documents WHERE {S.norm_title(T)} = ''")
+def dedup_title_hash(spark, sf):
+    return dedup.by_key(docs(spark, sf), X.hash_of(X.normalize_title(F.col("title")))).select("ord")
+
+
+@query(f"SELECT min(doc_id) AS ord FROM documents WHERE {S.content_hash('text')} <> '' GROUP BY {S.content_hash('text')} UNION ALL SELECT doc_id FROM documents WHERE {S.content_hash('text')} = ''")
+def dedup_content_hash(spark, sf):
+    return dedup.by_key(docs(spark, sf).select("ord", X.content_hash(F.col("content")).alias("h")), F.col("h")).select("ord")
+
+
+@query(f"""WITH {ARTICLES}, n AS (SELECT ord, {S.norm_url('url')} AS url, published_at, 0 AS priority FROM articles WHERE ord % 3 = 0),
+o AS (SELECT ord, {S.norm_url('url')} AS url, CASE WHEN ord % 5 = 0 THEN 'unknown' ELSE published_at END AS published_at, 1 AS priority, published_ts AS ts FROM articles WHERE ord % 2 = 0),
+a AS (SELECT * FROM n UNION ALL SELECT ord, url, published_at, priority FROM o WHERE published_at = 'unknown' OR date_trunc('second', ts) >= TIMESTAMP '{NOW}' - INTERVAL 20 DAYS)
+SELECT ord, url, published_at, priority FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY priority, ord) AS rn FROM a) WHERE rn = 1""")
+def pool_merge(spark, sf):
+    a = articles(spark, sf).select("ord", X.normalize_url(F.col("url")).alias("url"), "published_at")
+    old = a.where("ord % 2 = 0").withColumn("published_at", F.when(F.col("ord") % 5 == 0, "unknown").otherwise(F.col("published_at")))
+    return dedup.merge_pools(a.where("ord % 3 = 0"), old, "published_at", NOW, 20).select("ord", "url", "published_at", "priority")
+
+
+@query("WITH e AS (SELECT event_id, user_id AS phrase, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS priority FROM events) SELECT event_id, phrase, priority FROM e JOIN (SELECT phrase, min(priority) AS p FROM e GROUP BY 1) USING (phrase) WHERE priority = p")
+def provider_fallback(spark, sf):
+    e = load(spark, sf, "events").select("event_id", F.col("user_id").alias("phrase"), F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2).alias("priority"))
+    return dedup.first_provider(e).select("event_id", "phrase", "priority")
+
+
+@query(f"WITH {TAGGED}, t AS (SELECT DISTINCT unnest(tags) AS tag FROM tagged), u AS (SELECT tag, 0 AS p FROM t UNION ALL SELECT unnest(['Manufacturing', 'Robotics', 'AI']), 1) SELECT tag, min(p) AS p FROM u GROUP BY 1")
+def suggest_union(spark, sf):
+    t = tagged(spark, sf).select(F.explode("tags").alias("tag")).distinct().withColumn("p", F.lit(0))
+    more = spark.range(1).select(F.explode(X.words(["Manufacturing", "Robotics", "AI"])).alias("tag"), F.lit(1).alias("p"))
+    return t.unionByName(more).groupBy("tag").agg(F.min("p").alias("p"))
+
+
+@query(f"WITH {ARTICLES}, o AS (SELECT * FROM articles WHERE ord % 2 = 0) SELECT ord, ({S.norm_url('url')} IN (SELECT {S.norm_url('url')} FROM o) OR ({S.match_key('title')} <> '' AND {S.match_key('title')} IN (SELECT {S.match_key('title')} FROM o)) OR ({S.content_hash('content')} <> '' AND {S.content_hash('content')} IN (SELECT {S.content_hash('content')} FROM o))) AS is_duplicate FROM articles WHERE ord % 2 = 1")
+def is_duplicate_of_any_exact(spark, sf):
+    a = articles(spark, sf)
+    return dedup.duplicate_of_any(a.where("ord % 2 = 1"), a.where("ord % 2 = 0"))
+
+
+@query()
+def title_similarity_pairs(spark, sf):
+    return dedup.similar_titles(articles(spark, sf).select("ord", "title"))
+
+
+@query()
+def layered_dedup(spark, sf):
+    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    a = articles(spark, sf).withColumn("canonical_url", F.lit(None).cast("string")).withColumn("quality", score.quality(F.lit(False), F.col("url"), F.col("content"), F.lit(""), F.lit(0.0)))
+    return dedup.layered(a).select("ord", "url", "title")
+
+
+# -- tags, counts, indexes -------------------------------------------------------------------------------------------
+
+@query(f"WITH {TAGGED}, t AS (SELECT unnest(tags) AS t, ord FROM tagged) SELECT CASE WHEN trim(t) = 'ai' THEN 'AI' WHEN regexp_matches(t, '^[a-z]+$') THEN upper(t[1]) || t[2:] ELSE trim(t) END AS tag, count(*) AS n, min(ord) AS first_ord FROM t WHERE regexp_matches(t, '^[A-Za-z]+$') GROUP BY 1")
+def keyword_counts(spark, sf):
+    t = tagged(spark, sf).withColumn("tags", F.filter("tags", lambda t: t.rlike("^[A-Za-z]+$")))
+    return tags.keyword_counts(t)
+
+
+@query(f"WITH {TAGGED} SELECT DISTINCT trim(t) AS tag FROM (SELECT unnest(tags) AS t FROM tagged) WHERE trim(t) <> ''")
+def distinct_tags_sorted(spark, sf):
+    return tagged(spark, sf).select(F.explode("tags").alias("t")).select(F.trim("t").alias("tag")).where("tag <> ''").distinct().orderBy("tag")
+
+
+@query(f"WITH {TAGGED}, t AS (SELECT DISTINCT lower(trim(t)) AS tag, url, published_at FROM (SELECT unnest(tags) AS t, url, published_at FROM tagged)) SELECT tag, list(url ORDER BY published_at DESC, url DESC) AS urls FROM t WHERE tag <> '' GROUP BY 1")
+def inverted_index(spark, sf):
+    return tags.inverted_index(tagged(spark, sf))
+
+
+@query(f"WITH {TAGGED}, t AS (SELECT DISTINCT unnest(tags) AS tag FROM tagged) SELECT CASE WHEN regexp_matches(upper(tag[1]), '^[A-Z]$') THEN upper(tag[1]) ELSE '#' END AS letter, list(tag ORDER BY tag) AS tags, count(*) AS n FROM t GROUP BY 1")
+def first_letter_groups(spark, sf):
+    t = tagged(spark, sf).select(F.explode("tags").alias("tag")).distinct()
+    return t.groupBy(X.first_letter(F.col("tag")).alias("letter")).agg(F.sort_array(F.collect_list("tag")).alias("tags"), F.count("*").alias("n"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(*) <= 30 AS allowed FROM events GROUP BY 1")
+def daily_quota(spark, sf):
+    return load(spark, sf, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), (F.count("*") <= 30).alias("allowed"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")
+def event_counts_daily(spark, sf):
+    return load(spark, sf, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query(f"WITH {TAGGED}, b AS (SELECT ord, url, CASE WHEN ord % 2 = 0 THEN [] ELSE tags END AS tags FROM tagged), d AS (SELECT url, [source] AS keywords FROM tagged WHERE ord % 4 = 0) SELECT ord, CASE WHEN len(tags) = 0 THEN coalesce(keywords, []) ELSE tags END AS tags FROM b LEFT JOIN d USING (url)")
+def tag_backfill_join(spark, sf):
+    t = tagged(spark, sf)
+    some = t.withColumn("tags", F.when(F.col("ord") % 2 == 0, F.array().cast("array<string>")).otherwise(F.col("tags")))
+    return tags.backfill(some, t.where("ord % 4 = 0").select("url", F.array("source").alias("keywords"))).select("ord", "tags")
+
+
+@query()
+def clean_tags(spark, sf):
+    t = tagged(spark, sf)
+    return t.select("ord", tags.clean_tags(F.concat("tags", F.array(F.lit("the"), F.lit("123"), F.lit("Tariffs"))), F.col("title"), F.lit(""), F.col("content")).alias("tags"))
+
+
+@query(f"WITH {TAGGED}, t AS (SELECT DISTINCT unnest(tags) AS w FROM tagged) SELECT w, {S.singular_tag_word('w')} AS tag_word, {S.singular('w')} AS mined_word FROM t")
+def singularize_tag(spark, sf):
+    t = tagged(spark, sf).select(F.explode("tags").alias("w")).distinct()
+    return t.select("w", X.singular_tag_word(F.col("w")).alias("tag_word"), X.singular(F.col("w")).alias("mined_word"))
+
+
+@query()
+def stale_keywords(spark, sf):
+    t = tagged(spark, sf).withColumn("tags", F.when(F.col("ord") % 3 == 0, X.words(["Manufacturing", "General"])).otherwise(F.col("tags")))
+    return t.select("ord", tags.stale(F.col("tags"), F.col("title")).alias("stale"))
+
+
+# -- search ----------------------------------------------------------------------------------------------------------
+
+@query(f"""WITH {TAGGED}, h AS (SELECT ord, CASE WHEN list_contains(list_transform(tags, lambda t: lower(t)), 'hation') THEN 1 WHEN len(list_filter(tags, lambda t: contains(lower(t), 'hation') OR contains('hation', lower(t)))) > 0 THEN 2
+WHEN contains(lower(title), 'hation') OR contains(lower(content), 'hation') THEN 3 END AS tier FROM tagged), n AS (SELECT count(*) FILTER (tier = 1) AS e, count(*) FILTER (tier = 2) AS p FROM h)
+SELECT ord, tier FROM h, n WHERE CASE WHEN e > 0 THEN tier = 1 ELSE tier = 2 OR (p < 5 AND tier = 3) END""")
+def search_tiered(spark, sf):
+    return search.search(tagged(spark, sf), "Hation").select("ord", "tier")
+
+
+@query(f"WITH {TAGGED}, t AS (SELECT unnest(tags) AS tag, ord FROM tagged), g AS (SELECT tag, min(ord) AS ord FROM t GROUP BY 1), h AS (SELECT *, CASE WHEN starts_with(lower(tag), 'th') THEN 0 WHEN contains(lower(tag), 'th') THEN 1 END AS tier FROM g) SELECT tag, ord, tier FROM h WHERE tier = 0 OR (tier = 1 AND (SELECT count(*) FROM h WHERE tier = 0) < 5) ORDER BY tier, ord, tag LIMIT 10")
+def suggest_prefix_substring(spark, sf):
+    g = tagged(spark, sf).select(F.explode("tags").alias("tag"), "ord").groupBy("tag").agg(F.min("ord").alias("ord"))
+    s = search.suggest(g.withColumn("ord", F.struct("ord", "tag")), "th")
+    return s.select("tag", F.col("ord.ord").alias("ord"), "tier")
+
+
+@query(f"WITH {ARTICLES}, p AS (SELECT url, 'pinned ' || title AS title, source FROM articles WHERE ord % 10 = 0 UNION ALL SELECT 'https://pinned.example/x', 'kept', 'src') SELECT p.url, coalesce(a.title, p.title) AS title, coalesce(a.source, p.source) AS source, true AS is_pinned FROM p LEFT JOIN articles a USING (url) UNION ALL SELECT url, title, source, false FROM articles WHERE ord % 10 <> 0")
+def pinned_overlay(spark, sf):
+    a = articles(spark, sf).select("ord", "url", "title", "source")
+    pinned = a.where("ord % 10 = 0").select("url", F.concat(F.lit("pinned "), "title").alias("title"), "source")
+    pinned = pinned.unionByName(spark.range(1).select(F.lit("https://pinned.example/x").alias("url"), F.lit("kept").alias("title"), F.lit("src").alias("source")))
+    return search.overlay_pinned(a.drop("ord"), pinned)
+
+
+# -- state -----------------------------------------------------------------------------------------------------------
+
+@query("SELECT page_id AS ord FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def seen_anti_join(spark, sf):
+    p = pages(spark, sf)
+    return state.unseen(p, p.where("ord % 3 = 0").select(X.hash_of(F.trim("url")).alias("url_hash"))).select("ord")
+
+
+_AT = "CASE WHEN ord % 6 = 0 THEN 'never' ELSE strftime(published_ts, '%Y-%m-%d %H:%M:%S') END"
+
+
+def _stamped(spark, sf):
+    return articles(spark, sf).select("ord", F.when(F.col("ord") % 6 == 0, "never").otherwise(F.date_format("published_ts", "yyyy-MM-dd HH:mm:ss")).alias("added_at"))
+
+
+@query(f"WITH {ARTICLES} SELECT ord, {_AT} AS added_at FROM articles WHERE ord % 6 <> 0 AND date_trunc('second', published_ts) >= TIMESTAMP '{NOW}' - INTERVAL 20 DAYS")
+def ttl_prune_seen(spark, sf):
+    return state.prune(_stamped(spark, sf), "added_at", NOW, 20)
+
+
+@query(f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 25 DAYS")
+def ttl_prune_hash(spark, sf):
+    e = load(spark, sf, "events").select("event_id", F.col("ts").cast("string").alias("created_at"))
+    return state.prune(e, "created_at", NOW, 25).select("event_id")
+
+
+@query(f"WITH {ARTICLES} SELECT ord, {_AT} AS added_at FROM articles WHERE ord % 6 = 0 OR date_trunc('second', published_ts) >= TIMESTAMP '{NOW}' - INTERVAL 20 DAYS")
+def pool_expiry_keep_unparseable(spark, sf):
+    return state.prune(_stamped(spark, sf), "added_at", NOW, 20, keep_unparseable=True)
+
+
+_UP = f"WITH {ARTICLES}, o AS (SELECT url, title, '2024-01-01' AS added_at FROM articles WHERE ord % 2 = 0), n AS (SELECT url, 'new ' || title AS title, '2024-02-01' AS added_at FROM articles WHERE ord % 3 = 0) "
+
+
+def _old_new(spark, sf):
+    a = articles(spark, sf)
+    return (a.where("ord % 2 = 0").select("url", "title", F.lit("2024-01-01").alias("added_at")), a.where("ord % 3 = 0").select("url", F.concat(F.lit("new "), "title").alias("title"), F.lit("2024-02-01").alias("added_at")))
+
+
+@query(_UP + "SELECT coalesce(o.url, n.url) AS url, coalesce(n.title, o.title) AS title, coalesce(o.added_at, n.added_at) AS added_at FROM o FULL JOIN n ON o.url = n.url")
+def upsert_preserve_added_at(spark, sf):
+    return state.upsert(*_old_new(spark, sf), "url", preserve=("added_at",))
+
+
+@query(_UP.replace("SELECT url, title, '2024-01-01'", "SELECT url, CASE WHEN ord % 4 = 0 THEN '' ELSE title END AS title, '2024-01-01'") + "SELECT coalesce(o.url, n.url) AS url, coalesce(nullif(o.title, ''), n.title, o.title) AS title, coalesce(o.added_at, n.added_at) AS added_at FROM o FULL JOIN n ON o.url = n.url")
+def fill_blank_upsert(spark, sf):
+    a = articles(spark, sf)
+    old = a.where("ord % 2 = 0").select("url", F.when(F.col("ord") % 4 == 0, "").otherwise(F.col("title")).alias("title"), F.lit("2024-01-01").alias("added_at"))
+    return state.upsert(old, _old_new(spark, sf)[1], "url", fill_blank=("title", "added_at"))
+
+
+@query(f"WITH {ARTICLES} SELECT ord, url, title FROM articles WHERE ord % 2 = 1")
+def snapshot_publish(spark, sf):
+    import tempfile
+    import uuid
+
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='gleaner-')}/snapshot-{uuid.uuid4().hex}"
+    a = articles(spark, sf).select("ord", "url", "title")
+    state.publish(spark, a.where("ord % 2 = 0"), root, "0001")
+    state.publish(spark, a.where("ord % 2 = 1"), root, "0002")
+    return state.current(spark, root)
+
+
+# -- mining ----------------------------------------------------------------------------------------------------------
+
+def _phrases(spark, sf):
+    a = articles(spark, sf)
+    return mining.phrase_rows(a, F.concat_ws(" . ", "title", F.left("content", F.lit(2000))))
+
+
+_GRAMS = f"""WITH {ARTICLES}, w AS (SELECT ord, list_transform(list_filter(regexp_split_to_array(title, '\\s+'), lambda t: t <> ''), lambda t: regexp_replace(t, '^[.,;:!?()\\[\\]{{}}''"\\-]+|[.,;:!?()\\[\\]{{}}''"\\-]+$', '', 'g')) AS t FROM articles),
+i AS (SELECT ord, t, unnest(range(1, len(t) + 1)) AS a FROM w), g AS (SELECT ord, a - 1 AS "at", n, list_slice(t, a, a + n - 1) AS p FROM i, (SELECT unnest([1, 2, 3]) AS n))
+SELECT ord, "at"::INT AS pos, array_to_string(p, ' ') AS phrase FROM g WHERE len(p) = n AND len(list_filter(p, lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$') AND lower(x) NOT IN {S.inlist((*C.STOP_WORDS, *C.ARTEFACTS))})) = n"""
+
+
+@query(_GRAMS)
+def ngram_noun_phrases(spark, sf):
+    return articles(spark, sf).select("ord", F.inline(mining.noun_phrases(F.col("title")))).withColumnRenamed("at", "pos")
+
+
+@query()
+def phrase_stats(spark, sf):
+    return mining.phrase_stats(_phrases(spark, sf))
+
+
+@query()
+def keyword_composite_top150(spark, sf):
+    p = _phrases(spark, sf)
+    s = mining.composite(mining.phrase_stats(p)).orderBy(F.desc("score"), "canonical").limit(150)
+    return s.join(mining.best_casing(p).select("canonical", "casing"), "canonical").select("canonical", "casing", "score")
+
+
+@query()
+def fallback_keywords3(spark, sf):
+    return articles(spark, sf).select("ord", mining.fallback_tags(F.concat_ws(". ", "title", F.left("content", F.lit(400)))).alias("tags"))
+
+
+# -- language, extraction, enrichment --------------------------------------------------------------------------------
+
+@query()
+def is_english(spark, sf):
+    return docs(spark, sf).select(F.col("ord").alias("doc_id"), filters.is_english(F.col("title"), F.col("content")).alias("is_english"))
+
+
+@query()
+def extract_paragraphs(spark, sf):
+    return load(spark, sf, "pages").select("page_id", extract.readable_text("html").alias("content"))
+
+
+@query(f"WITH {ARTICLES} SELECT ord, sha256(trim(url) || '||' || trim(title) || '||' || trim(published_at)) AS cache_key FROM articles")
+def insight_cache_key(spark, sf):
+    return articles(spark, sf).select("ord", enrich.cache_key(F.lit(None).cast("string"), F.col("url"), F.col("title"), F.col("published_at")).alias("cache_key"))
+
+
+def _raw_insights(spark, sf):
+    a = articles(spark, sf)
+    raw = F.to_json(F.struct(F.col("title").alias("executive_summary"), F.when(F.col("ord") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array("source")).alias("business_implications"), F.lit("Core").alias("ai_relevance"),
+                             F.array(F.lit("Manufacturing")).alias("industry_categories"), (F.col("ord") % 130).cast("double").alias("innovation_score"), F.when(F.col("ord") % 5 == 0, "Angry").otherwise("Neutral").alias("sentiment")))
+    return a.select("ord", "title", F.when(F.col("ord") % 7 == 0, "{not json").otherwise(raw).alias("raw"))
+
+
+@query(f"WITH {ARTICLES} SELECT ord, (trim(title) <> '' AND ord % 3 <> 0 AND ord % 130 <= 100 AND ord % 5 <> 0 AND ord % 7 <> 0) AS valid FROM articles")
+def insight_validate(spark, sf):
+    return _raw_insights(spark, sf).select("ord", enrich.valid(enrich.insight(F.col("raw"))).alias("valid"))
+
+
+@query(f"WITH {ARTICLES}, v AS (SELECT *, (trim(title) <> '' AND ord % 3 <> 0 AND ord % 130 <= 100 AND ord % 5 <> 0 AND ord % 7 <> 0) AS valid FROM articles) SELECT ord, CASE WHEN valid THEN title ELSE {S.lit(C.SUMMARY)} END AS executive_summary, CASE WHEN valid THEN ord % 130 ELSE 50 END::INT AS innovation_score FROM v")
+def insight_default_fill(spark, sf):
+    i = _raw_insights(spark, sf).withColumn("i", enrich.insight(F.col("raw"))).withColumn("ok", enrich.valid(F.col("i")))
+    return i.select("ord", F.when(F.col("ok"), F.col("i.executive_summary")).otherwise(C.SUMMARY).alias("executive_summary"), F.when(F.col("ok"), F.col("i.innovation_score")).otherwise(50).cast("int").alias("innovation_score"))
+
+
+@query()
+def fallback_summary(spark, sf):
+    return articles(spark, sf).select("ord", enrich.fallback_summary(F.col("title"), F.col("content")).alias("summary"))
+
+
+# -- streams ---------------------------------------------------------------------------------------------------------
+
+def _event_stream(spark, sf):
+    schema = load(spark, sf, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+
+
+@query("SELECT count(DISTINCT user_id) AS users FROM events")
+def stream_dedup_ttl(spark, sf):
+    out = streams.run_available(spark, streams.dedup_ttl(_event_stream(spark, sf).select("ts", "user_id"), "user_id", ttl="3650 days"), "append")
+    return out.agg(F.count("*").alias("users"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1")
+def stream_daily_counter(spark, sf):
+    return streams.run_available(spark, streams.daily_counts(_event_stream(spark, sf)), "complete")
+
+
+# -- plain relational scaffolding ------------------------------------------------------------------------------------
+
+@query("SELECT n_name, count(*) AS orders, CAST(round(sum(o_totalprice), 2) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def orders_by_nation(spark, sf):
+    o, c, n = (load(spark, sf, t) for t in ("orders", "customer", "nation"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return j.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).cast("double").alias("total"))
+
+
+__all__ = ["QUERIES", "ORACLES", "Window"]
