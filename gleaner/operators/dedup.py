@@ -7,12 +7,13 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gleaner.functions.columns import content_hash, match_key, normalize_url
 from gleaner.operators.select import first_wins
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_ratio(current: pd.Series, kept: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; directional, so the order of arguments matters."""
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(current, kept)])

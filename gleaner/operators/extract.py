@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gleaner.functions import constants as C
 
@@ -84,6 +85,6 @@ def readable(html: str | None) -> str:
     return " ".join(" ".join(blocks).split()[:MAX_WORDS])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def readable_text(html: pd.Series) -> pd.Series:
     return html.map(readable)

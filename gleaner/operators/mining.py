@@ -20,10 +20,17 @@ def tokens(text: Column) -> Column:
 def noun_phrases(text: Column, stop_words=C.STOP_WORDS) -> Column:
     """All 1-, 2- and 3-grams inside runs of content words, with their start, as array<struct<at, phrase>>."""
     t = F.transform(tokens(text), lambda w: F.regexp_replace(w, MARKS, ""))
-    good = lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~F.lower(w).isin(*stop_words, *C.ARTEFACTS)
-    def grams(n):
-        return F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(t) - n)), lambda i: F.when(F.forall(F.slice(t, i + 1, n), good) & (F.size(F.slice(t, i + 1, n)) == n), F.struct(i.alias("at"), F.array_join(F.slice(t, i + 1, n), " ").alias("phrase")))), lambda x: x.isNotNull())
-    return F.when(F.size(t) > 0, F.concat(grams(1), grams(2), grams(3))).otherwise(F.array().cast("array<struct<at:int,phrase:string>>"))
+    # A word that breaks a run becomes null, so a slice without nulls lies inside a run.
+    content = F.transform(t, lambda w: F.when((F.length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~F.lower(w).isin(*stop_words, *C.ARTEFACTS), w))
+
+    def grams(c):
+        def of(n):
+            return F.filter(F.transform(c, lambda w, i: F.struct(i.alias("at"), F.concat(*[x for k in range(n) for x in ((F.lit(" "),) if k else ()) + (F.get(c, i + k),)]).alias("phrase"))), lambda x: x["phrase"].isNotNull())
+
+        return F.concat(of(1), of(2), of(3))
+
+    # The one-element array names the words once; written out in each lambda they would be computed anew for every element.
+    return F.get(F.transform(F.array(content), grams), 0)
 
 
 def capitalized_phrases(text: Column, stop_words=C.STOP_WORDS) -> Column:
@@ -73,10 +80,17 @@ def best_casing(phrases: DataFrame) -> DataFrame:
 
 def fallback_tags(text: Column) -> Column:
     """Three tags: capitalised phrases by frequency, then noun phrases, then defaults."""
-    def ranked(arr):
-        d = F.array_distinct(arr)
-        return F.transform(F.array_sort(F.transform(d, lambda p, i: F.struct((-F.size(F.filter(arr, lambda x: x == p))).alias("n"), i.alias("i"), p.alias("p")))), lambda s: s["p"])
+    def ranked(found):
+        def order(arr):
+            d = F.array_distinct(arr)
+            return F.transform(F.array_sort(F.transform(d, lambda p, i: F.struct((-F.size(F.filter(arr, lambda x: x == p))).alias("n"), i.alias("i"), p.alias("p")))), lambda s: s["p"])
+
+        return F.get(F.transform(F.array(found), order), 0)
+
     every = F.concat(ranked(capitalized_phrases(text)), ranked(F.transform(noun_phrases(text), lambda x: x["phrase"])), words(C.FALLBACK_TAGS))
+    def three(e):
+        low = F.transform(e, F.lower)
+        return F.slice(F.filter(e, lambda p, i: F.array_position(low, F.lower(p)) == i + 1), 1, 3)
+
     every = F.filter(every, lambda p: ~F.lower(p).isin(*C.FORBIDDEN_TAGS))
-    low = F.transform(every, F.lower)
-    return F.slice(F.filter(every, lambda p, i: F.array_position(low, F.lower(p)) == i + 1), 1, 3)
+    return F.get(F.transform(F.array(every), three), 0)

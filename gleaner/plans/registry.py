@@ -515,7 +515,7 @@ def fallback_summary(spark, sf):
 
 def _event_stream(spark, sf):
     schema = load(spark, sf, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT count(DISTINCT user_id) AS users FROM events")
