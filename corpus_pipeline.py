@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mix_sources", mix_sources), ("encode", encode)]
 
-#: SQL expresses none of the stages' fingerprints, automata and tables; tests hold run() against a brute-force version.
+#: SQL expresses none of the stages' fingerprints, automata and tables; the stages are tested one by one.
 ORACLE_SQL = None
 
 
