@@ -16,6 +16,9 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content
 SECOND_LEVEL = ("co", "com", "org", "net", "gov", "edu", "ac", "res", "mil")
 SYNONYMS = {"artificial intelligence": ("artificial intelligence", "ai", "a.i."), "electric vehicles": ("electric vehicles", "electric vehicle", "ev", "evs"), "machine learning": ("machine learning", "ml")}
 SINGULAR_WORDS = ("business", "process", "news", "class", "glass", "robotics", "physics", "metrics", "analytics", "asbestos", "bias", "status", "focus", "gas", "series", "species", "chassis", "sports", "goods", "address")
+CANONICAL = ("Artificial Intelligence", "Electric Vehicles", "Machine Learning")
+BRANDS = ("NVIDIA", "Microsoft", "OpenAI")
+PAGE_ENDS = (".html", ".htm", ".shtml", ".php", ".aspx")
 STALE_LISTS = (("manufacturing", "industrial technology", "general"), ("manufacturing", "automation", "industry insights"), ("manufacturing", "industrial technology", "automation", "ai", "cement industry"))
 STALE_WORDS = ("manufacturing", "industrial technology", "general", "automation", "industry insights", "general topic")
 FALLBACK_TAGS = ("Manufacturing", "Industrial Technology", "Automation", "AI", "Cement Industry")

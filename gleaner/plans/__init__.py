@@ -1,0 +1,3 @@
+from gleaner.plans import registry, services  # services registers its queries on import
+
+__all__ = ["registry", "services"]
