@@ -38,7 +38,6 @@ SYMBOLS = 64  # symbols of the automata: 0 ends a segment, 1 is a letter that is
 GAP = 2  # a run of characters other than letters
 SEGMENT = 512
 LANGUAGES = 64
-LETTER = re.compile(r"[^\W\d_]")
 NEW = np.int32(1 << 30)  # marks a transition that begins a phrase
 
 
@@ -85,7 +84,7 @@ class CrossParser:
         counts = Counter()
         for text in references.values():
             counts.update(text.lower())
-        common = sorted((c for c in counts if LETTER.match(c)), key=lambda c: (-counts[c], c))[:SYMBOLS - 3]
+        common = sorted((c for c in counts if c.isalpha()), key=lambda c: (-counts[c], c))[:SYMBOLS - 3]
         self.code = _letters().copy()
         for k, c in enumerate(common, 3):
             self.code[ord(c)] = k
@@ -142,7 +141,7 @@ class CrossParser:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
-        ask = [k for k, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
+        ask = [k for k, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
         at = 0
         while at < len(ask):  # at most about four million characters at a time
             sizes = list(accumulate(len(texts[k]) for k in ask[at:at + 4000]))

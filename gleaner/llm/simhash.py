@@ -188,11 +188,11 @@ def links(nodes: DataFrame, budget: int = 2, cell_rows: int = CELL_ROWS) -> Data
     return cut(out.distinct())
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node reachable, for every node with a link, by large-star / small-star."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     state = None
-    for _ in range(rounds):
+    while True:  # about log n squared rounds
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

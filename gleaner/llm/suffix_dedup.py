@@ -362,7 +362,10 @@ def trimmed(docs: DataFrame) -> DataFrame:
 
     A row whose whole text was removed is dropped; a row that was empty before stays.
     """
-    columns = docs.columns
+    columns = ["doc_id", "text", "rest"]
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # All further columns travel as one, so that none can have the name of a helper column.
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest") if others else F.lit(None).cast("int").alias("rest"))
 
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
         keep: dict[tuple, str] = {}
@@ -378,8 +381,9 @@ def trimmed(docs: DataFrame) -> DataFrame:
         block = block.set_column(block.schema.get_field_index("text"), block.schema.field("text"), text)
         return block.filter(pa.array([k not in gone for k in keys], pa.bool_())).select(columns)
 
-    dealt, known = _marked(docs, columns)
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, docs.schema)
+    dealt, known = _marked(packed, columns)
+    out = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, packed.schema)
+    return out.select(*[F.col(c) if c not in others else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def query(docs: DataFrame) -> DataFrame:
