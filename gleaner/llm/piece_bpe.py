@@ -49,6 +49,7 @@ class PrefixTableEncoder:
         self.rank = {plain[p]: 0 for p in plain if len(p) == 1}
         self.rank |= {plain[p]: k for k, p in enumerate(order, 1)}
         self.ids, self.text = plain, {i: p for p, i in plain.items()}
+        self.chars = frozenset(p for p in plain if len(p) == 1)
         # The last merge that makes each token out of its own characters; a token that the rules never make is left out.
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
@@ -61,8 +62,8 @@ class PrefixTableEncoder:
         for p in made:
             self.match.add_word(p, (plain[p], len(p)))
         self.match.make_automaton()
-        self.words: dict[str, tuple[list[int], str]] = {}
-        self.old: dict[str, tuple[list[int], str]] = {}
+        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def _last_merge(self, piece: str) -> tuple[int, int] | None:
         """Merge the characters of one piece by rank, leftmost first; the two tokens joined last."""
@@ -80,9 +81,6 @@ class PrefixTableEncoder:
 
     def may_follow(self, a: int, b: int) -> bool:
         """True if the tokens a, b stay apart when their characters are encoded together."""
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
         key, rank, parts = (a, b), self.rank, self.parts
         # A merge across the joint must come before the merge that has just been undone: on the left
         # at a lower or equal rank (it stands further right than an equal one), on the right at a lower.
@@ -106,19 +104,24 @@ class PrefixTableEncoder:
 
     def _run(self, run: str) -> list[int]:
         """Ids of characters that are all in the vocabulary, by the prefix table."""
-        table: list[tuple[int, int]] = [(0, 0)] * (len(run) + 1)  # per prefix its last token and that token's length
-        for end, (token, size) in self.match.iter(run):
-            at = end + 1
-            if table[at][1]:
+        last, size = [0] * (len(run) + 1), [0] * (len(run) + 1)  # per prefix its last token and that token's length
+        pairs = self.pairs
+        for end, (token, length) in self.match.iter(run):
+            end += 1
+            if size[end]:
                 continue
-            if at == size or self.may_follow(table[at - size][0], token):
-                table[at] = (token, size)
+            if start := end - length:
+                before = last[start]
+                good = pairs.get((before, token))
+                if not (self.may_follow(before, token) if good is None else good):
+                    continue
+            last[end], size[end] = token, length
         out, at = [], len(run)
         while at:
-            token, size = table[at]
-            out.append(token)
-            at -= size
-        return out[::-1]
+            out.append(last[at])
+            at -= size[at]
+        out.reverse()
+        return out
 
     def _merged(self, run: str) -> list[int]:
         """Ids by merging pair after pair, best score first and leftmost among equals."""
@@ -147,7 +150,7 @@ class PrefixTableEncoder:
             # compatibility cannot decide them.
             runs = re.findall(f"[{''.join(map(re.escape, set(word) & known.keys()))}]+|.", word, re.S)
             return [i for r in runs for i in (self._merged(r) if r[0] in known else [self.byte[b] for b in r.encode("utf-8")])]
-        if all(c in known for c in word):
+        if self.chars.issuperset(word):
             return self._run(word)
         out, run = [], ""
         for c in word:
@@ -170,7 +173,7 @@ class PrefixTableEncoder:
                 hit = self.old.get(w)
                 if hit is None:
                     ids = self.word(w)
-                    hit = (ids, ",".join(map(str, ids)))
+                    hit = (tuple(ids), ",".join(map(str, ids)))  # tuples of ints are not tracked by the garbage collector
                 if len(words) >= CACHE_WORDS // 2:
                     self.old, self.words = words, {}
                     words = self.words
