@@ -328,14 +328,15 @@ def _dealt(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, i
 
 
 def _marked(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt to blocks, and what each block knows of its rows: marks and whole copies."""
     dealt, copies, size = _dealt(docs, columns)
     copies = cut(copies.select("copy", "sha", "block").distinct())
     shards = max(16, int(size * 2 / (SPAN + 1) / SHARD_ANCHORS) + 1)
-    narrow = dealt if set(columns) == {"doc_id", "text"} else dealt.select("doc_id", "text", "block")
-    asked = narrow.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_ask(shards), ASK)
+    # All three steps read the same columns, so that they share one shuffle of the texts.
+    asked = dealt.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_ask(shards), ASK)
     answers = asked.groupBy("shard").applyInArrow(_shared, "block int, shard int, bits binary")
     known = answers.unionByName(copies, allowMissingColumns=True)
-    contexts = narrow.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_contexts(shards, shards * 2), CONTEXTS)
+    contexts = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_contexts(shards, shards * 2), CONTEXTS)
     marks = contexts.groupBy("bucket").applyInArrow(_sort_bucket, "block int, marks binary")
     return dealt, marks.unionByName(copies, allowMissingColumns=True)
 
