@@ -40,7 +40,7 @@ LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams in one 50-byte string
 COVER, PERIOD = (0, 1, 3), 7
 SHIFT = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])  # to the next sample position
-BLOCK_BYTES, SHARD_ANCHORS = 16_000_000, 1_500_000
+BLOCK_BYTES, SHARD_ANCHORS = 8_000_000, 1_500_000
 SLICE = 3_000_000  # bytes of contexts that one suffix bucket sorts at a time
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: later than all
 
