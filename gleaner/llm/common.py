@@ -32,6 +32,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker that waits for its next task would else keep it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """`f`, a function of one Arrow table or of two, that gives back what it has freed after each call."""
+    def one(group):
+        out = f(group)
+        give_back()
+        return out
+
+    def two(left, right):
+        out = f(left, right)
+        give_back()
+        return out
+
+    return two if f.__code__.co_argcount == 2 else one
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, rows: Callable[[list], dict[str, list]]) -> DataFrame:
     """Apply `rows` (texts of an Arrow batch -> named output lists) batch by batch; `keep` passes through untouched.
 
@@ -54,6 +79,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, rows: Call
                 cols = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
                 cols += [pa.array(got[n], type=arrow.field(len(keep) + i).type) for i, n in enumerate(out)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        give_back()
 
     return narrow.mapInArrow(run, schema)
 

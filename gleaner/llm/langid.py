@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import map_texts
+from gleaner.llm.common import give_back, map_texts
 
 SYMBOLS = 64  # symbols of the automata: 0 ends a segment, 1 is a letter that is not among the commonest
 GAP = 2  # a run of characters other than letters
@@ -219,5 +219,6 @@ def keep_identified(docs: DataFrame, min_score: float = 0.02) -> DataFrame:
         for b in batches:
             lang, score = _parser(shared).predict(b.column(columns.index("text")).to_pylist())
             yield b.filter(pa.array([x != "und" and s >= min_score for x, s in zip(lang, score)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, hex64, map_texts
+from gleaner.llm.common import cut, hex64, lean, map_texts
 
 BITS = 64
 STEP = 6  # bits by which a cell's prefixes grow in one expansion
@@ -184,7 +184,7 @@ def links(nodes: DataFrame, budget: int = 2, cell_rows: int = CELL_ROWS) -> Data
     rows = done[0]
     for d in done[1:]:
         rows = rows.unionByName(d)
-    out = rows.groupBy(*key).applyInArrow(_cell_links(budget), "u long, v long")
+    out = rows.groupBy(*key).applyInArrow(lean(_cell_links(budget)), "u long, v long")
     return cut(out.distinct())
 
 

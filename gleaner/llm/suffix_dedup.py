@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut
+from gleaner.llm.common import cut, lean
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams in one 50-byte string
@@ -333,11 +333,11 @@ def _marked(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     copies = cut(copies.select("copy", "sha", "block").distinct())
     shards = max(16, int(size * 2 / (SPAN + 1) / SHARD_ANCHORS) + 1)
     # All three steps read the same columns, so that they share one shuffle of the texts.
-    asked = dealt.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(_ask(shards), ASK)
-    answers = asked.groupBy("shard").applyInArrow(_shared, "block int, shard int, bits binary")
+    asked = dealt.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(lean(_ask(shards)), ASK)
+    answers = asked.groupBy("shard").applyInArrow(lean(_shared), "block int, shard int, bits binary")
     known = answers.unionByName(copies, allowMissingColumns=True)
-    contexts = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_contexts(shards, shards * 2), CONTEXTS)
-    marks = contexts.groupBy("bucket").applyInArrow(_sort_bucket, "block int, marks binary")
+    contexts = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lean(_contexts(shards, shards * 2)), CONTEXTS)
+    marks = contexts.groupBy("bucket").applyInArrow(lean(_sort_bucket), "block int, marks binary")
     return dealt, marks.unionByName(copies, allowMissingColumns=True)
 
 
@@ -355,7 +355,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     dealt, known = _marked(docs, ["doc_id", "text"])
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def trimmed(docs: DataFrame) -> DataFrame:
@@ -383,7 +383,7 @@ def trimmed(docs: DataFrame) -> DataFrame:
         return block.filter(pa.array([k not in gone for k in keys], pa.bool_())).select(columns)
 
     dealt, known = _marked(packed, columns)
-    out = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, packed.schema)
+    out = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lean(run), packed.schema)
     return out.select(*[F.col(c) if c not in others else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
