@@ -1,3 +1,3 @@
-from gleaner.plans import registry, services  # services registers its queries on import
+from gleaner.plans import library, registry, services  # services and library register their queries on import
 
-__all__ = ["registry", "services"]
+__all__ = ["library", "registry", "services"]
