@@ -441,7 +441,7 @@ def snapshot_publish(spark, sf):
 
 def _phrases(spark, sf):
     a = articles(spark, sf)
-    return mining.phrase_rows(a, F.concat_ws(" . ", "title", F.left("content", F.lit(2000))))
+    return mining.phrase_rows(a, F.concat_ws(" . ", "title", "content"))
 
 
 _GRAMS = f"""WITH {ARTICLES}, w AS (SELECT ord, list_transform(list_filter(regexp_split_to_array(title, '\\s+'), lambda t: t <> ''), lambda t: regexp_replace(t, '^[.,;:!?()\\[\\]{{}}''"\\-]+|[.,;:!?()\\[\\]{{}}''"\\-]+$', '', 'g')) AS t FROM articles),
