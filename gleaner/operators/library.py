@@ -52,7 +52,7 @@ def toggle(chips: Column, chip: Column) -> Column:
 def keywords_from_fallback(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Tags of the tag table, else the three fallback phrases of title, description and content."""
     k = known.select("url", F.col("keywords").alias("_k"))
-    text = F.concat_ws(". ", "title", F.left("content", F.lit(400)))
+    text = F.concat_ws(". ", "title", "content")
     made = F.when(F.coalesce(F.size("_k"), F.lit(0)) > 0, F.col("_k")).otherwise(mining.fallback_tags(text))
     return rows.join(k, "url", "left").withColumn("keywords", made).drop("_k")
 

@@ -80,17 +80,28 @@ def best_casing(phrases: DataFrame) -> DataFrame:
 
 def fallback_tags(text: Column) -> Column:
     """Three tags: capitalised phrases by frequency, then noun phrases, then defaults."""
+    def once(value, f):
+        return F.get(F.transform(F.array(value), f), 0)
+
+    # Equal phrases stand together in sorted order, so that counting takes no comparison of all pairs.
     def ranked(found):
-        def order(arr):
-            d = F.array_distinct(arr)
-            return F.transform(F.array_sort(F.transform(d, lambda p, i: F.struct((-F.size(F.filter(arr, lambda x: x == p))).alias("n"), i.alias("i"), p.alias("p")))), lambda s: s["p"])
+        def runs(s):
+            starts = F.filter(F.transform(s, lambda x, k: F.struct(k.alias("k"), x["i"].alias("i"), x["p"].alias("p"))), lambda y: (y["k"] == 0) | (F.get(s, y["k"] - 1)["p"] != y["p"]))
+            count = lambda b, y, j: F.coalesce(F.get(b, j + 1)["k"], F.size(s)) - y["k"]
+            return once(starts, lambda b: F.transform(F.array_sort(F.transform(b, lambda y, j: F.struct((-count(b, y, j)).alias("n"), y["i"].alias("i"), y["p"].alias("p")))), lambda x: x["p"]))
 
-        return F.get(F.transform(F.array(found), order), 0)
+        return once(F.array_sort(F.transform(found, lambda p, i: F.struct(p.alias("p"), i.alias("i")))), runs)
 
     every = F.concat(ranked(capitalized_phrases(text)), ranked(F.transform(noun_phrases(text), lambda x: x["phrase"])), words(C.FALLBACK_TAGS))
+    every = F.filter(every, lambda p: ~F.lower(p).isin(*C.FORBIDDEN_TAGS))
+
+    def but(e, p):
+        return F.filter(e, lambda x: F.lower(x) != F.lower(p))
+
     def three(e):
-        low = F.transform(e, F.lower)
-        return F.slice(F.filter(e, lambda p, i: F.array_position(low, F.lower(p)) == i + 1), 1, 3)
+        def two(r):
+            return F.array(F.get(e, 0), F.get(r, 0), F.get(but(r, F.get(r, 0)), 0))
 
-    every = F.filter(every, lambda p: ~F.lower(p).isin(*C.FORBIDDEN_TAGS))
-    return F.get(F.transform(F.array(every), three), 0)
+        return once(but(e, F.get(e, 0)), two)
+
+    return F.when(text.isNotNull(), once(every, three))

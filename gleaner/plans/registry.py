@@ -468,7 +468,7 @@ def keyword_composite_top150(spark, sf):
 
 @query()
 def fallback_keywords3(spark, sf):
-    return articles(spark, sf).select("ord", mining.fallback_tags(F.concat_ws(". ", "title", F.left("content", F.lit(400)))).alias("tags"))
+    return articles(spark, sf).select("ord", mining.fallback_tags(F.concat_ws(". ", "title", "content")).alias("tags"))
 
 
 # -- language, extraction, enrichment --------------------------------------------------------------------------------

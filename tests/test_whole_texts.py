@@ -14,3 +14,17 @@ def test_phrases_behind_character_2000(spark, monkeypatch):
     monkeypatch.setattr(registry, "articles", lambda spark, sf: spark.createDataFrame([("u", "Title", text)], "url string, title string, content string"))
     got = {r.canonical.lower() for r in registry.phrase_stats(spark, "").collect()}
     assert "quantum kiln" in got, got
+
+
+def test_fallback_tags_count_the_whole_content(spark, monkeypatch):
+    text = "Iron Mill. Coal Pit. Sand Bank. " + "it is so. " * 60 + "so Quantum Kiln, " * 5
+    rows = spark.createDataFrame([(0, "u", "x", text)], "ord long, url string, title string, content string")
+    monkeypatch.setattr(registry, "articles", lambda spark, sf: rows)
+    assert registry.fallback_keywords3(spark, "").first().tags[0] == "Quantum Kiln"
+    known = spark.createDataFrame([], "url string, keywords array<string>")
+    assert library.keywords_from_fallback(rows, known).first().keywords[0] == "Quantum Kiln"
+
+
+def test_fallback_tags_of_a_long_text(spark):
+    text = " ".join(f"word{i}x" for i in range(20_000)) + " Quantum Kiln"
+    assert spark.createDataFrame([(text,), (None,)], "t string").select(mining.fallback_tags(F.col("t")).alias("x")).collect()[0].x[0] == "Quantum Kiln"
