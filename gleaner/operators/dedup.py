@@ -42,15 +42,15 @@ def first_provider(df: DataFrame, phrase: str = "phrase", priority: str = "prior
 def similar_titles(rows: DataFrame, ratio: float = 0.95) -> DataFrame:
     """(a, b): title of row a against title of row b, ratio at least `ratio`; a <> b, both directions.
 
-    A ratio r of two strings with m matching and n all characters means m >= r n / 2, so their multisets of
-    character bigrams share all but few. Candidates share one of the first p rarest (hash-ordered) position-tagged
-    bigrams of a prefix filter; lengths must allow the ratio. The UDF then decides.
+    A ratio r of two strings of n and m characters leaves at most (1 - r)(n + m) single deletions and insertions, and each
+    breaks at most one of the first string's pieces. With more pieces than that, one stands whole in the other string;
+    candidates share such a piece, and lengths must allow the ratio. The UDF then decides.
     """
     t = rows.select("ord", match_key(F.col("title")).alias("t")).where("t <> ''")
     groups = t.groupBy("t").agg(F.min("ord").alias("g"))  # equal titles meet once
     n = F.length("t")
-    # At least r n / 2 of the characters match; with d = ceil((1 - r) n) edits at most d + 1 of d + 1 disjoint pieces differ, so one is equal.
-    pieces = F.least(n, F.ceil((1 - ratio) * n * 1.1).cast("int") + 2)
+    longest = F.floor((2 - ratio) / ratio * n + 1e-9)  # of the other string
+    pieces = F.least(n, F.floor((1 - ratio) * (n + longest) + 1e-9).cast("int") + 1)
     size = F.greatest(F.lit(1), F.floor(n / pieces).cast("int"))
     own = groups.select("g", "t", n.alias("n"), pieces.alias("p"), size.alias("s"))
     cuts = own.select("g", "t", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.substring("t", i * F.col("s") + 1, F.col("s")))).alias("piece"), "s").where("piece <> ''").distinct()

@@ -28,3 +28,26 @@ def test_fallback_tags_count_the_whole_content(spark, monkeypatch):
 def test_fallback_tags_of_a_long_text(spark):
     text = " ".join(f"word{i}x" for i in range(20_000)) + " Quantum Kiln"
     assert spark.createDataFrame([(text,), (None,)], "t string").select(mining.fallback_tags(F.col("t")).alias("x")).collect()[0].x[0] == "Quantum Kiln"
+
+
+def test_similar_titles_with_spread_edits(spark):
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    titles = []
+    for n in [65] * 6 + [40, 55, 80, 90, 120]:
+        base = [r.choice(letters) for _ in range(n)]
+        titles.append("".join(base))
+        for turn in (0, 1):
+            copy, k = list(base), int(0.046 * n)
+            spots = [int((j + 0.5) * n / (2 * k)) for j in range(2 * k)]
+            for j in reversed(range(2 * k)):
+                if j % 2 == turn:
+                    del copy[spots[j]]
+                else:
+                    copy.insert(spots[j], r.choice(letters))
+            titles.append("".join(copy))
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    want = {(i, j) for i, a in enumerate(titles) for j, b in enumerate(titles) if i != j and ratio(a, b) >= 0.95}
+    assert len(want) > 12
+    rows = spark.createDataFrame(list(enumerate(titles)), "ord long, title string")
+    assert {(x.a, x.b) for x in dedup.similar_titles(rows).collect()} == want
