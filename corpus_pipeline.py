@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import common, langid, mixing, piece_bpe, simhash, suffix_dedup
+from gleaner.llm import common, langid, mixing, near_copies, piece_bpe, suffix_dedup
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each SimHash component (operator 2)."""
-    return simhash.keep_one_per_group(docs)
+    """Keeps the document of smallest id of each component of near copies: 5-word shingles, similarity of 0.8 and more."""
+    return near_copies.keep_one_per_group(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -220,10 +220,3 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, cell_rows:
 
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hex64("fp").alias("fingerprint"), "component_id")
-
-
-def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id names its component; rows without an id stay."""
-    near = near_duplicates(docs)
-    gone = near.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
