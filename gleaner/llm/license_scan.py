@@ -2,7 +2,7 @@
 
 Each rule is a regex with a label, a priority, a score and the keywords that must occur in a text
 before the regex is tried at all. Most are written once per licence (FAMILIES: how it is named) and
-once per way of referring to one (FORMS), and multiply out to several hundred. Matches are resolved
+once per way of referring to one (FORMS), and multiply out to several hundred; SPDX ids have rules of their own. Matches are resolved
 in order of priority: one that lies within a match of higher priority, or of equal priority and
 greater length, is suppressed.
 
@@ -47,7 +47,7 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "gpl-2.0-short": ("gpl", r"(?:gnu\s+)?gpl(?:\s*v|\s+version\s+|-)\s*2(?:\.0)?"),
     "gpl-3.0-short": ("gpl", r"(?:gnu\s+)?gpl(?:\s*v|\s+version\s+|-)\s*3(?:\.0)?"),
     "gpl": ("gpl", r"(?:gnu\s+)?gpl"),
-    "lgpl-2.0": ("lesser", rf"(?:gnu\s+)?(?:lesser|library)\s+general\s+public\s+licen[sc]e{V}2(?:\.0)?"),
+    "lgpl-2.0": ("general public", rf"(?:gnu\s+)?(?:lesser|library)\s+general\s+public\s+licen[sc]e{V}2(?:\.0)?"),
     "lgpl-2.1": ("lesser", rf"(?:gnu\s+)?lesser\s+general\s+public\s+licen[sc]e{V}2\.1"),
     "lgpl-3.0": ("lesser", rf"(?:gnu\s+)?lesser\s+general\s+public\s+licen[sc]e{V}3(?:\.0)?"),
     "lgpl": ("lgpl", r"(?:gnu\s+)?lgpl(?:\s*v?\s*[23](?:\.[01])?)?"),
@@ -94,9 +94,11 @@ FAMILIES: dict[str, tuple[str, str]] = {
 CONDITIONS = {"by": r"attribution", "by-sa": r"attribution[\s-]+share\s?alike", "by-nd": r"attribution[\s-]+no\s?deriv(?:ative)?s?(?:\s+works)?",
               "by-nc": r"attribution[\s-]+non\s?-?commercial", "by-nc-sa": r"attribution[\s-]+non\s?-?commercial[\s-]+share\s?alike",
               "by-nc-nd": r"attribution[\s-]+non\s?-?commercial[\s-]+no\s?deriv(?:ative)?s?(?:\s+works)?"}
+#: SPDX ids by label where they are not the label itself; ids of the GNU licences are followed by -only or -or-later, or a plus sign.
+SPDX = {"psf-2.0": ("psf-2.0", "python-2.0"), "gfdl-1.3": ("gfdl-1.1", "gfdl-1.2", "gfdl-1.3"), "mpl-1.1": ("mpl-1.0", "mpl-1.1"), "agpl-3.0": ("agpl-3.0",), "php-3.01": ("php-3.0", "php-3.01")}
+SPDX_FORM = r"spdx-license-identifier:\s*(?:\(?[\w.+-]+\)?\s+(?:or|and|with)\s+)*\(?(?:{n})(?:-only|-or-later|\+)?(?![\w+-]|\.\w)"
 #: (priority, score, form of reference); {n} is the licence's name.
 FORMS: list[tuple[int, float, str]] = [
-    (90, 1.0, r"spdx-license-identifier:\s*(?:[\w.+-]+\s+(?:or|and)\s+)?{n}(?![\w-])"),
     (80, 0.95, r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|redistributed|made\s+available)\s+(?:freely\s+)?under\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?{n}(?:\s+licen[sc]e)?(?![\w-])"),
     (70, 0.9, r"(?<![\w-]){n}\s+(?:software\s+)?licen[sc]e(?![\w-])"),
     (60, 0.85, r"licen[sc]e\s*[:=]\s*[\"']?{n}(?![\w-])"),
@@ -107,7 +109,7 @@ PASSAGES: list[tuple[str, str, int, float, str]] = [
     ("mit", "permission is hereby granted", 95, 1.0, r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
     ("isc", "permission to use", 95, 1.0, r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose"),
     ("bsd", "redistribution and use", 85, 0.95, r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms,\s+with\s+or\s+without\s+modification"),
-    ("bsd-3-clause", "endorse or promote", 95, 1.0, r"neither\s+the\s+name\s+of\s+.{1,120}?endorse\s+or\s+promote\s+products"),
+    ("bsd-3-clause", "endorse or promote", 95, 1.0, r"neither\s+the\s+name\s+of\s+(?s:(?!neither\s+the\s+name\s).)+?endorse\s+or\s+promote\s+products"),
     ("bsd-4-clause", "advertising materials", 95, 1.0, r"all\s+advertising\s+materials\s+mentioning\s+features"),
     ("gpl", "free software", 85, 0.9, r"this\s+program\s+is\s+free\s+software[;:,]?\s+you\s+can\s+redistribute\s+it"),
     ("lgpl", "free software", 85, 0.9, r"this\s+library\s+is\s+free\s+software[;:,]?\s+you\s+can\s+redistribute\s+it"),
@@ -146,6 +148,9 @@ def rules() -> list[Rule]:
     """All rules in order of priority."""
     names = {label: (word, name) for label, (word, name) in FAMILIES.items()}
     found = [Rule(label.removesuffix("-short"), word, p, s, re.compile(form.replace("{n}", f"(?:{name})"))) for label, (word, name) in names.items() for p, s, form in FORMS]
+    for label in dict.fromkeys(label.removesuffix("-short") for label in FAMILIES):
+        ids = "|".join(map(re.escape, SPDX.get(label, (label,))))
+        found.append(Rule(label, "spdx", 90, 1.0, re.compile(SPDX_FORM.replace("{n}", ids))))
     for kind, long in CONDITIONS.items():
         short = kind.replace("-", r"[\s-]")
         for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
