@@ -28,6 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Names for helper columns that no column of `taken` has, whatever case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

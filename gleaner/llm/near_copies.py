@@ -1,31 +1,38 @@
-"""Near copies by Jaccard similarity of word shingles: all pairs of texts that reach a similarity, without a miss.
+"""Operator 2 for a similarity: SimHash near copies whose 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-A text is the set of its shingles of five words. With the shingles of every text in one common order, two texts that
-reach the similarity share one of the first n - ceil(similarity * n) + 1 of each (prefix filter), so joining these
-prefixes finds every pair; sizes and the number of shared prefix shingles rule pairs out, and the sets themselves decide. The order puts shingles
-that a sample of the texts has often last and goes by hash otherwise: any order is complete, this one keeps groups small.
+Texts of such a similarity differ in about ten of 64 bits of their fingerprints, too many for one trie of all
+fingerprints to prune by. The binary-trie self-join therefore runs in many small tries: one for each shingle that stands in the
+prefixes of several texts. With the shingles of every text in one common order, two texts that reach the similarity share one of
+the first n - ceil(similarity * n) + 1 of each, so some trie holds both. In a trie, node pairs are walked together and pruned
+beyond an error budget of 26 bits, five standard deviations above what the similarity makes expected for the smallest sets.
+What is left is compared by sizes, by the number of shared prefix shingles, and last by the shingle sets themselves.
+The order puts shingles that a sample of the texts has often last and goes by hash otherwise: any order finds every pair,
+this one keeps the tries small.
 
-Pairs within one component need no check. A first round therefore compares each text only with the one before it in its
-groups (four orders in turn), which joins large groups of near copies in linear work; the second compares all
-pairs whose components still differ.
+Pairs within one component need no check. A first round therefore compares only neighbouring leaves of each trie, which joins large
+groups of near copies in linear work; the walk then prunes node pairs all of whose texts are in one component.
 
 Defined edge cases: a text of fewer than five words is one shingle; texts without words are equal to each other; a null
-doc_id keeps its row and links nothing; rows that repeat a doc_id are one node.
+doc_id keeps its row, links like any other and never names a component; rows of one doc_id are judged each by its own
+text; an empty table gives no rows; further columns of any name pass through.
 """
 
 from __future__ import annotations
 
 import math
+from collections import OrderedDict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, map_texts
-from gleaner.llm.simhash import components
+from gleaner.llm.common import cut, fresh, lean, map_texts
+from gleaner.llm.simhash import cells_of, components, majority, named, node_pairs, walk
 
-WIDTH, SIMILARITY = 5, 0.8
+WIDTH, SIMILARITY, BUDGET = 5, 0.8, 26
 SAMPLE, COMMON = 2_000, 50_000
+CELL_ROWS, SHARD_ROWS = 100_000, 300_000
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -68,84 +75,145 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.array([r[1] for r in rows], np.int64)[order]
 
 
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` with `_near_hit`, true for every doc_id of `ids` and a few others: a bitmap of fixed size, so that texts need not be shuffled."""
+def _marked(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a column that is true for every doc_id of `ids` and a few others, and its name: a bitmap of fixed size, so that texts need not be shuffled."""
+    bit_, at_, mask_, hit = fresh(docs.columns, "bit", "at", "mask", "hit")
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 23))
-    masks = ids.select(bit.alias("_near_bit")).groupBy(F.expr("shiftright(_near_bit, 6)").alias("_near_at")).agg(F.expr("bit_or(shiftleft(1L, cast(_near_bit & 63 as int)))").alias("_near_mask"))
-    d = docs.withColumn("_near_bit", bit)
-    d = d.join(F.broadcast(masks), F.expr("shiftright(_near_bit, 6)") == F.col("_near_at"), "left")
-    return d.select(*docs.columns, F.expr("coalesce(shiftrightunsigned(_near_mask, cast(_near_bit & 63 as int)) & 1L = 1L, false)").alias("_near_hit"))
-
-
-def links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (u, v) between sets of `nodes` (fp, rep, n, prefix) that span the components of all pairs at `similarity` or above."""
-    p = nodes.where("rep is not null").select("fp", "n", F.explode("prefix").alias("key"))
-    turn = Window.partitionBy("key").orderBy(F.xxhash64("fp", F.pmod("key", F.lit(4))), "fp")
-    shared = p.withColumns({"g": F.lag("fp").over(turn), "m": F.lag("n").over(turn), "more": F.lead("n").over(turn)})
-    shared = cut(shared.where("m is not null or more is not null").select("key", "fp", "n", "g", "m"))
-    sizes = F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+    masks = ids.select(bit.alias(bit_)).groupBy(F.shiftright(bit_, 6).alias(at_)).agg(F.expr(f"bit_or(shiftleft(1L, cast({bit_} & 63 as int)))").alias(mask_))
+    d = docs.withColumn(bit_, bit).join(F.broadcast(masks), F.expr(f"shiftright({bit_}, 6)") == F.col(at_), "left")
+    is_set = F.expr(f"coalesce(shiftrightunsigned({mask_}, cast({bit_} & 63 as int)) & 1L = 1L, false)")
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], is_set.alias(hit)), hit
+
+
+def _seats(fps: DataFrame) -> DataFrame:
+    """(key, set): the prefix shingles of each set, once per task that reads it."""
+    def run(batches):
+        seen: set[int] = set()
+        for b in batches:
+            ids, rows = b.column(0).to_pylist(), b.column(1)
+            new = [k for k, i in enumerate(ids) if i not in seen and not seen.add(i)]
+            for at in range(0, len(new), 200):
+                keys = [np.frombuffer(rows[k].as_buffer(), np.int64) for k in new[at:at + 200]]
+                sets = np.repeat(np.array([ids[k] for k in new[at:at + 200]], np.int64), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(sets)], names=["key", "set"])
+
+    return fps.select("set", "prefix").mapInArrow(run, "key long, set long")
+
+
+def _candidates(budget: int, similarity: float):
+    """Pairs of sets of different components in the cells of one shard, with the number of keys in which they meet."""
+    def run(cells: pa.Table) -> pa.Table:
+        order, ranges, bit = node_pairs(cells)
+        fp, ids, n, root = (cells.column(c).to_numpy()[order] for c in ("fp", "set", "n", "root"))
+        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
+        c = np.empty(0, np.int64)
+        parts, held = [], 0
+
+        def merged():
+            a, b = (np.concatenate([x, *[p[k] for p in parts]]) for k, x in ((0, u), (1, v)))
+            weight = np.concatenate([c, np.ones(len(a) - len(c), np.int64)])
+            order = np.lexsort((b, a))
+            a, b, weight = a[order], b[order], weight[order]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
+            parts.clear()
+            return a[first], b[first], np.add.reduceat(weight, first) if len(first) else weight
+
+        for i, j in walk(fp.view(np.uint64), ranges, bit, budget, root):
+            ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+            x, y = ids[i[ok]], ids[j[ok]]
+            parts.append((np.minimum(x, y), np.maximum(x, y)))
+            held += len(x)
+            if held > 2_000_000:
+                (u, v, c), held = merged(), 0
+        u, v, c = merged()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "c": pa.array(c, pa.int64())})
+
+    return run
+
+
+def links(docs: DataFrame, nodes: DataFrame, seats: DataFrame, similarity: float = SIMILARITY, budget: int = BUDGET, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (u, v) between sets of `nodes` (set, rep, n, fp) that span the components of all pairs at `similarity` or above."""
+    turn = Window.partitionBy("key").orderBy("set").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    several = seats.withColumns({"lo": F.first("set").over(turn), "hi": F.last("set").over(turn)}).where("lo <> hi").select("key", "set")
+    shared = cut(several.join(nodes.select("set", "fp", "n"), "set").select("key", "set", "fp", "n"))
     behind = lambda c: F.ceil(similarity * F.col(c) - 1e-9) - 1  # noqa: E731  shingles behind the prefix
-    # What two sets share is in both prefixes or behind the prefix that ends first.
-    enough = F.col("c") + F.greatest(behind("n"), behind("m")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
 
     def rows(texts):
-        sets = [shingles(t) for t in texts]
-        return {"fp": [digest(s) for s in sets], "s": [s.tobytes() for s in sets]}
+        import zstandard
+
+        return {"set": [digest(shingles(t)) for t in texts], "z": [zstandard.compress((t or "").encode("utf-8"), 3) for t in texts]}
 
     def alike(batches):
-        import pyarrow as pa
+        import zstandard
+
+        held: OrderedDict[int, np.ndarray] = OrderedDict()  # the sets that were asked for last
+
+        def of(i, z):
+            if i not in held:
+                held[i] = shingles(zstandard.decompress(z.as_buffer()).decode("utf-8"))
+                if len(held) > 64:
+                    held.popitem(last=False)
+            held.move_to_end(i)
+            return held[i]
 
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            for u, v, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                p, q = of(u, x), of(v, y)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                ok.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     def checked(pairs):
-        have = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-        ids = nodes.select("fp", "rep").join(have, "fp").select(F.col("rep").alias("doc_id")).distinct()
-        sets = map_texts(_marked(docs, ids).where("_near_hit"), ["doc_id"], "text", "doc_id long, fp long, s binary", rows)
-        sets = cut(sets.select("fp", "s").join(have, "fp", "left_semi").dropDuplicates(["fp"]))
-        x, y = sets.select(F.col("fp").alias("u"), F.col("s").alias("x")), sets.select(F.col("fp").alias("v"), F.col("s").alias("y"))
+        have = cut(pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))).distinct())
+        ids = nodes.select("set", "rep").join(have, "set").select(F.col("rep").alias("doc_id")).distinct()
+        marked, hit = _marked(docs, ids)
+        texts = map_texts(marked.where(hit), ["doc_id"], "text", "doc_id long, set long, z binary", rows)
+        texts = cut(texts.select("set", "z").join(have, "set", "left_semi").dropDuplicates(["set"]))
+        x, y = texts.select(F.col("set").alias("u"), F.col("z").alias("x")), texts.select(F.col("set").alias("v"), F.col("z").alias("y"))
         return cut(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(alike, "u long, v long"))
 
-    pair = (F.least("fp", "g").alias("u"), F.greatest("fp", "g").alias("v"))
-    # Of a group's neighbours, those that meet in a tenth of the keys that a link needs are tried first; the rest are met below.
-    seen = shared.where(F.col("g").isNotNull() & sizes).groupBy(*pair).agg(F.count("*").alias("c"), F.min(F.least("n", "m")).alias("n"))
-    first = cut(seen.where(F.col("c") >= 0.009 * F.col("n")).select("u", "v"))
+    # Of a trie's neighbouring leaves, those that meet in a tenth of the keys that a link needs are tried first; the rest are met by the walk.
+    leaves = Window.partitionBy("key").orderBy("fp", "set")
+    near = shared.withColumns({"g": F.lag("set").over(leaves), "gp": F.lag("fp").over(leaves), "m": F.lag("n").over(leaves)})
+    near = near.where(F.col("g").isNotNull() & (F.col("g") != F.col("set")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("gp"))) <= budget) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9))
+    near = near.groupBy(F.least("set", "g").alias("u"), F.greatest("set", "g").alias("v")).agg(F.count("*").alias("c"), F.min(F.least("n", "m")).alias("n"))
+    first = cut(near.where(F.col("c") >= 0.009 * F.col("n")).select("u", "v"))
     found = checked(first)
-    named = shared.select("key", "fp", "n").join(components(found).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = cut(named.join(several, "key", "left_semi"))
-    right = left.select("key", F.col("fp").alias("g"), F.col("n").alias("m"), F.col("root").alias("other"))
-    rest = left.join(right, "key").where((F.col("root") != F.col("other")) & (F.col("fp") < F.col("g")) & sizes)
-    rest = rest.groupBy("fp", "g").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("m").alias("m")).where(enough)
-    rest = cut(rest.select(*pair).join(first, ["u", "v"], "left_anti"))
+
+    roots = components(found).withColumnRenamed("node", "set")
+    rooted = shared.join(roots, "set", "left").select("key", "set", "fp", "n", F.coalesce("root", "set").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = cut(rooted.join(mixed, "key", "left_semi").distinct())
+    shards = max(1, left.count() // SHARD_ROWS)
+    cells = cells_of(left, budget, cell_rows).withColumn("shard", F.pmod(F.xxhash64("key", "pa", "pb"), F.lit(shards)))
+    pairs = cells.groupBy("shard", "depth").applyInArrow(lean(_candidates(budget, similarity)), "u long, v long, c long")
+    size = nodes.select("set", "n")
+    pairs = pairs.groupBy("u", "v").agg(F.sum("c").alias("c")).join(size.select(F.col("set").alias("u"), "n"), "u").join(size.select(F.col("set").alias("v"), F.col("n").alias("m")), "v")
+    # What two sets share is in both prefixes or behind the prefix that ends first.
+    enough = F.col("c") + F.greatest(behind("n"), behind("m")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
+    rest = cut(pairs.where(enough).select("u", "v").join(first, ["u", "v"], "left_anti"))
     return found.unionByName(checked(rest))
 
 
-def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def grouped(docs: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, component_id) for every row of `docs`; component_id is the least doc_id that near copies lead to."""
     docs = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def rows(texts):
         sets = [shingles(t) for t in texts]
-        return {"fp": [digest(s) for s in sets], "n": [len(s) for s in sets], "prefix": [prefix(s, *shared.value, similarity).view(np.int64) for s in sets]}
+        return {"set": [digest(s) for s in sets], "n": [len(s) for s in sets], "fp": [int(np.array(majority(s), np.uint64).view(np.int64)) for s in sets],
+                "prefix": [prefix(s, *shared.value, similarity).tobytes() for s in sets]}
 
-    fps = cut(map_texts(docs, ["doc_id"], "text", "doc_id long, fp long, n int, prefix array<long>", rows))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    name = nodes.select("fp", "rep")
-    edges = links(docs, nodes, similarity).join(name.select(F.col("fp").alias("u"), F.col("rep").alias("a")), "u").join(name.select(F.col("fp").alias("v"), F.col("rep").alias("b")), "v")
-    roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    comp = name.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.select("doc_id", "fp").join(comp, "fp", "left").select("doc_id", "component_id")
+    fps = cut(map_texts(docs, ["doc_id"], "text", "doc_id long, set long, n int, fp long, prefix binary", rows))
+    nodes = cut(fps.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    comp = named(nodes.select(F.col("set").alias("fp"), "rep"), links(docs, nodes, _seats(fps), similarity, cell_rows=cell_rows)).withColumnRenamed("fp", "set")
+    return fps.select("doc_id", "set").join(comp, "set", "left").select("doc_id", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose id names its component; rows without an id stay."""
     gone = cut(grouped(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    marked = _marked(docs, gone)
-    return marked.where("not _near_hit").unionByName(marked.where("_near_hit").join(gone, "doc_id", "left_anti")).select(*docs.columns)
+    marked, hit = _marked(docs, gone)
+    return marked.where(f"not {hit}").unionByName(marked.where(hit).join(gone, "doc_id", "left_anti").select(*marked.columns)).select(*[F.col(f"`{c}`") for c in docs.columns])

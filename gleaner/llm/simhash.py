@@ -8,10 +8,13 @@ holds any share of the fingerprints is cut further; small cells are finished by
 over sorted arrays. Each cell returns a spanning star forest of its links, never all pairs, and
 components follow by large-star / small-star rounds.
 
-Defined edge cases: a null or blank text has fingerprint 0 and links like any other; rows that
-repeat a doc_id or a text simply share a fingerprint; a null doc_id keeps its row, is never a
-component's name, and gets component null if no id is reachable; an empty table gives no rows.
-Only `doc_id` and `text` are read, so further columns of any name do no harm.
+Links join fingerprints, so a text without an id links like any other. `near_copies` runs the same
+walk in the tries of texts that share a shingle, for a similarity instead of a few bits.
+
+Defined edge cases: a null or blank text has fingerprint 0 and links like any other; rows of one
+text share a fingerprint, and rows of one doc_id are judged each by its own text; a null doc_id
+keeps its row, is never a component's name, and gets component null if no id is reachable; an empty
+table gives no rows. Only `doc_id` and `text` are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from gleaner.llm.common import cut, hex64, lean, map_texts
 
 BITS = 64
 STEP = 6  # bits by which a cell's prefixes grow in one expansion
-CELL_ROWS = 60_000  # cells above this many rows are expanded further
+CELL_ROWS = 120_000  # cells above this many rows are expanded further
 
 
 def fingerprint(text: str | None, width: int = 3, chunk: int = 1 << 15) -> int:
@@ -39,7 +42,11 @@ def fingerprint(text: str | None, width: int = 3, chunk: int = 1 << 15) -> int:
         return 0
     grams = zip(*(words[i:] for i in range(width))) if len(words) >= width else [tuple(words)]
     h = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h(b" ".join(g), 42) for g in grams), np.uint64)
+    return majority(np.fromiter((h(b" ".join(g), 42) for g in grams), np.uint64), chunk)
+
+
+def majority(hashes: np.ndarray, chunk: int = 1 << 15) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), chunk):
         part = np.unpackbits(hashes[at:at + chunk].astype(">u8").view(np.uint8)).reshape(-1, BITS)
@@ -56,47 +63,49 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return map_texts(docs, ["doc_id"], "text", "doc_id long, fp long", rows)
 
 
-def trie_links(a: np.ndarray, b: np.ndarray, same: bool, depth: int, budget: int, room: int = 1 << 17):
-    """Index pairs (i, j) with popcount(a[i] ^ b[j]) <= budget, by walking two tries together.
+def walk(fp: np.ndarray, ranges: list[np.ndarray], bit: int, budget: int, root: np.ndarray | None = None, room: int = 1 << 17):
+    """Index pairs (i, j) with popcount(fp[i] ^ fp[j]) <= budget, in pieces, by walking pairs of trie nodes together.
 
-    `a` and `b` are sorted distinct uint64 arrays, each of one `depth`-bit prefix; with `same` they are
-    one array and each unordered pair is found once. Pairs of nodes are kept on a stack of pieces of
-    at most `room`, so memory stays bounded whatever the data.
+    `ranges` names pairs of nodes: from and to of one, from and to of the other, and the bits in which their paths above
+    `bit` differ. A node is a range of `fp` that is sorted and of one path; a node may be paired with itself, and then each
+    unordered pair is found once. Pairs of nodes are kept on a stack of pieces of at most `room`, so memory stays bounded
+    whatever the data. With `root`, pairs of equal root are left out, and two nodes of one and the same root are pruned.
     """
-    err = 0 if same or not len(a) or not len(b) else int(int(a[0] ^ b[0]) >> (BITS - depth) if depth else 0).bit_count()
-    if not len(a) or not len(b) or err > budget:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    first = [np.array([x]) for x in (0, len(a), 0, len(b), err)]
-    stack, left, right = [(BITS - 1 - depth, first)], [], []
+    change = None if root is None else np.concatenate([[0], np.cumsum(root[1:] != root[:-1])])
+    stack = [(bit, ranges)]
     while stack:
         bit, (al, ah, bl, bh, e) = stack.pop()
+        if root is not None and len(al):
+            mixed = (change[al] != change[ah - 1]) | (change[bl] != change[bh - 1]) | (root[al] != root[bl])
+            al, ah, bl, bh, e = (x[mixed] for x in (al, ah, bl, bh, e))
+        if len(al) > room:
+            for at in range(0, len(al), room):
+                stack.append((bit, [x[at:at + room] for x in (al, ah, bl, bh, e)]))
+            continue
         alone = (ah - al == 1) & (bh - bl == 1)
         if alone.any():
             i, j = al[alone], bl[alone]
-            near = np.bitwise_count(a[i] ^ b[j]) <= budget
-            if same:
-                near &= i != j
-            left.append(i[near])
-            right.append(j[near])
+            near = (np.bitwise_count(fp[i] ^ fp[j]) <= budget) & (i != j)
+            yield i[near], j[near]
             al, ah, bl, bh, e = (x[~alone] for x in (al, ah, bl, bh, e))
-        if bit < 0 or not len(al):
+        if not len(al):
             continue
-        if len(al) > room:
-            for at in range(0, len(al), room):
-                stack.append((bit, [x[at:at + room] for x in (al, ah, bl, bh, e)]))
+        if bit < 0:  # equal fingerprints
+            for a0, a1, b0, b1 in zip(al.tolist(), ah.tolist(), bl.tolist(), bh.tolist()):
+                for i in range(a0, a1):
+                    for at in range(max(b0, i + 1) if a0 == b0 else b0, b1, room):
+                        j = np.arange(at, min(b1, at + room))
+                        if root is not None:
+                            j = j[root[j] != root[i]]
+                        yield np.full(len(j), i), j
             continue
-        one, low = np.uint64(1 << bit), np.uint64((1 << bit) - 1)
-        am = np.clip(np.searchsorted(a, (a[al] | one) & ~low), al, ah)
-        bm = np.clip(np.searchsorted(b, (b[bl] | one) & ~low), bl, bh)
+        zeros = np.concatenate([[0], np.cumsum(fp >> np.uint64(bit) & np.uint64(1) == 0)])
+        am, bm = al + zeros[ah] - zeros[al], bl + zeros[bh] - zeros[bl]
         kids = [(al, am, bl, bm, e), (am, ah, bm, bh, e), (al, am, bm, bh, e + 1), (am, ah, bl, bm, e + 1)]
-        if same:  # of a node paired with itself, the two mixed children are one pair
-            kids[3] = tuple(x[al != bl] for x in kids[3])
+        kids[3] = tuple(x[al != bl] for x in kids[3])  # of a node paired with itself, the two mixed children are one pair
         new = [np.concatenate(x) for x in zip(*kids)]
-        ok = (new[1] > new[0]) & (new[3] > new[2]) & (new[4] <= budget)
-        if same:  # a single leaf paired with itself
-            ok &= ~((new[0] == new[2]) & (new[1] - new[0] == 1) & (new[3] - new[2] == 1))
+        ok = (new[1] > new[0]) & (new[3] > new[2]) & (new[4] <= budget) & ~((new[0] == new[2]) & (new[1] - new[0] == 1))
         stack.append((bit - 1, [x[ok] for x in new]))
-    return (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
 
 
 def star_forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -116,25 +125,35 @@ def star_forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def node_pairs(cells: pa.Table) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """Rows of cells of one depth, in the order of their nodes: that order, the pairs of nodes, and the bit to go on from.
+
+    A cell (key, pa, pb) is the pair of the nodes with paths pa and pb in the trie of its key; pa = pb is a node with itself.
+    """
+    key, left, right, side = (cells.column(c).to_numpy() for c in ("key", "pa", "pb", "side"))
+    depth = cells.column("depth")[0].as_py()
+    order = np.lexsort((cells.column("fp").to_numpy().view(np.uint64), side, right, left, key))
+    key, left, right, side = key[order], left[order], right[order], side[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+    end = np.append(new[1:], len(key))
+    ones = np.concatenate([[0], np.cumsum(side)])
+    middle = end - (ones[end] - ones[new])
+    same = left[new] == right[new]
+    ranges = [new, np.where(same, end, middle), np.where(same, new, middle), end, np.bitwise_count((left[new] ^ right[new]).astype(np.uint64)).astype(np.int64)]
+    full = (ranges[1] > ranges[0]) & (ranges[3] > ranges[2])
+    return order, [x[full] for x in ranges], BITS - 1 - depth
+
+
 def _cell_links(budget: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        depth = group.column("depth")[0].as_py()
-        side, fp, rep = (group.column(c).to_numpy() for c in ("side", "fp", "rep"))
-        same = group.column("pa")[0].as_py() == group.column("pb")[0].as_py()
-        fp = fp.view(np.uint64)
-        parts = []
-        for s in ((0,) if same else (0, 1)):
-            order = np.flatnonzero(side == s)
-            order = order[np.argsort(fp[order], kind="stable")]
-            parts.append((fp[order], rep[order]))
-        (a, ra), (b, rb) = parts[0], parts[-1]
-        i, j = trie_links(a, b, same, depth, budget)
-        # Nodes in the order of their representative ids, so that a component's least node has its least id.
-        ids, where = np.unique(ra if same else np.concatenate([ra, rb]), return_inverse=True)
-        li, lj = where[i], where[j if same else j + len(a)]
-        label = star_forest(len(ids), li, lj)
+        order, ranges, bit = node_pairs(group)
+        signed = group.column("fp").to_numpy()[order]
+        found = list(walk(signed.view(np.uint64), ranges, bit, budget))
+        i, j = (np.concatenate([x[k] for x in found] or [np.empty(0, np.int64)]) for k in (0, 1))
+        ids, where = np.unique(signed, return_inverse=True)
+        label = star_forest(len(ids), where[i], where[j])
         moved = np.flatnonzero(label != np.arange(len(ids)))
         return pa.table([pa.array(ids[moved]), pa.array(ids[label[moved]])], schema=schema)
 
@@ -143,48 +162,54 @@ def _cell_links(budget: int):
 
 def _expand(cells: DataFrame, bits: int, budget: int) -> DataFrame:
     """Each row goes to the child cells in which it can still meet a partner within the budget."""
+    carried = [c for c in cells.columns if c not in ("side", "depth", "pa", "pb")]
     masks = [m for m in range(1 << bits) if m.bit_count() <= budget]
     nxt = cells.depth + bits
     own_bits = F.expr(f"shiftrightunsigned(fp, 64 - depth - {bits}) & {(1 << bits) - 1}")
     own, other = F.when(F.col("side") == 0, F.col("pa")).otherwise(F.col("pb")), F.when(F.col("side") == 0, F.col("pb")).otherwise(F.col("pa"))
-    x = cells.select("fp", "rep", "side", (F.col("pa") == F.col("pb")).alias("same"), nxt.alias("depth"),
+    x = cells.select(*carried, "side", (F.col("pa") == F.col("pb")).alias("same"), nxt.alias("depth"),
                      (F.shiftleft(own, bits).bitwiseOR(own_bits)).alias("own"),
                      F.shiftleft(other, bits).alias("o"), own_bits.alias("bits"),
                      F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("m"))
     x = x.withColumn("o", F.col("o").bitwiseOR(F.col("bits").bitwiseXOR(F.col("m"))))
     x = x.where(F.bit_count(F.col("own").bitwiseXOR(F.col("o"))) <= budget)
     flip = F.when(F.col("same"), F.col("own") > F.col("o")).otherwise(F.col("side") == 1)
-    return x.select("fp", "rep", F.when(flip, 1).otherwise(0).alias("side"), "depth",
+    return x.select(*carried, F.when(flip, 1).otherwise(0).alias("side"), "depth",
                     F.when(flip, F.col("o")).otherwise(F.col("own")).alias("pa"),
                     F.when(flip, F.col("own")).otherwise(F.col("o")).alias("pb"))
 
 
-def links(nodes: DataFrame, budget: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Spanning links (u, v) between representatives of distinct fingerprints (fp, rep) within `budget` bits."""
-    n = nodes.count()
-    # The first cut is chosen so that a prefix of evenly spread fingerprints fills about half a cell.
-    start = min(BITS - 2 * STEP, max(0, math.ceil(math.log2(max(n, 1) * 4 / cell_rows))))
-    cells = nodes.select("fp", "rep", F.lit(0).alias("side"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pa"), F.lit(0).cast("long").alias("pb"))
+def cells_of(rows: DataFrame, budget: int, cell_rows: int = CELL_ROWS, even: int = 0) -> DataFrame:
+    """Rows (key, fp, ...) in cells of at most `cell_rows`: a cell is a pair of nodes in the trie of one key, and too large ones are cut into pairs of their children.
+
+    `even` is the number of rows that lie evenly under one key: as many levels as they need are cut at once, without counting.
+    """
+    cells = rows.select("*", F.lit(0).alias("side"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("pa"), F.lit(0).cast("long").alias("pb"))
+    start = min(BITS - 2 * STEP, max(0, math.ceil(math.log2(max(even, 1) * 2 / cell_rows))))
     grown = 0
     while grown < start:
         bits = min(STEP, start - grown)
         cells = _expand(cells, bits, budget)
         grown += bits
     done: list[DataFrame] = []
-    key = ["pa", "pb", "depth"]
-    while True:
-        large = cut(cells.groupBy(*key).count().where(F.col("count") > cell_rows).select(*key)) if n > cell_rows else None
-        hot = large.count() if large is not None and grown + STEP <= BITS else 0
-        if not hot:
-            done.append(cells)
+    key = ["key", "pa", "pb", "depth"]
+    while grown + STEP <= BITS:
+        large = cut(cells.groupBy(*key).count().where(F.col("count") > cell_rows).select(*key))
+        if large.isEmpty():
             break
-        done.append(cells.join(large, key, "left_anti"))
-        cells = cut(_expand(cells.join(large, key, "left_semi"), STEP, budget))
+        done.append(cells.join(large, key, "left_anti").select(*cells.columns))
+        cells = cut(_expand(cells.join(large, key, "left_semi").select(*cells.columns), STEP, budget))
         grown += STEP
-    rows = done[0]
-    for d in done[1:]:
-        rows = rows.unionByName(d)
-    out = rows.groupBy(*key).applyInArrow(lean(_cell_links(budget)), "u long, v long")
+    for d in done:
+        cells = cells.unionByName(d)
+    return cells
+
+
+def links(fps: DataFrame, budget: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (u, v) that span the components of distinct fingerprints (fp) within `budget` bits of each other."""
+    rows = fps.select(F.lit(0).cast("long").alias("key"), "fp")
+    cells = cells_of(rows, budget, cell_rows, fps.count())
+    out = cells.groupBy("pa", "pb", "depth").applyInArrow(lean(_cell_links(budget)), "u long, v long")
     return cut(out.distinct())
 
 
@@ -208,13 +233,20 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
 
 
+def named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component_id) of nodes (fp, rep): the least rep that links lead to, null if none has one."""
+    roots = cut(components(edges).withColumnRenamed("node", "fp"))
+    ends = roots.unionByName(roots.select(F.col("root").alias("fp"), "root")).distinct()
+    least = ends.join(nodes, "fp").groupBy("root").agg(F.min("rep").alias("least"))
+    found = ends.join(least, "root").select("fp", "least", F.lit(True).alias("linked"))
+    return nodes.join(found, "fp", "left").select("fp", F.when(F.col("linked"), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs`; component_id is the least doc_id reachable by links."""
     fps = cut(fingerprints(docs, width))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    # An id that stands on several fingerprints (repeated ids with different texts) is one node.
-    roots = components(links(nodes.where("rep is not null"), budget, cell_rows))
-    comp = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    comp = named(nodes, links(nodes.select("fp"), budget, cell_rows))
     return fps.join(comp, "fp", "left").select("doc_id", "fp", "component_id")
 
 

@@ -119,7 +119,8 @@ def _own_hashes(rows, copied, shards: int):
     """Anchor hashes of the block, distinct per document, with their shards; sorted by (shard, hash) and counted."""
     per = [np.unique(anchors(d)[3]) for i, d in rows if not copied(i, d)]
     h, n = np.unique(np.concatenate(per), return_counts=True) if per else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    shard = ((h >> np.uint64(48)) % np.uint64(shards)).astype(np.int64)
+    shard = (h >> np.uint64(20)) % np.uint64(shards)
+    shard = shard.astype(np.int64)
     order = np.argsort(shard, kind="stable")
     return h[order], n[order] > 1, np.searchsorted(shard[order], np.arange(shards + 1))
 
