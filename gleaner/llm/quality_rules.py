@@ -7,11 +7,13 @@ The references are sums over all documents of a language that pass the base rule
 have ragged histograms, so the allowed distances grow by `slack / sqrt(size)`, and texts of fewer than
 50 words are failed by the base rules.
 
-References are collected for the `LANGUAGES` languages with most words, `WORDS` words each (a
-fixed bound); rows of further languages, and rows whose language is null, are compared with the sum
-over all languages.
+Every language has its reference, `WORDS` words each. References are collected and broadcast for at most
+`LANGUAGES` languages at a time; where there are more, the languages are dealt to parts by hash and
+each part's rows are judged in a pass of their own. Rows whose language is null are compared with the
+sum over all languages.
 
-Defined edge cases: a null text has no words and fails the base rules; repeated rows give equal
+Defined edge cases: a null text has no words and fails the base rules; a null language is another than
+the empty one; a language none of whose documents passes the base rules has no reference, and none of its documents is kept; repeated rows give equal
 rows; ties between common words go to the first by bytes; an empty table gives no rows. Only
 `doc_id`, `text` and `lang` are read.
 """
@@ -29,8 +31,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from gleaner.llm.common import cut
 
-LANGUAGES, WORDS = 200, 64
-ANY = ""  # the reference over all languages
+LANGUAGES, WORDS = 5_000, 64
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, js_chars double, js_words double"
 
 # Character classes of UTF-8 bytes; continuation bytes have none.
@@ -84,8 +85,8 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 def _counts(batches):
     """Per language, counts of classes and words of the texts that pass the base rules."""
     schema = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("key", pa.binary()), ("n", pa.int64())])
-    words: dict[str, Counter] = {}
-    classes: dict[str, np.ndarray] = {}
+    words: dict[str | None, Counter] = {}
+    classes: dict[str | None, np.ndarray] = {}
 
     def rows():
         flat = [(lang, "w", k, n) for lang, c in words.items() for k, n in c.items()]
@@ -100,7 +101,6 @@ def _counts(batches):
             x = base(text)
             if x["base_failed"]:
                 continue
-            lang = ANY if lang is None else lang
             words.setdefault(lang, Counter()).update(x["data"].lower().split())
             classes[lang] = classes.get(lang, 0) + class_counts(x["data"])
         if sum(map(len, words.values())) > 300_000:  # bounded memory: what is counted so far goes to the shuffle
@@ -108,34 +108,65 @@ def _counts(batches):
     yield from rows()
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """Per language: class counts, the commonest words, their counts with those of all other words at the end."""
+def counts_of(docs: DataFrame) -> DataFrame:
+    """(lang, kind, key, n): counts of words and character classes per language, over all documents that pass the base rules."""
     counts = docs.select("text", "lang").mapInArrow(_counts, "lang string, kind string, key binary, n long")
-    counts = counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
-    counts = cut(counts)
-    totals = {r.lang: r.n for r in counts.where("kind = 'w'").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    top = counts.where(F.col("lang").isin(list(totals))).withColumn("k", F.row_number().over(best)).where(F.col("k") <= WORDS)
-    every = counts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    every = every.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "key"))).where(F.col("k") <= WORDS)
-    rows = top.select("lang", "kind", "key", "n").collect() + every.select(F.lit(None).cast("string").alias("lang"), "kind", "key", "n").collect()
-    all_words = counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
-    out = {}
-    for lang in {r.lang for r in rows}:
-        classes = np.zeros(CLASSES)
-        words = sorted(((r.key, r.n) for r in rows if r.lang == lang and r.kind == "w"), key=lambda x: (-x[1], bytes(x[0])))
-        for r in rows:
-            if r.lang == lang and r.kind == "c":
-                classes[int(bytes(r.key))] = r.n
-        n = np.array([x[1] for x in words], float)
-        out[lang] = (classes, [bytes(x[0]) for x in words], np.append(n, (all_words if lang is None else totals[lang]) - n.sum()))
-    return out
+    return cut(counts.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
+
+
+def _commonest(counts: DataFrame, *group: str) -> DataFrame:
+    """The WORDS commonest keys of each group: first of its 256 parts, so that no task meets all of a group's words."""
+    ranked = lambda df, by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "key"))).where(F.col("k") <= WORDS).drop("k")
+    return ranked(ranked(counts.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(256))), [*group, "salt"]), group)
+
+
+Reference = tuple[np.ndarray, list[bytes], np.ndarray]
+
+
+def _built(rows: list, total: int) -> Reference:
+    classes = np.zeros(CLASSES)
+    for r in rows:
+        if r.kind == "c":
+            classes[int(bytes(r.key))] = r.n
+    words = sorted(((bytes(r.key), r.n) for r in rows if r.kind == "w"), key=lambda x: (-x[1], x[0]))
+    n = np.array([x[1] for x in words], float)
+    return classes, [x[0] for x in words], np.append(n, total - n.sum())
 
 
-def judge(docs: DataFrame, max_chars: float = 0.22, max_words: float = 0.40, slack_chars: float = 2.0, slack_words: float = 0.8) -> DataFrame:
+def references(counts: DataFrame) -> dict[str | None, Reference]:
+    """Per language (None: all together): class counts, the commonest words, their counts with those of all other words at the end."""
+    totals = {r.lang: r.n for r in counts.where("kind = 'w' and lang is not null").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    rows: dict[str, list] = {}
+    for r in _commonest(counts.where("lang is not null"), "lang", "kind").collect():
+        rows.setdefault(r.lang, []).append(r)
+    return {lang: _built(found, totals.get(lang, 0)) for lang, found in rows.items()}
+
+
+def pooled(counts: DataFrame) -> Reference:
+    """The reference over all languages."""
+    total = counts.where("kind = 'w'").agg(F.sum("n")).first()[0] or 0
+    return _built(_commonest(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "kind").collect(), total)
+
+
+def judge(docs: DataFrame, max_chars: float = 0.22, max_words: float = 0.40, slack_chars: float = 2.0, slack_words: float = 0.8, languages: int = LANGUAGES) -> DataFrame:
     """One row per document with its base figures, both distances and the verdict."""
-    shared = docs.sparkSession.sparkContext.broadcast(references(docs))
+    counts = counts_of(docs)
+    parts = max(1, -(-counts.where("kind = 'c' and lang is not null").select("lang").distinct().count() // languages))
+    docs = docs.select(F.col("doc_id").cast("long"), "text", "lang")
+    part = F.pmod(F.xxhash64("lang"), F.lit(parts))
+    every = pooled(counts)
+    out = None
+    for k in range(parts):
+        here = (docs, counts) if parts == 1 else (docs.where(part == k), counts.where(part == k))
+        got = _judged(here[0], references(here[1]) | {None: every}, (max_chars, max_words, slack_chars, slack_words))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _judged(docs: DataFrame, refs: dict[str | None, Reference], bounds: tuple[float, float, float, float]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(refs)
     schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
+    max_chars, max_words, slack_chars, slack_words = bounds
 
     def run(batches):
         refs = {lang: (c, {w: k for k, w in enumerate(words)}, n) for lang, (c, words, n) in shared.value.items()}
@@ -143,7 +174,7 @@ def judge(docs: DataFrame, max_chars: float = 0.22, max_words: float = 0.40, sla
             out = []
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
                 x = base(text)
-                ref = refs.get(lang if lang in refs else None)
+                ref = refs.get(lang)
                 js_c = js_w = 1.0
                 if ref is not None and x["n_words"]:
                     at = ref[1]
@@ -156,7 +187,7 @@ def judge(docs: DataFrame, max_chars: float = 0.22, max_words: float = 0.40, sla
             cols = list(zip(*out)) if out else [()] * (len(schema) - 1)
             yield pa.RecordBatch.from_arrays([b.column("doc_id")] + [pa.array(c, type=f.type) for c, f in zip(cols, list(schema)[1:])], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, SCHEMA)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ is one shingle, and a text without words has an empty sketch. Two empty sketches
 an empty and a full one 0.
 
 Each document's text is also edited with the beginning of the next document by id. Ids are cut into
-ranges at quantiles; a range is a window's partition, and the first row of the next range is sent
-along as a guest row, so no single task sees the table and the texts are shuffled once.
+ranges at quantiles of a sample by hash, which only decides where ranges end; a range is a window's partition, and the first row of the next range is sent
+along as a guest row, so no single task sees the table and the texts are shuffled once. Ranges grow in
+number with the table to 50,000, beyond that (200 million documents) in rows, which the window sorts with spilling.
 
 Defined edge cases: a null text counts as empty; rows with one doc_id are neighbours in order of
 their texts' hashes; rows with a null doc_id come last; a single row is its own next document; an
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import hex64
 
 K, SHINGLE = 128, 5
-ROWS_PER_RANGE, RANGES = 4000, 2000
+ROWS_PER_RANGE, RANGES = 4000, 50_000
+SAMPLED = 16  # ids a range, from which the cuts between ranges are taken
 
 
 def sketch(text: Column, k: int = K, width: int = SHINGLE) -> Column:
@@ -84,18 +86,26 @@ def with_next(docs: DataFrame, columns: list[str], next_columns: dict[str, str],
               rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Adds `next_columns` (new name -> column) of the next row by `order`; the last row's next is the first."""
     ids = docs.select(order).where(F.col(order).isNotNull())
-    n = ids.count()
+    n, low = ids.agg(F.count("*"), F.min(order)).first()
     parts = max(1, min(RANGES, n // rows_per_range))
-    cuts = F.percentile_approx(order, [i / parts for i in range(1, parts)], 100_000) if parts > 1 else F.array().cast("array<long>")
-    found = ids.agg(F.min(order).alias("low"), cuts.alias("cuts")).first()
-    low, cuts = found["low"], sorted(set(found["cuts"] or ()) - {found["low"]})
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
+    cuts: list[int] = []
+    if parts > 1:
+        every = max(1, n // (parts * SAMPLED))
+        some = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64(order), F.lit(every)) == 0).distinct().collect())
+        cuts = sorted({some[len(some) * i // parts] for i in range(1, parts)} - {low}) if some else []
+    # The cuts are one literal; a row finds its range among every `step`-th cut and then among the cuts up to the next of these.
+    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>") if xs else F.array().cast("array<bigint>")
+    step = max(1, int(len(cuts) ** 0.5))
+    bounds, coarse = numbers(cuts), numbers(cuts[step - 1::step])
+    upto = lambda xs: F.size(F.filter(xs, lambda c: c <= F.col(order)))
     last = len(cuts)
-    at = F.when(F.col(order).isNull(), last).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col(order))))
+    docs = docs.withColumn("skip", upto(coarse) * step)
+    docs = docs.withColumn("range", F.when(F.col(order).isNull(), last).otherwise(F.col("skip") + upto(F.slice(bounds, F.col("skip") + 1, F.lit(step)))))
+    at = F.col("range")
     seat = lambda part, guest: F.struct(part.cast("int").alias("part"), F.lit(guest).alias("guest"))
     none = F.array().cast("array<struct<part:int,guest:int>>")
     seats = F.concat(F.array(seat(at, 0)),
-                     F.when(F.array_contains(bounds, F.col(order)), F.array(seat(at - 1, 1))).otherwise(none) if cuts else none,
+                     F.when((at > 0) & (F.get(bounds, at - 1) == F.col(order)), F.array(seat(at - 1, 1))).otherwise(none) if cuts else none,
                      F.when(F.col(order).isNull() if low is None else F.col(order) == low, F.array(seat(F.lit(last), 2))).otherwise(none))
     rows = docs.select(*columns, F.inline(seats), F.xxhash64(tie).alias("tie"))
     w = Window.partitionBy("part").orderBy("guest", F.col(order).asc_nulls_last(), "tie")

@@ -9,7 +9,7 @@ Only suffixes that can have an equal partner are sorted. Each 50-byte string is
 anchor, the 24-byte string in it of least hash (the rightmost on a tie), which depends on nothing
 but the string. Suffixes of one anchor that stand next to each other travel together as one context.
 
-1. Documents are dealt to blocks by the hash of their id. Whole texts that are equal are settled by
+1. Documents are dealt to blocks by the hash of their id and text. Whole texts that are equal are settled by
    their SHA-256: only the first takes part further.
 2. Each block sends each of its anchors' hashes once to the shard that owns it; the shard answers
    which of them stand in more than one document.
@@ -316,16 +316,20 @@ def _removals(docs: pa.Table, known: pa.Table):
 
 
 def _dealt(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame, int]:
-    """Rows dealt to blocks; (copy, block) of rows whose whole text an earlier row has; total bytes."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    """Rows dealt to blocks; (copy, sha, block) of rows whose whole text an earlier row has; total bytes."""
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    size = size or 0
     blocks = max(8, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    # With the text in the hash, rows without an id and rows of one id spread over the blocks.
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block")
     dealt = docs.select(*columns, block).repartition(blocks, "block")
-    sums = cut(docs.where("text is not null").select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("copy"), F.unhex(F.sha2("text", 256)).alias("sha")))
-    first = sums.groupBy("sha").agg(F.min("copy").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = sums.join(first, "sha").where("copy > first")
-    copies = copies.select("copy", F.pmod(F.xxhash64(F.nullif("copy", F.lit(int(NO_ID)))), F.lit(blocks)).cast("int").alias("block"), "sha")
-    return dealt, copies, size
+    sums = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(int(NO_ID))).alias("copy"), F.unhex(F.sha2("text", 256)).alias("sha"), block)
+    sums = cut(sums)
+    first = cut(sums.groupBy("sha").agg(F.min("copy").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    hot = F.col("n") > max(1000, rows // 1000)  # at most a thousand texts have so many copies
+    few = F.broadcast(first.where(hot).select("sha", "first"))
+    copies = sums.join(few, "sha").unionByName(sums.join(few, "sha", "left_anti").join(first.where(~hot).select("sha", "first"), "sha"))
+    return dealt, copies.where("copy > first").select("copy", "sha", "block"), size
 
 
 def _marked(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
