@@ -63,12 +63,32 @@ def test_trie_links_and_cell_expansion(spark):
     flips = [np.uint64(1) << r.integers(0, 64, 40).astype(np.uint64) for _ in range(3)]
     fps = np.unique(np.concatenate([base, base[:40] ^ flips[0], base[:40] ^ flips[0] ^ flips[1], base[:40] ^ flips[0] ^ flips[1] ^ flips[2]]))
     want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 2}
-    i, j = simhash.trie_links(fps, fps, True, 0, 2, room=7)
-    assert {(min(x), max(x)) for x in zip(i.tolist(), j.tolist())} == want
-    nodes = spark.createDataFrame([(f, k) for k, f in enumerate(fps.view(np.int64).tolist())], "fp long, rep long")
+    whole = [np.array([x]) for x in (0, len(fps), 0, len(fps), 0)]
+    found = list(simhash.walk(fps, whole, 63, 2, room=7))
+    assert {(min(x), max(x)) for i, j in found for x in zip(i.tolist(), j.tolist())} == want
+    two = np.repeat(fps, 2)  # equal fingerprints of different texts; pairs of one root are left out
+    root = np.arange(len(two)) // 2 % 5
+    pairs = [x for i, j in simhash.walk(two, [np.array([x]) for x in (0, len(two), 0, len(two), 0)], 63, 2, root, room=7) for x in zip(i.tolist(), j.tolist())]
+    assert sorted(pairs) == sorted({(i, j) for i in range(len(two)) for j in range(i + 1, len(two)) if int(two[i] ^ two[j]).bit_count() <= 2 and root[i] != root[j]})
+    nodes = spark.createDataFrame([(f,) for f in fps.view(np.int64).tolist()], "fp long")
     roots = {x.node: x.root for x in simhash.components(simhash.links(nodes, 2, cell_rows=20)).collect()}
-    label = simhash.star_forest(len(fps), *(np.array(x) for x in zip(*want)))
-    assert {k: int(v) for k, v in enumerate(label) if v != k} == {k: v for k, v in roots.items() if k != v}
+    label, group = simhash.star_forest(len(fps), *(np.array(x) for x in zip(*want))), {}
+    for f, k in zip(fps.view(np.int64).tolist(), label.tolist()):
+        group.setdefault(k, []).append(f)
+    assert roots == {f: min(g) for g in group.values() for f in g if f != min(g)}
+
+
+def test_simhash_links_lead_through_rows_without_id(spark):
+    base = [f"w{i}" for i in range(300)]
+    near = lambda a, b: (a ^ b).bit_count() <= 2
+    every = [(" ".join(base[:k])) for k in range(250, 300)]
+    marks = [simhash.fingerprint(t) for t in every]
+    i, j, k = next((i, j, k) for i in range(50) for j in range(i + 1, 50) for k in range(j + 1, 50) if near(marks[i], marks[j]) and near(marks[j], marks[k]) and not near(marks[i], marks[k]))
+    texts, f = [every[x] for x in (i, j, k)], [marks[x] for x in (i, j, k)]
+    rows = [(1, texts[0]), (None, texts[1]), (5, texts[2]), (None, "quite another text")]
+    got = simhash.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got if r.fingerprint in {f"{x:016x}" for x in f}) == [(0, 1), (1, 1), (5, 1)]
+    assert [r.component_id for r in got if r.fingerprint not in {f"{x:016x}" for x in f}] == [None]
 
 
 def test_suffix_dedup_equals_brute_force(docs):
@@ -202,8 +222,9 @@ def test_mixing(docs, empty):
 
 
 def test_kneser_ney(spark, docs, empty):
-    p = kneser_ney.lower_orders(np.random.default_rng(1).integers(0, 4, kneser_ney.LOW))
-    assert np.allclose(p.reshape(-1, 32).sum(axis=1), 1)
+    n4 = np.random.default_rng(1).integers(0, 4, kneser_ney.LOW)
+    model = kneser_ney.Model(n4, np.zeros(kneser_ney.LOW), np.zeros((kneser_ney.LOW, 3)), [3, 2, 1, 1])
+    assert np.allclose(model.order4(np.arange(kneser_ney.LOW)).reshape(-1, 32).sum(axis=1), 1)
     good = "the plant in the north was built with some of the steel and then it grew "
     r = random.Random(2)
     df = spark.createDataFrame([(i, " ".join(r.sample(good.split(), 12)), "en") for i in range(60)] + [(90, "QZX JKV!! WQ#" * 9, "en"), (91, None, "en"), (92, "", None)], "doc_id long, text string, lang string")
