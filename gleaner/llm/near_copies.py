@@ -9,8 +9,9 @@ What is left is compared by sizes, by the number of shared prefix shingles, and
 The order puts shingles that a sample of the texts has often last and goes by hash otherwise: any order finds every pair,
 this one keeps the tries small.
 
-Pairs within one component need no check. A first round therefore compares only neighbouring leaves of each trie, which joins large
-groups of near copies in linear work; the walk then prunes node pairs all of whose texts are in one component.
+Pairs within one component need no check. A first round therefore checks, for each text, only the FIRST neighbouring leaves that it
+meets at fewest bits and the FIRST heaviest texts that it meets in most tries, which joins large groups of near copies in linear work; the walk then prunes node pairs all of whose texts are in
+one component. Of the pairs that it finds between two components, FIRST are checked first, and all others where these do not link the two.
 
 Defined edge cases: a text of fewer than five words is one shingle; texts without words are equal to each other; a null
 doc_id keeps its row, links like any other and never names a component; rows of one doc_id are judged each by its own
@@ -32,7 +33,7 @@ from gleaner.llm.simhash import cells_of, components, majority, named, node_pair
 
 WIDTH, SIMILARITY, BUDGET = 5, 0.8, 26
 SAMPLE, COMMON = 2_000, 50_000
-CELL_ROWS, SHARD_ROWS = 100_000, 300_000
+CELL_ROWS, SHARD_ROWS, FIRST = 100_000, 200_000, 4
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -101,32 +102,27 @@ def _seats(fps: DataFrame) -> DataFrame:
 
 
 def _candidates(budget: int, similarity: float):
-    """Pairs of sets of different components in the cells of one shard, with the number of keys in which they meet."""
+    """Pairs of sets of different components in the cells of one shard, with the number of keys in which they meet and the bits in which they differ."""
     def run(cells: pa.Table) -> pa.Table:
         order, ranges, bit = node_pairs(cells)
         fp, ids, n, root = (cells.column(c).to_numpy()[order] for c in ("fp", "set", "n", "root"))
-        u, v = np.empty(0, np.int64), np.empty(0, np.int64)
-        c = np.empty(0, np.int64)
-        parts, held = [], 0
+        held, size = [np.empty((4, 0), np.int64)], 0  # u, v, number of keys, bits
 
         def merged():
-            a, b = (np.concatenate([x, *[p[k] for p in parts]]) for k, x in ((0, u), (1, v)))
-            weight = np.concatenate([c, np.ones(len(a) - len(c), np.int64)])
-            order = np.lexsort((b, a))
-            a, b, weight = a[order], b[order], weight[order]
-            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.empty(0, np.int64)
-            parts.clear()
-            return a[first], b[first], np.add.reduceat(weight, first) if len(first) else weight
+            a = np.concatenate(held, axis=1)
+            a = a[:, np.lexsort((a[1], a[0]))]
+            first = np.flatnonzero(np.concatenate([[True], (a[0, 1:] != a[0, :-1]) | (a[1, 1:] != a[1, :-1])])) if a.shape[1] else np.empty(0, np.int64)
+            return np.stack([a[0, first], a[1, first], np.add.reduceat(a[2], first) if len(first) else a[2], a[3, first]])
 
         for i, j in walk(fp.view(np.uint64), ranges, bit, budget, root):
             ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-            x, y = ids[i[ok]], ids[j[ok]]
-            parts.append((np.minimum(x, y), np.maximum(x, y)))
-            held += len(x)
-            if held > 2_000_000:
-                (u, v, c), held = merged(), 0
-        u, v, c = merged()
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "c": pa.array(c, pa.int64())})
+            i, j = i[ok], j[ok]
+            held.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)]))
+            size += len(i)
+            if size > 2_000_000:
+                held, size = [merged()], 0
+        u, v, c, d = merged()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "c": pa.array(c, pa.int64()), "d": pa.array(d.astype(np.int32), pa.int32())})
 
     return run
 
@@ -134,8 +130,10 @@ def _candidates(budget: int, similarity: float):
 def links(docs: DataFrame, nodes: DataFrame, seats: DataFrame, similarity: float = SIMILARITY, budget: int = BUDGET, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Links (u, v) between sets of `nodes` (set, rep, n, fp) that span the components of all pairs at `similarity` or above."""
     turn = Window.partitionBy("key").orderBy("set").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    several = seats.withColumns({"lo": F.first("set").over(turn), "hi": F.last("set").over(turn)}).where("lo <> hi").select("key", "set")
-    shared = cut(several.join(nodes.select("set", "fp", "n"), "set").select("key", "set", "fp", "n"))
+    several = seats.withColumns({"lo": F.first("set").over(turn), "hi": F.last("set").over(turn), "size": F.count("*").over(turn)}).where("lo <> hi").select("key", "set", "size")
+    # A set's weight is the number of rows that it meets; of a family of copies, the least edited one has the most.
+    weight = F.sum("size").over(Window.partitionBy("set"))
+    shared = cut(several.join(nodes.select("set", "fp", "n"), "set").select("key", "set", "fp", "n", weight.alias("weight")))
     behind = lambda c: F.ceil(similarity * F.col(c) - 1e-9) - 1  # noqa: E731  shingles behind the prefix
 
     def rows(texts):
@@ -173,26 +171,46 @@ def links(docs: DataFrame, nodes: DataFrame, seats: DataFrame, similarity: float
         x, y = texts.select(F.col("set").alias("u"), F.col("z").alias("x")), texts.select(F.col("set").alias("v"), F.col("z").alias("y"))
         return cut(pairs.join(x, "u").join(y, "v").select("u", "v", "x", "y").mapInArrow(alike, "u long, v long"))
 
-    # Of a trie's neighbouring leaves, those that meet in a tenth of the keys that a link needs are tried first; the rest are met by the walk.
-    leaves = Window.partitionBy("key").orderBy("fp", "set")
-    near = shared.withColumns({"g": F.lag("set").over(leaves), "gp": F.lag("fp").over(leaves), "m": F.lag("n").over(leaves)})
+    # Tried first, of those that meet in a tenth of the keys that a link needs: neighbouring leaves, in the order of the whole fingerprint
+    # and of it turned by a quarter, a half and three quarters, and the heaviest set of each trie. The rest are met by the walk.
+    met = shared.withColumn("near4", F.max(F.struct("weight", F.col("set").alias("g"), F.col("fp").alias("gp"), F.col("n").alias("m"))).over(Window.partitionBy("key")))
+    met = met.withColumn("near4", F.struct("near4.g", "near4.gp", "near4.m", F.lit(True).alias("heavy")))
+    for k in range(4):
+        leaves = Window.partitionBy("key").orderBy(F.expr(f"shiftleft(fp, {16 * k}) | shiftrightunsigned(fp, {64 - 16 * k})") if k else F.col("fp"), "set")
+        met = met.withColumn(f"near{k}", F.struct(F.lag("set").over(leaves).alias("g"), F.lag("fp").over(leaves).alias("gp"), F.lag("n").over(leaves).alias("m"), F.lit(False).alias("heavy")))
+    near = met.select("set", "fp", "n", F.explode(F.array_distinct(F.array(*[f"near{k}" for k in range(5)]))).alias("x")).select("set", "fp", "n", "x.*")
     near = near.where(F.col("g").isNotNull() & (F.col("g") != F.col("set")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("gp"))) <= budget) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9))
-    near = near.groupBy(F.least("set", "g").alias("u"), F.greatest("set", "g").alias("v")).agg(F.count("*").alias("c"), F.min(F.least("n", "m")).alias("n"))
-    first = cut(near.where(F.col("c") >= 0.009 * F.col("n")).select("u", "v"))
+    near = near.groupBy("set", "g", "heavy").agg(F.count("*").alias("c"), F.min(F.least("n", "m")).alias("n"), F.min(F.bit_count(F.col("fp").bitwiseXOR(F.col("gp")))).alias("d")).where(F.col("c") >= 0.009 * F.col("n"))
+    closest = Window.partitionBy("set", "heavy").orderBy(F.when(F.col("heavy"), -F.col("c")).otherwise(F.col("d")), F.desc("c"), "g")
+    near = near.withColumn("k", F.row_number().over(closest)).where(F.col("k") <= FIRST)
+    first = cut(near.select(F.least("set", "g").alias("u"), F.greatest("set", "g").alias("v")).distinct())
     found = checked(first)
 
     roots = components(found).withColumnRenamed("node", "set")
     rooted = shared.join(roots, "set", "left").select("key", "set", "fp", "n", F.coalesce("root", "set").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = cut(rooted.join(mixed, "key", "left_semi").distinct())
-    shards = max(1, left.count() // SHARD_ROWS)
+    shards = max(64, left.count() // SHARD_ROWS)
     cells = cells_of(left, budget, cell_rows).withColumn("shard", F.pmod(F.xxhash64("key", "pa", "pb"), F.lit(shards)))
-    pairs = cells.groupBy("shard", "depth").applyInArrow(lean(_candidates(budget, similarity)), "u long, v long, c long")
+    pairs = cells.groupBy("shard", "depth").applyInArrow(lean(_candidates(budget, similarity)), "u long, v long, c long, d int")
     size = nodes.select("set", "n")
-    pairs = pairs.groupBy("u", "v").agg(F.sum("c").alias("c")).join(size.select(F.col("set").alias("u"), "n"), "u").join(size.select(F.col("set").alias("v"), F.col("n").alias("m")), "v")
+    pairs = pairs.groupBy("u", "v").agg(F.sum("c").alias("c"), F.min("d").alias("d")).join(size.select(F.col("set").alias("u"), "n"), "u").join(size.select(F.col("set").alias("v"), F.col("n").alias("m")), "v")
     # What two sets share is in both prefixes or behind the prefix that ends first.
     enough = F.col("c") + F.greatest(behind("n"), behind("m")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
-    rest = cut(pairs.where(enough).select("u", "v").join(first, ["u", "v"], "left_anti"))
+    rest = cut(pairs.where(enough).select("u", "v", "c", "d").join(first, ["u", "v"], "left_anti"))
+
+    def apart(pairs, roots):
+        """Pairs whose components differ, with these as (ru, rv)."""
+        side = lambda c: roots.select(F.col("set").alias(c), F.col("root").alias(f"r{c}"))
+        both = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
+        return both.select("u", "v", "c", "d", F.coalesce("ru", "u").alias("ru"), F.coalesce("rv", "v").alias("rv")).where("ru <> rv")
+
+    # Of two components the pairs of closest fingerprints come first; all others are checked if these leave the two apart.
+    best = Window.partitionBy(F.least("ru", "rv"), F.greatest("ru", "rv")).orderBy("d", F.desc("c"), "u", "v")
+    tried = cut(apart(rest, roots).withColumn("k", F.row_number().over(best)).where(F.col("k") <= FIRST).select("u", "v"))
+    found = cut(found.unionByName(checked(tried)))
+    roots = components(found).withColumnRenamed("node", "set")
+    rest = cut(apart(rest, roots).select("u", "v").join(tried, ["u", "v"], "left_anti"))
     return found.unionByName(checked(rest))
 
 
