@@ -1,10 +1,12 @@
 """Operator 8, licence scans by ordered signature rules.
 
-Each rule is a regex with a label, a priority, a score and the keywords that must occur in a text
-before the regex is tried at all. Most are written once per licence (FAMILIES: how it is named) and
-once per way of referring to one (FORMS), and multiply out to several hundred; SPDX ids have rules of their own. Matches are resolved
-in order of priority: one that lies within a match of higher priority, or of equal priority and
-greater length, is suppressed.
+Each rule is a regex with a label, a priority, a score and a keyword that stands in every text that the
+regex can match; a rule is tried only where its keyword occurs. SIGNATURES are written one by one: titles,
+notices, passages and addresses of licences. FAMILIES name licences as they are referred to, and FORMS the ways of
+referring; SPDX ids have rules of their own. Matches are resolved in order of priority: one that lies
+within a match of higher priority, or of equal priority and greater length, is suppressed; of matches
+of one priority and one interval the first label by name stays. The scan for containment is a sweep with a
+tree of greatest ends, so many matches in one text cost n log n.
 
 The base phrases of `PHRASES` are counted as runs of words over the whole text, apart from the rules.
 
@@ -51,19 +53,24 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "lgpl-2.1": ("lesser", rf"(?:gnu\s+)?lesser\s+general\s+public\s+licen[sc]e{V}2\.1"),
     "lgpl-3.0": ("lesser", rf"(?:gnu\s+)?lesser\s+general\s+public\s+licen[sc]e{V}3(?:\.0)?"),
     "lgpl": ("lgpl", r"(?:gnu\s+)?lgpl(?:\s*v?\s*[23](?:\.[01])?)?"),
-    "agpl-3.0": ("affero", rf"(?:gnu\s+)?affero\s+general\s+public\s+licen[sc]e(?:{V}3(?:\.0)?)?"),
+    "agpl-3.0": ("affero", rf"(?:gnu\s+)?affero\s+general\s+public\s+licen[sc]e{V}3(?:\.0)?"),
+    "agpl-long": ("affero", r"(?:gnu\s+)?affero\s+general\s+public\s+licen[sc]e"),
     "agpl": ("agpl", r"(?:gnu\s+)?agpl(?:\s*v?\s*3(?:\.0)?)?"),
-    "gfdl-1.3": ("free documentation", rf"(?:gnu\s+)?free\s+documentation\s+licen[sc]e(?:{V}1\.[123])?"),
+    "gfdl-1.3": ("free documentation", rf"(?:gnu\s+)?free\s+documentation\s+licen[sc]e{V}1\.3"),
+    "gfdl": ("free documentation", rf"(?:gnu\s+)?free\s+documentation\s+licen[sc]e(?:{V}1\.[12])?"),
     "mpl-1.1": ("mozilla", rf"mozilla\s+public\s+licen[sc]e{V}1\.[01]"),
-    "mpl-2.0": ("mozilla", rf"mozilla\s+public\s+licen[sc]e(?:{V}2\.0)?"),
+    "mpl-2.0": ("mozilla", rf"mozilla\s+public\s+licen[sc]e{V}2\.0"),
+    "mpl": ("mozilla", r"mozilla\s+public\s+licen[sc]e"),
     "epl-1.0": ("eclipse", rf"eclipse\s+public\s+licen[sc]e{V}1\.0"),
-    "epl-2.0": ("eclipse", rf"eclipse\s+public\s+licen[sc]e(?:{V}2\.0)?"),
+    "epl-2.0": ("eclipse", rf"eclipse\s+public\s+licen[sc]e{V}2\.0"),
+    "epl": ("eclipse", r"eclipse\s+public\s+licen[sc]e"),
     "edl-1.0": ("eclipse", r"eclipse\s+distribution\s+licen[sc]e"),
     "cddl-1.0": ("common development", r"common\s+development\s+and\s+distribution\s+licen[sc]e"),
     "cpl-1.0": ("common public", r"common\s+public\s+licen[sc]e"),
     "eupl-1.2": ("european union", r"european\s+union\s+public\s+licen[sc]e"),
     "artistic-1.0": ("artistic", rf"artistic\s+licen[sc]e{V}1\.0"),
-    "artistic-2.0": ("artistic", rf"artistic\s+licen[sc]e(?:{V}2\.0)?"),
+    "artistic-2.0": ("artistic", rf"artistic\s+licen[sc]e{V}2\.0"),
+    "artistic": ("artistic", r"artistic\s+licen[sc]e"),
     "bsl-1.0": ("boost", rf"boost\s+software\s+licen[sc]e(?:{V}1\.0)?"),
     "busl-1.1": ("business source", r"business\s+source\s+licen[sc]e"),
     "sspl-1.0": ("server side", r"server\s+side\s+public\s+licen[sc]e"),
@@ -72,7 +79,8 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "unlicense": ("unlicense", r"(?:the\s+)?unlicense"),
     "wtfpl": ("wtfpl", r"wtfpl"),
     "psf-2.0": ("python", r"python(?:\s+software\s+foundation)?"),
-    "php-3.01": ("php", r"php(?:\s+licen[sc]e)?(?:,?\s+version\s+3\.01?)?"),
+    "php-3.01": ("php", r"php(?:\s+licen[sc]e)?,?\s+version\s+3\.01?"),
+    "php": ("php", r"php"),
     "ruby": ("ruby", r"ruby(?:'s)?"),
     "openssl": ("openssl", r"openssl"),
     "postgresql": ("postgresql", r"postgresql"),
@@ -95,7 +103,7 @@ CONDITIONS = {"by": r"attribution", "by-sa": r"attribution[\s-]+share\s?alike",
               "by-nc": r"attribution[\s-]+non\s?-?commercial", "by-nc-sa": r"attribution[\s-]+non\s?-?commercial[\s-]+share\s?alike",
               "by-nc-nd": r"attribution[\s-]+non\s?-?commercial[\s-]+no\s?deriv(?:ative)?s?(?:\s+works)?"}
 #: SPDX ids by label where they are not the label itself; ids of the GNU licences are followed by -only or -or-later, or a plus sign.
-SPDX = {"psf-2.0": ("psf-2.0", "python-2.0"), "gfdl-1.3": ("gfdl-1.1", "gfdl-1.2", "gfdl-1.3"), "mpl-1.1": ("mpl-1.0", "mpl-1.1"), "agpl-3.0": ("agpl-3.0",), "php-3.01": ("php-3.0", "php-3.01")}
+SPDX = {"psf-2.0": ("psf-2.0", "python-2.0"), "gfdl": ("gfdl-1.1", "gfdl-1.2"), "mpl-1.1": ("mpl-1.0", "mpl-1.1"), "agpl-3.0": ("agpl-3.0",), "php-3.01": ("php-3.0", "php-3.01")}
 SPDX_FORM = r"spdx-license-identifier:\s*(?:\(?[\w.+-]+\)?\s+(?:or|and|with)\s+)*\(?(?:{n})(?:-only|-or-later|\+)?(?![\w+-]|\.\w)"
 #: (priority, score, form of reference); {n} is the licence's name.
 FORMS: list[tuple[int, float, str]] = [
@@ -134,6 +142,201 @@ PASSAGES: list[tuple[str, str, int, float, str]] = [
 ]
 
 
+#: Signatures written one by one: label | priority | score | keyword | regex, in which a space stands for any white space.
+SIGNATURES = r"""
+apache-2.0|92|1.0|apache license|apache license,? version 2\.0, january 2004
+apache-1.1|92|1.0|apache software license|the apache software license, version 1\.1
+apache-2.0|91|0.95|unless required by applicable law|unless required by applicable law or agreed to in writing, software distributed under the license
+apache-2.0|86|0.9|except in compliance|you may not use this file except in compliance with the license
+gpl-1.0|92|1.0|general public license|gnu general public license,? version 1, february 1989
+gpl-2.0|92|1.0|general public license|gnu general public license,? version 2, june 1991
+gpl-3.0|92|1.0|general public license|gnu general public license,? version 3, 29 june 2007
+gpl-2.0|91|0.95|general public license|general public license as published by the free software foundation[;,] (?:either )?version 2
+gpl-3.0|91|0.95|general public license|general public license as published by the free software foundation[;,] (?:either )?version 3
+gpl|86|0.85|general public license|you should have received a copy of the gnu general public license
+gpl|84|0.85|take away your freedom|the licenses for most software are designed to take away your freedom
+gpl-classpath|93|1.0|linking this library statically|linking this library statically or dynamically with other modules
+lgpl-2.0|92|1.0|library general public license|gnu library general public license,? version 2, june 1991
+lgpl-2.1|92|1.0|lesser general public license|gnu lesser general public license,? version 2\.1, february 1999
+lgpl-3.0|92|1.0|lesser general public license|gnu lesser general public license,? version 3, 29 june 2007
+lgpl-2.1|91|0.95|lesser general public license|lesser general public license as published by the free software foundation[;,] (?:either )?version 2\.1
+lgpl-3.0|91|0.95|lesser general public license|lesser general public license as published by the free software foundation[;,] (?:either )?version 3
+lgpl|86|0.85|lesser general public license|you should have received a copy of the gnu lesser general public license
+lgpl|86|0.85|library general public license|you should have received a copy of the gnu library general public license
+agpl-3.0|92|1.0|affero general public license|gnu affero general public license,? version 3, 19 november 2007
+agpl-1.0|92|1.0|affero general public license|affero general public license,? version 1, march 2002
+agpl-3.0|91|0.95|affero general public license|affero general public license as published by the free software foundation[;,] (?:either )?version 3
+agpl|86|0.85|affero general public license|you should have received a copy of the gnu affero general public license
+gfdl-1.1|92|1.0|free documentation license|gnu free documentation license,? version 1\.1, march 2000
+gfdl-1.2|92|1.0|free documentation license|gnu free documentation license,? version 1\.2, november 2002
+gfdl-1.3|92|1.0|free documentation license|gnu free documentation license,? version 1\.3, 3 november 2008
+gfdl|86|0.9|invariant sections|with no invariant sections, no front-cover texts,? and no back-cover texts
+mit|91|0.95|permission notice|the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit|60|0.7|as is|the software is provided [\"']as is[\"'], without warranty of any kind, express or implied
+mit-0|93|1.0|mit no attribution|mit no attribution
+x11|93|1.0|x consortium|the name of the x consortium shall not be used in advertising
+json|93|1.0|for good, not evil|the software shall be used for good, not evil
+isc|91|0.95|disclaims all warranties|the author disclaims all warranties with regard to this software
+0bsd|93|1.0|with or without fee|for any purpose with or without fee is hereby granted\.
+bsd|88|0.9|redistributions of source code|redistributions of source code must retain the above copyright notice
+bsd|87|0.9|redistributions in binary form|redistributions in binary form must reproduce the above copyright notice
+bsd-4-clause|93|1.0|this product includes software|this product includes software developed by the university of california
+bsd-3-clause-clear|93|1.0|no express or implied licenses|no express or implied licenses to any party's patent rights are granted by this license
+bsd-3-clause-no-nuclear|93|1.0|nuclear facility|not designed, licensed or intended for use in the design, construction, operation or maintenance of any nuclear facility
+bsd-2-clause-patent|93|1.0|each copyright holder|each copyright holder and contributor hereby grants to those receiving rights under this license
+hpnd|91|0.95|appear in all copies|provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation
+zlib|91|0.95|altered source versions|altered source versions must be plainly marked as such
+zlib|90|0.9|any source distribution|this notice may not be removed or altered from any source distribution
+libpng-2.0|93|1.0|png reference library|png reference library license version 2
+unlicense|91|0.95|anyone is free to copy|anyone is free to copy, modify, publish, use, compile, sell,? or distribute this software
+wtfpl|92|1.0|what the|do what the fuck you want to public license,? version 2, december 2004
+beerware|93|1.0|beer-ware|[\"']the beer-ware license[\"'] \(revision 42\)
+beerware|88|0.9|buy me a beer|you can buy me a beer in return
+mpl-1.0|92|1.0|mozilla public license|mozilla public license,? version 1\.0
+mpl-1.1|92|1.0|mozilla public license|mozilla public license,? version 1\.1
+mpl-2.0|92|1.0|source code form|this source code form is subject to the terms of the mozilla public license, v\. 2\.0
+npl-1.1|92|1.0|netscape public license|netscape public license,? version 1\.1
+epl-1.0|92|1.0|eclipse public license|eclipse public license - v 1\.0
+epl-2.0|92|1.0|eclipse public license|eclipse public license - v 2\.0
+epl|84|0.9|accompanying materials|this program and the accompanying materials are made available under the terms of the eclipse public license
+edl-1.0|92|1.0|eclipse distribution license|eclipse distribution license - v 1\.0
+cpl-1.0|92|1.0|common public license|common public license (?:- v|version) 1\.0
+ipl-1.0|92|1.0|ibm public license|ibm public license version 1\.0
+lpl-1.02|92|1.0|lucent public license|lucent public license version 1\.02
+cddl-1.0|92|1.0|common development and distribution|common development and distribution license \(cddl\),? version 1\.0
+cddl-1.1|92|1.0|common development and distribution|common development and distribution license \(cddl\),? version 1\.1
+cddl|86|0.9|common development and distribution|subject to the terms of the common development and distribution license
+spl-1.0|92|1.0|sun public license|sun public license,? version 1\.0
+sissl|92|1.0|industry standards source|sun industry standards source license
+apsl-2.0|92|1.0|apple public source license|apple public source license,? (?:version )?2\.0
+apsl-1.2|92|1.0|apple public source license|apple public source license,? (?:version )?1\.2
+bsl-1.0|92|1.0|boost software license|boost software license - version 1\.0 - august 17th, 2003
+artistic-1.0|92|1.0|artistic license|the [\"']?artistic license[\"']? preamble the intent of this document
+artistic-2.0|92|1.0|artistic license|artistic license 2\.0 copyright \(c\) 2000-2006
+afl-2.1|92|1.0|academic free license|academic free license,? (?:version |v\. )2\.1
+afl-3.0|92|1.0|academic free license|academic free license,? (?:\([\"']?afl[\"']?\) )?(?:version |v\. )3\.0
+osl-2.1|92|1.0|open software license|open software license,? (?:version |v\. )2\.1
+osl-3.0|92|1.0|open software license|open software license,? (?:\([\"']?osl[\"']?\) )?(?:version |v\. )3\.0
+nposl-3.0|93|1.0|non-profit open software|non-profit open software license
+eupl-1.1|92|1.0|european union public licence|european union public licence,? v\. ?1\.1
+eupl-1.2|92|1.0|european union public licence|european union public licence,? v\. ?1\.2
+cecill-2.1|92|1.0|cecill|cecill free software license agreement version 2\.1
+cecill|80|0.9|cecill|cecill free software license agreement
+cecill-b|82|0.95|cecill-b|cecill-b (?:free software )?license
+cecill-c|82|0.95|cecill-c|cecill-c (?:free software )?license
+sspl-1.0|92|1.0|server side public license|server side public license,? version 1, october 16, 2018
+busl-1.1|92|1.0|business source license|business source license 1\.1
+elastic-2.0|92|1.0|elastic license|elastic license (?:version )?2\.0
+elastic-2.0|86|0.9|hosted or managed service|you may not provide the software to third parties as a hosted or managed service
+commons-clause|93|1.0|commons clause|commons clause[\"']? license condition v1\.0
+fsl-1.1|92|1.0|functional source license|functional source license,? version 1\.1
+polyform-noncommercial-1.0.0|92|1.0|polyform|polyform noncommercial license 1\.0\.0
+polyform-small-business-1.0.0|92|1.0|polyform|polyform small business license 1\.0\.0
+polyform-shield-1.0.0|92|1.0|polyform|polyform shield license 1\.0\.0
+parity-7.0.0|92|1.0|parity public license|the parity public license 7\.0\.0
+prosperity-3.0.0|92|1.0|prosperity public license|the prosperity public license 3\.0\.0
+blueoak-1.0.0|92|1.0|blue oak|blue oak model license(?: version)? 1\.0\.0
+hippocratic-2.1|92|1.0|hippocratic license|hippocratic license,? version 2\.1
+anti-996|92|1.0|996|anti[ -]996 license
+mulanpsl-1.0|92|1.0|mulan|mulan permissive software license,? (?:version |v)1
+mulanpsl-2.0|92|1.0|mulan|mulan permissive software license,? (?:version |v)2
+mulanpsl-2.0|90|0.95|mulan|licensed under mulan psl v2
+python-2.0|92|1.0|python software foundation|python software foundation license version 2
+cnri-python|92|1.0|cnri|cnri (?:open source )?(?:license agreement for )?python
+php-3.01|92|1.0|php license|the php license, version 3\.01
+zend-2.0|92|1.0|zend|zend engine license,? version 2\.00
+ruby|90|0.9|give away verbatim|you may make and give away verbatim copies of the source form of the software without restriction
+vim|90|0.9|vim|there are no restrictions on distributing unmodified copies of vim
+tcl|90|0.9|regents of the university of california|this software is copyrighted by the regents of the university of california, sun microsystems
+curl|92|1.0|daniel stenberg|copyright \(c\) [\d -]+, daniel stenberg
+icu|92|1.0|icu license|icu license - icu 1\.8\.1 and later
+unicode-3.0|92|1.0|unicode license|unicode license v3
+unicode-dfs-2016|92|1.0|unicode, inc|unicode, inc\. license agreement - data files and software
+ijg|92|1.0|independent jpeg group|this software is based in part on the work of the independent jpeg group
+libtiff|92|1.0|sam leffler|the names of sam leffler and silicon graphics may not be used
+ftl|92|1.0|freetype project|the freetype project license
+imagemagick|92|1.0|imagemagick|imagemagick license
+bzip2-1.0.6|92|1.0|julian|bzip2 and libbzip2.{1,60}julian seward
+ntp|92|1.0|david l. mills|copyright \(c\) (?:university of delaware|david l\. mills) [\d-]+ david l\. mills
+ncsa|92|1.0|ncsa|university of illinois/ncsa open source license
+postgresql|92|1.0|postgresql|postgresql database management system \(formerly known as postgres
+oldap-2.8|92|1.0|openldap public license|the openldap public license version 2\.8
+openssl|92|1.0|openssl project|this product includes software developed by the openssl project
+ssleay|92|1.0|eric young|this product includes cryptographic software written by eric young
+sleepycat|92|1.0|sleepycat|sleepycat license
+qpl-1.0|92|1.0|q public license|the q public license version 1\.0
+w3c|92|1.0|w3c|w3c software (?:and document )?notice and license
+zpl-2.1|92|1.0|zope public license|zope public license \(zpl\) version 2\.1
+ecl-2.0|92|1.0|educational community license|educational community license,? version 2\.0
+efl-2.0|92|1.0|eiffel forum license|eiffel forum license,? version 2
+entessa|92|1.0|entessa|entessa public license
+eudatagrid|92|1.0|datagrid|eu datagrid software license
+fair|92|1.0|instrument is retained|usage of the works is permitted provided that this instrument is retained
+frameworx-1.0|92|1.0|frameworx|frameworx open license 1\.0
+intel|92|1.0|intel open source|intel open source license
+ipafont-1.0|92|1.0|ipa font|ipa font license agreement v1\.0
+lppl-1.3c|92|1.0|latex project public license|latex project public license,? version 1\.3c
+lppl|84|0.9|latex project public license|latex project public license
+miros|92|1.0|miros licence|the miros licence
+motosoto|92|1.0|motosoto|motosoto open source license
+multics|92|1.0|multics|historical background: this edition of the multics software materials
+nasa-1.3|92|1.0|nasa open source|nasa open source agreement version 1\.3
+naumen|92|1.0|naumen|naumen public license
+ngpl|92|1.0|nethack|nethack general public license
+nokia|92|1.0|nokia open source|nokia open source license
+oclc-2.0|92|1.0|oclc research|oclc research public license 2\.0
+ogtsl|92|1.0|test suite license|the open group test suite license
+osset-pl-2.1|92|1.0|osset|osset public licen[sc]e
+rpl-1.5|92|1.0|reciprocal public license|reciprocal public license,? (?:version )?1\.5
+rpsl-1.0|92|1.0|realnetworks|realnetworks public source license
+rscpl|92|1.0|ricoh|ricoh source code public license
+sgi-b-2.0|92|1.0|sgi free software|sgi free software license b,? \(?version 2\.0
+simpl-2.0|92|1.0|simple public license|simple public license \(simpl\)
+watcom-1.0|92|1.0|watcom|sybase open watcom public license
+vsl-1.0|92|1.0|vovida|vovida software license
+aal|92|1.0|attribution assurance|attribution assurance license
+catosl-1.1|92|1.0|computer associates|computer associates trusted open source license
+cua-opl-1.0|92|1.0|cua office|cua office public license
+ms-pl|92|1.0|microsoft public license|microsoft public license \(ms-pl\)
+ms-rl|92|1.0|microsoft reciprocal license|microsoft reciprocal license \(ms-rl\)
+upl-1.0|92|1.0|universal permissive license|universal permissive license \(upl\),? version 1\.0
+ofl-1.1|92|1.0|open font license|sil open font license version 1\.1 - 26 february 2007
+ofl-1.1|90|0.95|font software|this font software is licensed under the sil open font license
+cc0-1.0|92|1.0|cc0|cc0 1\.0 universal
+cc0-1.0|88|0.95|associated a work with this deed|the person who associated a work with this deed has dedicated the work to the public domain
+pddl-1.0|92|1.0|public domain dedication|public domain dedication (?:and|&) licen[sc]e
+odbl-1.0|92|1.0|open database license|open database license \(odbl\)
+odc-by-1.0|92|1.0|odc-by|open data commons attribution license \(odc-by\)
+cdla-permissive-1.0|92|1.0|community data license|community data license agreement - permissive - version 1\.0
+cdla-permissive-2.0|92|1.0|community data license|community data license agreement - permissive - version 2\.0
+cdla-sharing-1.0|92|1.0|community data license|community data license agreement - sharing - version 1\.0
+ogl-uk-2.0|92|1.0|open government licence|open government licence (?:for public sector information )?v2\.0
+ogl-uk-3.0|92|1.0|open government licence|open government licence (?:for public sector information )?v3\.0
+etalab-2.0|92|1.0|etalab|(?:etalab licence ouverte|licence ouverte.{1,20}etalab)(?: 2\.0)?
+dl-de-by-2.0|92|1.0|datenlizenz|datenlizenz deutschland.{1,5}namensnennung.{1,5}version 2\.0
+dl-de-zero-2.0|92|1.0|datenlizenz|datenlizenz deutschland.{1,5}zero.{1,5}version 2\.0
+openrail|92|1.0|bigscience|bigscience (?:open)?rail(?:-m)? license
+openrail|92|1.0|creativeml|creativeml open ?rail-m
+openrail|88|0.9|responsible ai license|responsible ai license
+llama-2|92|1.0|llama|llama 2 community license agreement
+llama-3|92|1.0|llama|(?:meta )?llama 3(?:\.\d)? community license agreement
+gemma|92|1.0|gemma|gemma terms of use
+fsf-unlimited|91|0.95|unlimited permission|this file is free software; the free software foundation gives unlimited permission to copy
+fsf-all-permissive|91|0.95|copying and distribution|copying and distribution of this file, with or without modification, are permitted in any medium without royalty
+public-domain|60|0.7|public domain|this (?:work|file|code|software) is (?:hereby )?(?:in|placed in|released into) the public domain
+proprietary|50|0.7|unauthorized copying|unauthorized copying of this file,? via any medium,? is strictly prohibited
+proprietary|48|0.7|trade secret|contains (?:confidential (?:information )?and )?(?:proprietary|trade secret)(?: information| and proprietary)?.{0,40}trade secrets?
+proprietary|46|0.6|internal use only|for internal use only
+proprietary|46|0.6|may not be|may not be (?:copied|reproduced|distributed|published)[\w ,]{0,80} without (?:the )?(?:prior |express )?written (?:permission|consent)
+proprietary|44|0.6|written permission|without (?:the )?(?:prior |express )?written permission
+eula|60|0.8|end user license agreement|end user license agreement(?: \([\"']?eula[\"']?\))?
+eula|55|0.7|end-user license agreement|end-user license agreement
+commercial|50|0.7|commercial license|(?:under|requires|purchase) a commercial license
+unknown|8|0.3|see the license file|see the license file
+unknown|8|0.3|see license|see license(?:\.txt|\.md)? for (?:license )?(?:details|terms|information)
+"""
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
@@ -146,9 +349,12 @@ class Rule:
 @cache
 def rules() -> list[Rule]:
     """All rules in order of priority."""
-    names = {label: (word, name) for label, (word, name) in FAMILIES.items()}
-    found = [Rule(label.removesuffix("-short"), word, p, s, re.compile(form.replace("{n}", f"(?:{name})"))) for label, (word, name) in names.items() for p, s, form in FORMS]
-    for label in dict.fromkeys(label.removesuffix("-short") for label in FAMILIES):
+    short = lambda label: label.removesuffix("-short").removesuffix("-long")
+    found = [Rule(short(label), word, p, s, re.compile(form.replace("{n}", f"(?:{name})"))) for label, (word, name) in FAMILIES.items() for p, s, form in FORMS]
+    for line in SIGNATURES.strip().split("\n"):
+        label, priority, score, word, regex = line.split("|", 4)
+        found.append(Rule(label, word, int(priority), float(score), re.compile(regex.replace(" ", r"\s+"))))
+    for label in dict.fromkeys(map(short, FAMILIES)):
         ids = "|".join(map(re.escape, SPDX.get(label, (label,))))
         found.append(Rule(label, "spdx", 90, 1.0, re.compile(SPDX_FORM.replace("{n}", ids))))
     for kind, long in CONDITIONS.items():
@@ -165,8 +371,11 @@ def rules() -> list[Rule]:
 
 
 #: One of these stands in every text that a rule can match; all other texts are passed by.
-GATES = ("licen", "cc", "creative", "spdx", "permission", "redistribution", "endorse", "advertising", "software", "as-is", "public", "what",
-         "apache.org", "gnu.org", "mozilla.org", "opensource.org", "reserved", "proprietary", "under", "subject", "governed", "according", "conditions")
+GATES = ("licen", "cc", "creative", "spdx", "permi", "redistribut", "endorse", "advertising", "software", "as-is", "as is", "public", "what",
+         "apache.org", "gnu.org", "mozilla.org", "opensource.org", "reserved", "proprietary", "under", "subject", "governed", "according", "conditions",
+         "mit no attribution", "for good, not evil", "warrant", "fee is hereby", "nuclear", "rights under", "appear in all", "altered", "source distribution", "free to", "beer", "source code form", "modules",
+         "invariant", "cecill", "hosted or managed", "commons clause", "cnri", "give away", "unmodified copies", "copyright", "jpeg", "sam leffler", "julian", "mills", "postgres", "cryptographic", "instrument is",
+         "multics", "creativeml", "agreement", "font", "cc0", "dedicated", "datenlizenz", "terms of use", "unlimited", "copying", "trade secret", "internal use", "written", "commercial", "openrail", "imagemagick", "version 1", "version 2")
 
 
 @cache
@@ -186,12 +395,25 @@ def detect(lower: str) -> list[tuple[int, int, Rule]]:
         return []
     # Rules are written for single spaces in keywords; runs of white space are folded for the prefilter alone.
     present = {w for _, w in _keywords().iter(re.sub(r"\s+", " ", lower))}
-    hits = [(m.start(), m.end(), r) for r in rules() if r.keyword in present for m in r.regex.finditer(lower)]
-    hits.sort(key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label))
-    kept: list[tuple[int, int, Rule]] = []
-    for h in hits:
-        if not any(k[0] <= h[0] and h[1] <= k[1] for k in kept):
-            kept.append(h)
+    return suppressed([(m.start(), m.end(), r) for r in rules() if r.keyword in present for m in r.regex.finditer(lower)])
+
+
+def suppressed(hits: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """The hits that none of higher priority, or of equal priority and greater length, contains, by start."""
+    starts = sorted({h[0] for h in hits})
+    place = {at: k for k, at in enumerate(starts, 1)}
+    ends = [-1] * (len(starts) + 1)  # tree of the greatest end among the kept hits up to a start
+    kept = []
+    for h in sorted(hits, key=lambda h: (-h[2].priority, h[0] - h[1], h[0], h[2].label)):
+        k, reach = place[h[0]], -1
+        while k:
+            reach, k = max(reach, ends[k]), k & (k - 1)
+        if reach >= h[1]:
+            continue
+        kept.append(h)
+        k = place[h[0]]
+        while k < len(ends):
+            ends[k], k = max(ends[k], h[1]), k + (k & -k)
     return sorted(kept, key=lambda h: (h[0], h[1], h[2].label))
 
 
