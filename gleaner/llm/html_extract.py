@@ -136,7 +136,7 @@ def blocks(page: str) -> list[Block]:
             if skip and name == skip[-1]:
                 close()
                 skip.pop()
-            if content and name == content[-1]:
+            elif content and name == content[-1] and (not skip or name in ("article", "main")):  # elements inside an excluded one are not counted
                 content.pop()
             continue
         if name == "br":
