@@ -41,24 +41,42 @@ def fallback_summary(title: Column, content: Column) -> Column:
 
 
 def enrich(rows: DataFrame, model: Callable, schema: str, batch: int = 3, attempts: int = 2) -> DataFrame:
-    """Send rows to `model` (list of dicts -> list of dicts or None) in small batches; failed batches give nulls in the added columns."""
-    names = rows.columns
+    """Send rows to `model` (list of dicts -> list of dicts or None) in small batches; every row stays.
+
+    `schema` names the columns that come out. Columns that the model does not answer keep their value, or are null; a batch
+    that fails `attempts` times, and rows behind the end of a short answer, count as not answered.
+    """
+    from pyspark.sql.types import _parse_datatype_string
+
+    fields = [f.name for f in _parse_datatype_string(schema).fields]  # here, since workers have no session
 
     def run(frames):
-        import pandas as pd
-        from pyspark.sql.types import _parse_datatype_string
+        import pyarrow as pa
 
-        fields = [f.name for f in _parse_datatype_string(schema).fields]
-        for pdf in frames:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at:at + batch].to_dict("records")
+        for b in frames:
+            records = b.to_pylist()
+            for at in range(0, len(records), batch):
+                part = records[at:at + batch]
                 got = None
                 for _ in range(attempts):
                     try:
-                        got = model(part)
+                        got = model([dict(r) for r in part])
                         break
                     except (ValueError, OSError, RuntimeError):
                         continue
-                yield pd.DataFrame([{**{n: r[n] for n in names}, **{f: (g or {}).get(f, r.get(f)) for f in fields}} for r, g in zip(part, got or [None] * len(part))])[fields]
+                got = list(got or [])[:len(part)]
+                got += [None] * (len(part) - len(got))
+                out = [{f: (g or {}).get(f, r.get(f)) for f in fields} for r, g in zip(part, got)]
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return rows.mapInArrow(run, schema)
+
 
-    return rows.mapInPandas(run, schema)
+def join_insights(rows: DataFrame, results: DataFrame, defaults: dict[str, Column], order: str = "ord") -> DataFrame:
+    """Rows with the insight columns of `results` (url, `order`, ...) by url, of several the last one; `defaults` where there is none."""
+    last = results.groupBy("url").agg(F.max_by(F.struct(*defaults), order).alias("_insight"))
+    known = F.col("_insight").isNotNull()
+    return rows.join(last, "url", "left").withColumns({c: F.when(known, F.col("_insight")[c]).otherwise(d) for c, d in defaults.items()}).drop("_insight")

@@ -42,7 +42,10 @@ def capped_by_domain(df: DataFrame, cap: int = 3, count: int = 15) -> DataFrame:
 
 
 def diversity_bonus(df: DataFrame, bonus: float = 0.3) -> DataFrame:
-    return per_domain_rank(df).withColumn("bonus", F.when((F.col("domain") != "") & (F.col("domain_rank") == 1), bonus).otherwise(0.0))
+    """`bonus` for the first row of each domain; the first ones are found by a partial minimum, so no domain is sorted."""
+    rows = df.withColumn("domain", normalized_domain(F.col("url")))
+    first = rows.where("domain <> ''").groupBy("domain").agg(F.min("ord").alias("_first"))
+    return rows.join(first, "domain", "left").withColumn("bonus", F.when(F.col("ord") == F.col("_first"), bonus).otherwise(0.0)).drop("_first")
 
 
 def topic_quota(df: DataFrame, total: int, topics: int, topic: str = "topic_bucket", topic_order: str = "topic_idx") -> DataFrame:

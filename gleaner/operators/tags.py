@@ -37,14 +37,13 @@ def clean_tags(tags: Column, title: Column, summary: Column, content: Column, st
 def keyword_counts(rows: DataFrame, tags: str = "tags", order: str = "ord") -> DataFrame:
     """Display tag and count, most frequent first, ties by lower-cased name and first appearance."""
     t = rows.select(F.explode(tags).alias("t"), order).where(F.trim("t") != "").withColumn("tag", display_tag(F.col("t")))
-    return t.groupBy("tag").agg(F.count("*").alias("n"), F.min(order).alias("first_ord"))
+    return t.groupBy("tag").agg(F.count("*").alias("n"), F.min(order).alias("first_ord")).orderBy(F.desc("n"), F.lower("tag"), "first_ord", "tag")
 
 
-def inverted_index(rows: DataFrame, tags: str = "tags", most: int | None = None) -> DataFrame:
-    """tag -> distinct urls, newest first."""
+def inverted_index(rows: DataFrame, tags: str = "tags") -> DataFrame:
+    """(tag, url, published_at): each distinct url of each tag. A relation, so a tag of any number of urls is no single value; order by (published_at, url) descending to show one."""
     t = rows.select(F.explode(tags).alias("t"), "url", "published_at").select(F.lower(F.trim("t")).alias("tag"), "url", "published_at").where("tag <> ''").distinct()
-    groups = t.groupBy("tag").agg(F.sort_array(F.collect_list(F.struct("published_at", "url")), asc=False).alias("l"))
-    return groups.select("tag", F.transform("l", lambda x: x["url"]).alias("urls"))
+    return t
 
 
 def stale(tags: Column, title: Column) -> Column:

@@ -103,7 +103,9 @@ def usage_log_counts(spark, sf):
     return log.groupBy("day").agg(F.sum("n").alias("request_count"))
 
 
-@query()
+@query(f"WITH {TAGGED}, b AS (SELECT url, arg_min(source, ord) AS s FROM tagged WHERE ord % 4 = 0 GROUP BY 1), "
+       "k AS (SELECT ord, CASE WHEN ord % 2 <> 0 AND len(tags) > 0 THEN tags WHEN s IS NOT NULL THEN [s] ELSE [] END AS tags FROM tagged LEFT JOIN b USING (url) WHERE title IS NOT NULL), t AS (SELECT trim(unnest(tags)) AS t, ord FROM k) "
+       f"SELECT {S.display_tag('t')} AS tag, count(*) AS n, min(ord) AS first_ord FROM t WHERE t <> '' GROUP BY 1")
 def library_keyword_counts(spark, sf):
     t = tagged(spark, sf)
     some = t.withColumn("tags", F.when(F.col("ord") % 2 == 0, F.array().cast("array<string>")).otherwise(F.col("tags")))

@@ -216,7 +216,12 @@ def code_fences(spark, sf):
     return articles(spark, sf).select("ord", watch.unfenced(raw).alias("inner_json"))
 
 
-@query()
+_LAST = "split_part(list_extract(list_concat([''], list_filter(string_split(coalesce(url, ''), '/'), lambda p: p <> '')), -1), '?', 1)"
+for _end in C.PAGE_ENDS:
+    _LAST = f"regexp_replace({_LAST}, '\\{_end}$', '')"
+
+
+@query(f"WITH b AS (SELECT page_id, trim(translate({_LAST}, '-_', '  ')) AS t FROM pages) SELECT page_id, CASE WHEN t = '' THEN 'URL Article' ELSE {S.title_case('t')} END AS title FROM b")
 def title_from_slug(spark, sf):
     return load(spark, sf, "pages").select("page_id", watch.slug_title(F.col("url")).alias("title"))
 

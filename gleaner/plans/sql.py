@@ -103,3 +103,13 @@ def source_type_reason(title: str, content: str) -> str:
 
 def summary_ok(s: str, t: str) -> str:
     return f"(length(trim(coalesce({s}, ''))) >= 25 AND {count_in(f'lower({s})', C.PLACEHOLDERS)} = 0 AND lower(trim({s})) <> lower(trim({t})))"
+
+
+def title_case(e: str) -> str:
+    """Upper case after every non-letter, lower case elsewhere; the sharp s has two letters in upper case."""
+    return (f"array_to_string(list_transform(string_split(lower({e}), ''), lambda x, i: CASE WHEN i = 1 OR NOT regexp_matches(substr(lower({e}), i - 1, 1), '^\\p{{L}}') "
+            "THEN replace(upper(x), 'ß', 'SS') ELSE x END), '')")
+
+
+def display_tag(t: str) -> str:
+    return f"CASE WHEN {t} = 'ai' THEN 'AI' WHEN lower({t}) = {t} AND upper({t}) <> {t} THEN {title_case(t)} ELSE {t} END"

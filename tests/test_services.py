@@ -55,3 +55,28 @@ def test_a_failed_summary_still_takes_the_title(spark):
     assert [(r.ord, r.reject_reason) for r in got] == [(0, "failed_summary_validation"), (1, "duplicate_urls")]
     seen = df.where("ord = 0").select(X.hash_of(F.trim("url")).alias("url_hash"))
     assert watch.verdicts(df, seen, "plant", english=F.lit(True)).where("reject_reason = 'duplicate_urls'").count() == 1
+
+
+def test_enrichment_keeps_every_row_whatever_the_model_does(spark):
+    from gleaner.operators import enrich
+
+    rows = spark.createDataFrame([(i, f"t{i}", None) for i in range(20)], "ord long, title string, note string").repartition(2)
+
+    def short(part):
+        return [{"note": r["title"].upper()} for r in part[:-1]]
+
+    def never(part):
+        raise ValueError("no answer")
+
+    tried = []
+
+    def late(part):
+        tried.append(1)
+        if len(tried) % 2:
+            raise OSError("try again")
+        return [{"note": "ok"} for _ in part]
+
+    for model, some in ((short, {"T"}), (never, set()), (late, {"o"}), (lambda part: None, set())):
+        got = enrich.enrich(rows, model, "ord long, note string", batch=3).collect()
+        assert sorted(r.ord for r in got) == list(range(20)) and {r.note[0] for r in got if r.note} == some
+    assert all(r.note == "ok" for r in enrich.enrich(rows, late, "ord long, note string", batch=3).collect())
