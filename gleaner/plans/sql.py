@@ -108,7 +108,7 @@ def summary_ok(s: str, t: str) -> str:
 def title_case(e: str) -> str:
     """Upper case after every non-letter, lower case elsewhere; the sharp s has two letters in upper case."""
     return (f"array_to_string(list_transform(string_split(lower({e}), ''), lambda x, i: CASE WHEN i = 1 OR NOT regexp_matches(substr(lower({e}), i - 1, 1), '^\\p{{L}}') "
-            "THEN replace(upper(x), 'ß', 'SS') ELSE x END), '')")
+            "THEN replace(replace(upper(x), 'ß', 'SS'), 'ẞ', 'SS') ELSE x END), '')")
 
 
 def display_tag(t: str) -> str:
