@@ -15,6 +15,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set; on a cluster it must name a folder that driver and executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="gleaner-checkpoints-")
     if spark.sparkContext.getCheckpointDir() is None:
