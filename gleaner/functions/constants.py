@@ -24,7 +24,10 @@ STALE_WORDS = ("manufacturing", "industrial technology", "general", "automation"
 FALLBACK_TAGS = ("Manufacturing", "Industrial Technology", "Automation", "AI", "Cement Industry")
 FORBIDDEN_TAGS = ("news", "article", "update", "latest", "report", "today", "technology", "business", "company", "information", "general")
 DOMAIN_WORDS = ("ai", "ml", "cement", "robot", "robotics", "automation", "manufacturing", "infrastructure", "construction", "sustainability", "energy", "hydrogen", "semiconductor", "battery", "batteries", "decarbonization", "carbon", "supply", "chain", "dalmia", "bharat", "adani", "amazon", "apple")
-SENTIMENTS = ("Positive", "Neutral", "Negative", "Mixed")
+DOMAIN_TOPICS = ("ai", "artificial intelligence", "ml", "machine learning", "automation", "industrial automation", "cement", "green cement", "dalmia bharat", "dalmia cement", "infrastructure", "construction", "industrial technology", "industrial innovation", "manufacturing", "manufacturing industry", "sustainability", "green energy", "carbon capture", "green hydrogen", "robotics", "robot", "robots", "supply chain", "semiconductor", "ev", "electric vehicle", "electric vehicles", "ev batteries", "battery", "batteries")
+WATCHED = ("Artificial Intelligence", "Cybersecurity", "Robotics", "Cloud Computing", "Quantum Computing", "Dalmia Cement", "Manufacturing", "Cement Industry")
+SHORT_CONTENT = "No sufficient content available. Title: "
+SENTIMENTS =("Positive", "Neutral", "Negative", "Mixed")
 NAV_WORDS = ("login", "sign in", "sign up", "subscribe", "terms of", "privacy policy", "all rights reserved", "copyright", "home", "search", "menu", "share on", "facebook", "twitter", "linkedin", "contact us", "about us", "newsletter")
 SUMMARY = "This article discusses key industrial developments and technological advancements in the sector."
 ARTEFACTS = ("https", "http", "www", "com", "org", "net", "prnewswire", "globenewswire", "newswire", "networknewsaudio", "marketsandmarkets", "pypi", "githubusercontent", "rss", "xml", "feed")

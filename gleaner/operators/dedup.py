@@ -5,11 +5,11 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from gleaner.functions.columns import content_hash, match_key, normalize_url
+from gleaner.functions.columns import blank, content_hash, normalize_url
 from gleaner.operators.select import first_wins
 
 
@@ -39,68 +39,94 @@ def first_provider(df: DataFrame, phrase: str = "phrase", priority: str = "prior
     return df.join(df.groupBy(phrase).agg(F.min(priority).alias("_p")), phrase).where(F.col(priority) == F.col("_p")).drop("_p")
 
 
-def similar_titles(rows: DataFrame, ratio: float = 0.95) -> DataFrame:
-    """(a, b): title of row a against title of row b, ratio at least `ratio`; a <> b, both directions.
+def title_key(title: Column) -> Column:
+    """The letters, digits and underscores of a title in lower case."""
+    return F.regexp_replace(F.lower(blank(title)), "[^\\p{L}\\p{N}_]+", "")
+
+
+def _pieces(n: Column, ratio: float) -> tuple[Column, Column]:
+    """How many pieces a key of `n` characters is cut into, and how long they are."""
+    longest = F.floor((2 - ratio) / ratio * n + 1e-9)  # of the other string
+    count = F.least(n, F.floor((1 - ratio) * (n + longest) + 1e-9).cast("int") + 1)
+    return count, F.greatest(F.lit(1), F.floor(n / count).cast("int"))
+
+
+def similar_keys(left: DataFrame, right: DataFrame, ratio: float = 0.95) -> DataFrame:
+    """(t, u): keys of `left` (t) with other keys of `right` (u) that they reach the ratio with; keys are distinct and not blank.
 
     A ratio r of two strings of n and m characters leaves at most (1 - r)(n + m) single deletions and insertions, and each
     breaks at most one of the first string's pieces. With more pieces than that, one stands whole in the other string;
     candidates share such a piece, and lengths must allow the ratio. The UDF then decides.
     """
-    t = rows.select("ord", match_key(F.col("title")).alias("t")).where("t <> ''")
-    groups = t.groupBy("t").agg(F.min("ord").alias("g"))  # equal titles meet once
-    n = F.length("t")
-    longest = F.floor((2 - ratio) / ratio * n + 1e-9)  # of the other string
-    pieces = F.least(n, F.floor((1 - ratio) * (n + longest) + 1e-9).cast("int") + 1)
-    size = F.greatest(F.lit(1), F.floor(n / pieces).cast("int"))
-    own = groups.select("g", "t", n.alias("n"), pieces.alias("p"), size.alias("s"))
-    cuts = own.select("g", "t", "n", F.explode(F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda i: F.substring("t", i * F.col("s") + 1, F.col("s")))).alias("piece"), "s").where("piece <> ''").distinct()
-    spots = groups.select("g", "t", n.alias("n")).join(F.broadcast(own.select(F.col("s").alias("size")).distinct()), F.col("size") <= F.col("n"))
-    spots = spots.select(F.col("g").alias("h"), F.col("t").alias("u"), F.col("n").alias("m"), "size", F.explode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("size") + 1), lambda i: F.substring("t", i, F.col("size")))).alias("piece")).distinct()
-    near = cuts.join(spots, (cuts.piece == spots.piece) & (cuts.s == spots.size) & (F.col("g") != F.col("h")) & (2 * F.least("n", "m") >= ratio * (F.col("n") + F.col("m"))))
-    pairs = near.select("g", "h", "t", "u").distinct()
-    pairs = pairs.unionByName(pairs.select(F.col("h").alias("g"), F.col("g").alias("h"), F.col("u").alias("t"), F.col("t").alias("u"))).distinct()
-    good = pairs.where(title_ratio("t", "u") >= ratio).select("g", "h")
-    same = t.join(groups, "t").select("g", "ord")
-    members = same.withColumnRenamed("ord", "a")
-    across = good.join(members, "g").join(same.select(F.col("g").alias("h"), F.col("ord").alias("b")), "h").select("a", "b")
-    equal = members.join(same.withColumnRenamed("ord", "b"), "g").where("a <> b").select("a", "b")
-    return across.unionByName(equal)
+    count, size = _pieces(F.length("t"), ratio)
+    cuts = left.select("t", F.length("t").alias("n"), count.alias("count"), size.alias("size"))
+    cuts = cuts.select("t", "n", "size", F.explode(F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.substring("t", i * F.col("size") + 1, F.col("size")))).alias("piece")).distinct()
+    m = F.length("u")
+    low, high = F.greatest(F.lit(1), F.ceil(ratio / (2 - ratio) * m - 1e-9).cast("int")), F.floor((2 - ratio) / ratio * m + 1e-9).cast("int")
+    spots = right.select("u", m.alias("m"), F.explode(F.array_distinct(F.transform(F.sequence(low, high), lambda k: _pieces(k, ratio)[1]))).alias("size")).where("size <= m")
+    spots = spots.select("u", "m", "size", F.explode(F.transform(F.sequence(F.lit(1), F.col("m") - F.col("size") + 1), lambda i: F.substring("u", i, F.col("size")))).alias("piece")).distinct()
+    near = cuts.join(spots, ["piece", "size"]).where((F.col("t") != F.col("u")) & (2 * F.least("n", "m") >= ratio * (F.col("n") + F.col("m"))))
+    return near.select("t", "u").distinct().where(title_ratio("t", "u") >= ratio)
+
+
+def similar_titles(rows: DataFrame, ratio: float = 0.95) -> DataFrame:
+    """(a, b, equal): links between titles, each title named by its least `ord`, in every direction that reaches the ratio; and, where
+    `equal`, every further row a of a title with that title's least ord b."""
+    t = rows.select("ord", title_key(F.col("title")).alias("t")).where("t <> ''")
+    named = t.groupBy("t").agg(F.min("ord").alias("a"))
+    other = named.select(F.col("t").alias("u"), F.col("a").alias("b"))
+    links = similar_keys(named.select("t"), other.select("u"), ratio).join(named, "t").join(other, "u").select("a", "b", F.lit(False).alias("equal"))
+    copies = t.join(named, "t").where("ord <> a").select(F.col("ord").alias("a"), F.col("a").alias("b"), F.lit(True).alias("equal"))
+    return links.unionByName(copies)
+
+
+def labels(rows: DataFrame) -> Column:
+    """What a row may share with its duplicates, as array: canonical url if there is one, normalised url, title and content if not blank."""
+    some = lambda kind, v: F.when(v != "", F.concat(F.lit(kind), v))
+    canonical = [F.when(blank(F.col("canonical_url")) != "", F.concat(F.lit("c"), normalize_url(F.col("canonical_url"))))] if "canonical_url" in rows.columns else []
+    return F.array_compact(F.array(*canonical, F.concat(F.lit("u"), normalize_url(F.col("url"))), some("t", title_key(F.col("title"))), some("h", content_hash(F.col("content")))))
+
+
+def _titles(members: DataFrame, name: str) -> DataFrame:
+    return members.where(F.startswith("g", F.lit("t"))).select(F.expr("substring(g, 2)").alias(name)).distinct()
 
 
 def layered(rows: DataFrame, quality: str = "quality") -> DataFrame:
-    """Keep rows greedily by quality: a row goes if a kept row before it has its canonical or normalised url, a similar title or its content.
+    """Keep rows greedily by quality, ties by `ord`: see `first_of_similar`."""
+    return first_of_similar(rows, F.struct((-F.col(quality)).alias("q"), F.col("ord").alias("o")))
+
+
+def first_of_similar(rows: DataFrame, rank: Column, ratio: float = 0.95) -> DataFrame:
+    """Keep rows greedily in order of `rank`: a row goes if a kept row before it has its canonical or normalised url, a similar title or its content.
 
-    Equal to one pass in order of (quality desc, ord): in each round the rows without an undecided better neighbour are kept and
-    their worse neighbours go, until none is undecided. Needs columns ord, url, canonical_url, title, content and the quality.
+    Equal to one pass in that order: in each round the rows without an undecided better neighbour are kept and their worse
+    neighbours go, until none is undecided. Rows are not paired: a round looks at each label's best undecided and kept
+    rank, and those of similar titles. Needs columns ord, url, title, content, and canonical_url if there is one.
     """
-    base = rows.select("ord", F.col(quality).alias("q"), F.when(F.coalesce("canonical_url", F.lit("")) == "", None).otherwise(normalize_url(F.col("canonical_url"))).alias("k1"),
-                       normalize_url(F.col("url")).alias("k2"), F.when(content_hash(F.col("content")) == "", None).otherwise(content_hash(F.col("content"))).alias("k3")).checkpoint()
-    edges = None
-    for k in ("k1", "k2", "k3"):
-        # In a group of one key every row is a neighbour of every other; a chain to the group's best row would not do, as that row may go.
-        side = base.where(f"{k} is not null").select(k, "ord", "q")
-        other = side.select(k, F.col("ord").alias("b"), F.col("q").alias("bq"))
-        e = side.join(other, k).where("bq > q or (bq = q and b < ord)").select(F.col("ord").alias("a"), "b")
-        edges = e if edges is None else edges.unionByName(e)
-    rank = base.select(F.col("ord").alias("b"), F.col("q").alias("bq"))
-    fuzzy = similar_titles(rows).join(base.select(F.col("ord").alias("a"), "q"), "a").join(rank, "b").where("bq > q or (bq = q and b < a)").select("a", "b")
-    edges = edges.unionByName(fuzzy).distinct().checkpoint()
-    state = base.select("ord", F.lit(None).cast("boolean").alias("keep")).checkpoint()
+    members = rows.select("ord", rank.alias("rank"), F.explode(labels(rows)).alias("g")).checkpoint()
+    links = similar_keys(_titles(members, "t"), _titles(members, "u"), ratio).select(F.concat(F.lit("t"), "t").alias("g"), F.concat(F.lit("t"), "u").alias("h")).checkpoint()
+    state = rows.select("ord", F.lit(None).cast("boolean").alias("keep")).checkpoint()
+    best = (F.min("open").alias("open"), F.min("kept").alias("kept"))
     while state.where("keep is null").limit(1).count():
-        known = edges.join(state.select(F.col("ord").alias("b"), F.col("keep").alias("bk")), "b")
-        near = known.groupBy("a").agg(F.max(F.col("bk").isNull()).alias("open"), F.max(F.coalesce("bk", F.lit(False))).alias("hit"))
-        state = state.join(near.withColumnRenamed("a", "ord"), "ord", "left").select("ord", F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.coalesce("hit", F.lit(False)), False)
-                                                                                     .when(~F.coalesce("open", F.lit(False)), True).alias("keep")).checkpoint()
+        at = members.join(state, "ord").select("g", F.when(F.col("keep").isNull(), F.col("rank")).alias("open"), F.when(F.col("keep"), F.col("rank")).alias("kept")).groupBy("g").agg(*best)
+        at = at.unionByName(links.join(at.withColumnRenamed("g", "h"), "h").select("g", "open", "kept")).groupBy("g").agg(*best)
+        before = lambda c: F.max(F.coalesce(F.col(c) < F.col("rank"), F.lit(False))).alias(c)
+        near = members.join(at, "g").groupBy("ord").agg(before("open"), before("kept"))
+        state = state.join(near, "ord").select("ord", F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.col("kept"), False).when(~F.col("open"), True).alias("keep")).checkpoint()
     return rows.join(state.where("keep"), "ord", "left_semi")
 
 
-def duplicate_of_any(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """(ord, is_duplicate) by the exact rules: normalised url, title key, content hash."""
-    out = rows.select("ord", normalize_url(F.col("url")).alias("u"), match_key(F.col("title")).alias("t"), content_hash(F.col("content")).alias("c"))
-    for k, e in (("u", normalize_url(F.col("url"))), ("t", match_key(F.col("title"))), ("c", content_hash(F.col("content")))):
-        have = others.select(e.alias(k)).where(f"{k} <> ''").distinct().withColumn("has_" + k, F.lit(True))
-        out = out.join(have, k, "left")
-    return out.select("ord", F.coalesce("has_u", "has_t", "has_c", F.lit(False)).alias("is_duplicate"))
+def duplicate_of_any(rows: DataFrame, others: DataFrame, ratio: float | None = 0.95) -> DataFrame:
+    """(ord, is_duplicate): a row shares its canonical url, normalised url or content with one of `others`, or has a title similar to
+    one of theirs; without a ratio, an equal one."""
+    mine = rows.select("ord", F.explode(labels(rows)).alias("g"))
+    theirs = others.select(F.explode(labels(others)).alias("g")).distinct()
+    hits = mine.join(theirs, "g", "left_semi").select("ord")
+    if ratio is not None:
+        links = similar_keys(_titles(mine, "t"), _titles(theirs, "u"), ratio).select(F.concat(F.lit("t"), "t").alias("g"))
+        hits = hits.unionByName(mine.join(links, "g", "left_semi").select("ord"))
+    hits = hits.distinct().withColumn("is_duplicate", F.lit(True))
+    return rows.select("ord").join(hits, "ord", "left").select("ord", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
 
 
 def window_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -9,23 +9,37 @@ from gleaner.functions import constants as C
 from gleaner.functions.columns import singular, title_case, words
 
 MARKS = "^[.,;:!?()\\[\\]{}'\"-]+|[.,;:!?()\\[\\]{}'\"-]+$"
+SENTENCE_END = "[.!?]+(?:\\s+|\\z)"
 CONNECTORS = ("of", "and", "for", "in", "the", "on", "to", "at", "&")
 CAPITALS = "[A-Z][a-zA-Z0-9.\\-]*(?:\\s+(?:(?:of|and|for|in|the|on|to|at|&)\\s+)?[A-Z][a-zA-Z0-9.\\-]*)*"
 
 
+LETTER = "[\\p{L}\\p{N}_]"
+EDGE = f"(?:(?<={LETTER})(?!{LETTER})|(?<!{LETTER})(?={LETTER}))"
+
+
+def trim_stop_words(phrase: Column, stop_words=C.STOP_WORDS) -> Column:
+    """The phrase without stop words at its ends; blank if it has no others."""
+    w = F.filter(F.split(phrase, "\\s+"), lambda x: x != "")
+    kept = F.filter(F.transform(w, lambda x, i: F.when(~F.lower(x).isin(*stop_words), i)), lambda i: i.isNotNull())
+    return F.when(F.size(kept) == 0, "").otherwise(F.array_join(F.slice(w, F.array_min(kept) + 1, F.array_max(kept) - F.array_min(kept) + 1), " "))
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(text, "\\s+"), lambda t: t != "")
 
 
 def noun_phrases(text: Column, stop_words=C.STOP_WORDS) -> Column:
-    """All 1-, 2- and 3-grams inside runs of content words, with their start, as array<struct<at, phrase>>."""
-    t = F.transform(tokens(text), lambda w: F.regexp_replace(w, MARKS, ""))
-    # A word that breaks a run becomes null, so a slice without nulls lies inside a run.
-    content = F.transform(t, lambda w: F.when((F.length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~F.lower(w).isin(*stop_words, *C.ARTEFACTS), w))
+    """All 1-, 2- and 3-grams inside runs of content words of one sentence, with their start, as array<struct<at, phrase>>."""
+    t = F.transform(tokens(text), lambda w: F.struct(F.regexp_replace(w, MARKS, "").alias("w"), w.rlike("[.!?]$").alias("end")))
+    # A word that breaks a run becomes null, so a slice without nulls lies inside a run; one that ends a sentence is null but as a phrase's last.
+    kept = lambda x: F.when((F.length(x["w"]) >= 3) & ~x["w"].rlike("^[0-9]+$") & ~F.lower(x["w"]).isin(*stop_words, *C.ARTEFACTS), x["w"])
+    content = F.transform(t, lambda x: F.struct(kept(x).alias("last"), F.when(~x["end"], kept(x)).alias("inner")))
 
     def grams(c):
         def of(n):
-            return F.filter(F.transform(c, lambda w, i: F.struct(i.alias("at"), F.concat(*[x for k in range(n) for x in ((F.lit(" "),) if k else ()) + (F.get(c, i + k),)]).alias("phrase"))), lambda x: x["phrase"].isNotNull())
+            part = lambda i, k: F.get(c, i + k)["last" if k == n - 1 else "inner"]
+            return F.filter(F.transform(c, lambda w, i: F.struct(i.alias("at"), F.concat(*[x for k in range(n) for x in ((F.lit(" "),) if k else ()) + (part(i, k),)]).alias("phrase"))), lambda x: x["phrase"].isNotNull())
 
         return F.concat(of(1), of(2), of(3))
 
@@ -34,8 +48,9 @@ def noun_phrases(text: Column, stop_words=C.STOP_WORDS) -> Column:
 
 
 def capitalized_phrases(text: Column, stop_words=C.STOP_WORDS) -> Column:
-    """Runs of capitalised words, at most three (four with a connector), none of them a stop word."""
-    found = F.transform(F.regexp_extract_all(text, F.lit("(" + CAPITALS + ")"), F.lit(1)), lambda p: F.regexp_replace(p, MARKS, ""))
+    """Runs of capitalised words of one sentence, at most three (four with a connector), none of them a stop word."""
+    runs = F.flatten(F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_extract_all(s, F.lit("(" + EDGE + CAPITALS + EDGE + ")"), F.lit(1))))
+    found = F.transform(runs, lambda p: F.regexp_replace(p, MARKS, ""))
     def ok(p):
         w = F.transform(F.split(p, "\\s+"), F.lower)
         short = (F.size(w) <= 3) | ((F.size(w) == 4) & F.arrays_overlap(w, words(CONNECTORS)))
@@ -50,9 +65,10 @@ def canonical(phrase: Column) -> Column:
 
 def phrase_rows(rows: DataFrame, text: Column, key: str = "url") -> DataFrame:
     """(key, phrase, canonical, proper): each occurrence of a phrase, artefacts removed by substring as published."""
-    both = F.concat(F.transform(capitalized_phrases(text), lambda p: F.struct(p.alias("phrase"), F.lit(True).alias("proper"))),
+    # Noun phrases have no stop words.
+    both = F.concat(F.transform(capitalized_phrases(text), lambda p: F.struct(trim_stop_words(p).alias("phrase"), F.lit(True).alias("proper"))),
                     F.transform(noun_phrases(text), lambda x: F.struct(x["phrase"].alias("phrase"), F.lit(False).alias("proper"))))
-    p = rows.select(key, F.inline(both)).withColumn("canonical", canonical(F.col("phrase"))).where(F.length("canonical") >= 3)
+    p = rows.select(key, F.inline(both)).where("phrase <> ''").withColumn("canonical", canonical(F.col("phrase"))).where(F.length("canonical") >= 3)
     for a in C.ARTEFACTS:
         p = p.where(~F.contains("canonical", F.lit(a)))
     return p
@@ -63,7 +79,7 @@ def phrase_stats(phrases: DataFrame, key: str = "url") -> DataFrame:
 
 
 def composite(stats: DataFrame) -> DataFrame:
-    domain = F.exists(F.split("canonical", " "), lambda w: w.isin(*C.DOMAIN_WORDS))
+    domain = F.col("canonical").isin(*C.DOMAIN_TOPICS) | F.exists(F.split("canonical", " "), lambda w: w.isin(*C.DOMAIN_WORDS))
     n = F.size(F.split("canonical", " "))
     s = stats.withColumn("domain", domain).where("domain or (articles >= 2 and freq >= 2)")
     return s.withColumn("score", (3.0 * F.col("articles") + 0.5 * F.col("freq")) * F.when(n == 2, 2.0).when(n >= 3, 2.5).otherwise(1.0) * F.when(F.col("proper"), 1.5).otherwise(1.0) * F.when(F.col("domain"), 3.0).otherwise(1.0))

@@ -5,9 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.dedup import duplicate_of_any, first_of_similar
 from gleaner.operators.select import first_wins
 
 
+def overlay(feed: DataFrame, store: DataFrame, payload_pinned: DataFrame, ratio: float = 0.95) -> DataFrame:
+    """Pinned rows and the other rows of a payload, with is_pinned; all three relations have the same columns, `ord` and `url` among them.
+
+    Pinned are the rows of `store`, or `payload_pinned` where the store is empty; fields of the payload's last row of a url
+    stand over their own. Of the rest, feed first, rows go that are duplicates of a pinned row or of a row before them by the
+    rules of `duplicate_of_any`. Rows without a url go.
+    """
+    fields = [c for c in feed.columns if c not in ("ord", "url")]
+    place = lambda df, part: df.withColumn("ord", F.struct(F.lit(part).alias("part"), F.col("ord").alias("at")))
+    both = place(feed, 0).unionByName(place(payload_pinned, 1)).where("url <> ''")
+    filled = store.limit(1).select(F.lit(True).alias("_any"))  # one row at most
+    pinned = place(store, 0).unionByName(place(payload_pinned, 1).join(F.broadcast(filled), F.lit(True), "left_anti")).where("url <> ''")
+    last = both.groupBy("url").agg(F.max_by(F.struct(*fields), "ord").alias("_last"))
+    top = pinned.join(last, "url", "left").select("ord", "url", *[F.when(F.col("_last").isNotNull(), F.col("_last")[c]).otherwise(F.col(c)).alias(c) for c in fields])
+    hit = duplicate_of_any(both, top, ratio).where("is_duplicate")
+    rest = first_of_similar(both.join(hit, "ord", "left_anti"), F.col("ord"), ratio)
+    return top.withColumn("is_pinned", F.lit(True)).unionByName(rest.withColumn("is_pinned", F.lit(False)))
+
+
 def search(rows: DataFrame, keyword: str, few: int = 5) -> DataFrame:
     """Rows with the tag exactly; else with a tag that holds or is held by the keyword, and, if fewer than `few`, with it in title or content."""
     kw = keyword.lower().strip()

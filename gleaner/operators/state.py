@@ -39,14 +39,25 @@ def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
 
-def publish(spark: SparkSession, rows: DataFrame, root: str, snapshot_id: str) -> None:
-    """Write a snapshot beside the others, then name it in the pointer; readers see the old one until then."""
+DASHBOARD = "default_dashboard"
+
+
+def publish(spark: SparkSession, rows: DataFrame, root: str, snapshot_id: str, keyword: str = DASHBOARD, required: tuple[str, ...] = ()) -> None:
+    """Write a snapshot beside the others, then name it in the pointer, for its keyword and the dashboard in one file; readers see the
+    old one until then. Rows that are no DataFrame or lack a required column are refused, and whatever fails before leaves the old one."""
+    if not isinstance(rows, DataFrame):
+        raise ValueError("a snapshot must be a DataFrame")
+    if missing := [c for c in required if c not in rows.columns]:
+        raise ValueError(f"a snapshot lacks the columns {missing}")
     rows.write.mode("overwrite").parquet(f"{root}/snapshots/{snapshot_id}")
-    spark.createDataFrame([(snapshot_id,)], "snapshot_id string").coalesce(1).write.mode("append").json(f"{root}/pointer")
+    keys = dict.fromkeys((keyword or DASHBOARD, DASHBOARD))
+    spark.createDataFrame([(k, snapshot_id) for k in keys], "keyword string, snapshot_id string").coalesce(1).write.mode("append").json(f"{root}/pointer")
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the snapshot that was published last."""
-    named = spark.read.schema("snapshot_id string").json(f"{root}/pointer").select("snapshot_id", F.col("_metadata.file_modification_time").alias("t"))
-    last = named.agg(F.max_by("snapshot_id", F.struct("t", "snapshot_id"))).first()[0]
+def current(spark: SparkSession, root: str, keyword: str = DASHBOARD) -> DataFrame:
+    """Rows of the snapshot that was published last for a keyword."""
+    named = spark.read.schema("keyword string, snapshot_id string").json(f"{root}/pointer").where(F.col("keyword") == keyword)
+    last = named.agg(F.max_by("snapshot_id", F.struct(F.col("_metadata.file_modification_time").alias("t"), "snapshot_id"))).first()[0]
+    if last is None:
+        raise LookupError(f"no snapshot of {keyword}")
     return spark.read.parquet(f"{root}/snapshots/{last}")

@@ -11,6 +11,7 @@ from gleaner.functions import columns as X
 from gleaner.functions import constants as C
 from gleaner.operators import dedup, enrich, extract, filters, mining, score, search, select, state, tags
 from gleaner.plans import sql as S
+from gleaner.sources import stores
 from gleaner.sources.views import ARTICLES, NOW, TAGGED, articles, load, tagged
 from gleaner.streaming import streams
 
@@ -273,10 +274,10 @@ def suggest_union(spark, sf):
     return t.unionByName(more).groupBy("tag").agg(F.min("p").alias("p"))
 
 
-@query(f"WITH {ARTICLES}, o AS (SELECT * FROM articles WHERE ord % 2 = 0) SELECT ord, ({S.norm_url('url')} IN (SELECT {S.norm_url('url')} FROM o) OR ({S.match_key('title')} <> '' AND {S.match_key('title')} IN (SELECT {S.match_key('title')} FROM o)) OR ({S.content_hash('content')} <> '' AND {S.content_hash('content')} IN (SELECT {S.content_hash('content')} FROM o))) AS is_duplicate FROM articles WHERE ord % 2 = 1")
+@query(f"WITH {ARTICLES}, o AS (SELECT * FROM articles WHERE ord % 2 = 0) SELECT ord, ({S.norm_url('url')} IN (SELECT {S.norm_url('url')} FROM o) OR ({S.title_key('title')} <> '' AND {S.title_key('title')} IN (SELECT {S.title_key('title')} FROM o)) OR ({S.content_hash('content')} <> '' AND {S.content_hash('content')} IN (SELECT {S.content_hash('content')} FROM o))) AS is_duplicate FROM articles WHERE ord % 2 = 1")
 def is_duplicate_of_any_exact(spark, sf):
     a = articles(spark, sf)
-    return dedup.duplicate_of_any(a.where("ord % 2 = 1"), a.where("ord % 2 = 0"))
+    return dedup.duplicate_of_any(a.where("ord % 2 = 1"), a.where("ord % 2 = 0"), ratio=None)
 
 
 @query()
@@ -286,7 +287,7 @@ def title_similarity_pairs(spark, sf):
 
 @query()
 def layered_dedup(spark, sf):
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+    stores.shared_dir(spark)
     a = articles(spark, sf).withColumn("canonical_url", F.lit(None).cast("string")).withColumn("quality", score.quality(F.lit(False), F.col("url"), F.col("content"), F.lit(""), F.lit(0.0)))
     return dedup.layered(a).select("ord", "url", "title")
 
@@ -427,10 +428,9 @@ def fill_blank_upsert(spark, sf):
 
 @query(f"WITH {ARTICLES} SELECT ord, url, title FROM articles WHERE ord % 2 = 1")
 def snapshot_publish(spark, sf):
-    import tempfile
     import uuid
 
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='gleaner-')}/snapshot-{uuid.uuid4().hex}"
+    root = f"{stores.shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
     a = articles(spark, sf).select("ord", "url", "title")
     state.publish(spark, a.where("ord % 2 = 0"), root, "0001")
     state.publish(spark, a.where("ord % 2 = 1"), root, "0002")
@@ -441,12 +441,13 @@ def snapshot_publish(spark, sf):
 
 def _phrases(spark, sf):
     a = articles(spark, sf)
-    return mining.phrase_rows(a, F.concat_ws(" . ", "title", "content"))
+    return mining.phrase_rows(a, F.regexp_replace(F.concat_ws(" . ", "title", "content"), "[“”‘’\"]", " "))
 
 
-_GRAMS = f"""WITH {ARTICLES}, w AS (SELECT ord, list_transform(list_filter(regexp_split_to_array(title, '\\s+'), lambda t: t <> ''), lambda t: regexp_replace(t, '^[.,;:!?()\\[\\]{{}}''"\\-]+|[.,;:!?()\\[\\]{{}}''"\\-]+$', '', 'g')) AS t FROM articles),
-i AS (SELECT ord, t, unnest(range(1, len(t) + 1)) AS a FROM w), g AS (SELECT ord, a - 1 AS "at", n, list_slice(t, a, a + n - 1) AS p FROM i, (SELECT unnest([1, 2, 3]) AS n))
-SELECT ord, "at"::INT AS pos, array_to_string(p, ' ') AS phrase FROM g WHERE len(p) = n AND len(list_filter(p, lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$') AND lower(x) NOT IN {S.inlist((*C.STOP_WORDS, *C.ARTEFACTS))})) = n"""
+_GRAMS = f"""WITH {ARTICLES}, r AS (SELECT ord, list_filter(regexp_split_to_array(title, '\\s+'), lambda t: t <> '') AS r FROM articles),
+w AS (SELECT ord, r, list_transform(r, lambda t: regexp_replace(t, '^[.,;:!?()\\[\\]{{}}''"\\-]+|[.,;:!?()\\[\\]{{}}''"\\-]+$', '', 'g')) AS t FROM r),
+i AS (SELECT ord, r, t, unnest(range(1, len(t) + 1)) AS a FROM w), g AS (SELECT ord, a - 1 AS "at", n, list_slice(t, a, a + n - 1) AS p, CASE WHEN n > 1 THEN list_slice(r, a, a + n - 2) ELSE [] END AS q FROM i, (SELECT unnest([1, 2, 3]) AS n))
+SELECT ord, "at"::INT AS pos, array_to_string(p, ' ') AS phrase FROM g WHERE len(p) = n AND len(list_filter(q, lambda x: regexp_matches(x, '[.!?]$'))) = 0 AND len(list_filter(p, lambda x: length(x) >= 3 AND NOT regexp_matches(x, '^[0-9]+$') AND lower(x) NOT IN {S.inlist((*C.STOP_WORDS, *C.ARTEFACTS))})) = n"""
 
 
 @query(_GRAMS)

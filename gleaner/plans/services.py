@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,14 +11,14 @@ from gleaner.functions import constants as C
 from gleaner.operators import dedup, select, state, watch
 from gleaner.plans import sql as S
 from gleaner.plans.registry import _PRIORITY, query
-from gleaner.sources import feeds
+from gleaner.sources import feeds, stores
 from gleaner.sources.views import ARTICLES, NOW, TAGGED, articles, load, tagged
 
 PAGE = 10  # items of one response
 
 
 def _root(spark, name: str) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='gleaner-')}/{name}-{uuid.uuid4().hex}"
+    return f"{stores.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _bodies(rows, field, item):

@@ -56,6 +56,10 @@ def match_key(t: str) -> str:
     return f"regexp_replace(lower(coalesce({t}, '')), '[^a-z0-9]', '', 'g')"
 
 
+def title_key(t: str) -> str:
+    return f"regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
+
+
 def content_hash(t: str) -> str:
     return f"(CASE WHEN trim(coalesce({t}, '')) = '' THEN '' ELSE sha256(substr(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g'), 1, 400)) END)"
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources.stores import shared_dir
+
 
 def dedup_ttl(events: DataFrame, key: str, time: str = "ts", ttl: str = "7 days") -> DataFrame:
     """First row of each key within the watermark; the state of older keys expires."""
@@ -20,7 +21,7 @@ def daily_counts(events: DataFrame, time: str = "ts", late: str = "1 day") -> Da
 
 def run_available(spark: SparkSession, stream: DataFrame, mode: str, target: str | None = None) -> DataFrame:
     """Process all that is there (availableNow) and return what was written."""
-    base = target or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-stream-")
+    base = target or shared_dir(spark)
     at = f"{base}/stream-{uuid.uuid4().hex}"
     if mode == "complete":
         q = stream.writeStream.outputMode("complete").option("checkpointLocation", at + "/state").trigger(availableNow=True).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(at + "/out")).start()
