@@ -140,7 +140,7 @@ def test_language_id(spark, docs, empty):
     held = [x for x in got if x.held_out and x.doc_id < 900]
     assert sum(x.lang_pred == x.lang for x in held) >= 0.95 * len(held) and all(0 <= x.score <= 1 for x in got)
     assert {x.doc_id: x.lang_pred for x in got if x.doc_id >= 900} == {900: "und", 901: "und"}
-    parser = langid.CrossParser({"x": "abcab"})
+    parser = langid.CrossParser.of({"x": ["abcab"]})
     assert parser.phrases(["abcabc", "zz", ""])[:, 0].tolist() == [2, 2, 0]
     assert langid.query(empty).count() == 0 and langid.query(docs).count() == docs.count()
 
