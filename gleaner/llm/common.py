@@ -71,10 +71,18 @@ def lean(f: Callable) -> Callable:
     return two if f.__code__.co_argcount == 2 else one
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, rows: Callable[[list], dict[str, list]]) -> DataFrame:
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of `batches`, about 16 MB at a time."""
+    for b in batches:
+        step = max(1, int(b.num_rows * 16e6 / max(b.nbytes, 1)))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, rows: Callable[[list], dict[str, list]], done: Callable[[], None] | None = None) -> DataFrame:
     """Apply `rows` (texts of an Arrow batch -> named output lists) batch by batch; `keep` passes through untouched.
 
-    Null texts reach `rows` as None. Ids never go through pandas, so nulls do not turn them into floats.
+    `done` is called at the end of each task, to let go of what `rows` keeps between batches. Null texts reach `rows` as None. Ids never go through pandas, so nulls do not turn them into floats.
     """
     from pyspark.sql.types import _parse_datatype_string
 
@@ -85,14 +93,13 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: str, rows: Call
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            step = max(1, int(b.num_rows * 16e6 / max(b.nbytes, 1)))  # about 16 MB of text at a time
-            for at in range(0, b.num_rows, step):
-                part = b.slice(at, step)
-                got = rows(part.column(len(keep)).to_pylist())
-                cols = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
-                cols += [pa.array(got[n], type=arrow.field(len(keep) + i).type) for i, n in enumerate(out)]
-                yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        for part in pieces(batches):
+            got = rows(part.column(len(keep)).to_pylist())
+            cols = [part.column(i).cast(arrow.field(i).type) for i in range(len(keep))]
+            cols += [pa.array(got[n], type=arrow.field(len(keep) + i).type) for i, n in enumerate(out)]
+            yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        if done is not None:
+            done()
         give_back()
 
     return narrow.mapInArrow(run, schema)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, give_back, map_texts
+from gleaner.llm.common import cut, give_back, map_texts, pieces
 
 SYMBOLS = 64  # digits: 0 ends a segment, 1 is a letter that no reference has
 GAP = 2  # a run of characters other than letters
@@ -265,7 +265,7 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
         lang, score = _parser(shared).predict(texts)
         return {"lang_pred": lang, "score": score}
 
-    return map_texts(docs.select("doc_id", held_out().alias("held_out"), "text"), ["doc_id", "held_out"], "text", "doc_id long, held_out boolean, lang_pred string, score double", rows)
+    return map_texts(docs.select("doc_id", held_out().alias("held_out"), "text"), ["doc_id", "held_out"], "text", "doc_id long, held_out boolean, lang_pred string, score double", rows, _forget)
 
 
 _built: list = [None, None]  # the models that the worker's parser was made of, and the parser
@@ -277,6 +277,11 @@ def _parser(shared) -> CrossParser:
     return _built[1]
 
 
+def _forget() -> None:
+    """Lets go of the parser at a task's end; a worker that goes on to other stages would else keep its tables."""
+    _built[:] = None, None
+
+
 def query(docs: DataFrame) -> DataFrame:
     return identify(docs)
 
@@ -287,9 +292,10 @@ def keep_identified(docs: DataFrame, min_score: float = 0.02) -> DataFrame:
     columns = docs.columns
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             lang, score = _parser(shared).predict(b.column(columns.index("text")).to_pylist())
             yield b.filter(pa.array([x != "und" and s >= min_score for x, s in zip(lang, score)], pa.bool_()))
+        _forget()
         give_back()
 
     return docs.mapInArrow(run, docs.schema)
