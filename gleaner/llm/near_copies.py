@@ -13,9 +13,9 @@ Pairs within one component need no check. A first round therefore checks, for ea
 meets at fewest bits and the FIRST heaviest texts that it meets in most tries, which joins large groups of near copies in linear work; the walk then prunes node pairs all of whose texts are in
 one component. Of the pairs that it finds between two components, FIRST are checked first, and all others where these do not link the two.
 
-Defined edge cases: a text of fewer than five words is one shingle; texts without words are equal to each other; a null
-doc_id keeps its row, links like any other and never names a component; rows of one doc_id are judged each by its own
-text; an empty table gives no rows; further columns of any name pass through.
+Defined edge cases: a text of fewer than five words is one shingle; texts without words are equal to each other; a row without
+an id links like any other and never names a component, and of a group without ids one row stays; rows of one doc_id are judged each by
+its own text, and of equal rows one stays; an empty table gives no rows; further columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -214,8 +214,8 @@ def links(docs: DataFrame, nodes: DataFrame, seats: DataFrame, similarity: float
     return found.unionByName(checked(rest))
 
 
-def grouped(docs: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(doc_id, component_id) for every row of `docs`; component_id is the least doc_id that near copies lead to."""
+def _linked(docs: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, at, set, ...) of all texts, `at` being the text's hash; their distinct sets as nodes; and links between these."""
     docs = docs.select("doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
@@ -224,14 +224,32 @@ def grouped(docs: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CE
         return {"set": [digest(s) for s in sets], "n": [len(s) for s in sets], "fp": [int(np.array(majority(s), np.uint64).view(np.int64)) for s in sets],
                 "prefix": [prefix(s, *shared.value, similarity).tobytes() for s in sets]}
 
-    fps = cut(map_texts(docs, ["doc_id"], "text", "doc_id long, set long, n int, fp long, prefix binary", rows))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("at"), "text")
+    fps = cut(map_texts(hashed, ["doc_id", "at"], "text", "doc_id long, at long, set long, n int, fp long, prefix binary", rows))
     nodes = cut(fps.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")))
-    comp = named(nodes.select(F.col("set").alias("fp"), "rep"), links(docs, nodes, _seats(fps), similarity, cell_rows=cell_rows)).withColumnRenamed("fp", "set")
-    return fps.select("doc_id", "set").join(comp, "set", "left").select("doc_id", "component_id")
+    return fps.select("doc_id", "at", "set"), nodes, links(docs, nodes, _seats(fps), similarity, cell_rows=cell_rows)
+
+
+def grouped(docs: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(doc_id, component_id) for every row of `docs`; component_id is the least doc_id that near copies lead to."""
+    rows, nodes, edges = _linked(docs, similarity, cell_rows)
+    comp = named(nodes.select(F.col("set").alias("fp"), "rep"), edges).withColumnRenamed("fp", "set")
+    return rows.join(comp, "set", "left").select("doc_id", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id names its component; rows without an id stay."""
-    gone = cut(grouped(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    marked, hit = _marked(docs, gone)
-    return marked.where(f"not {hit}").unionByName(marked.where(hit).join(gone, "doc_id", "left_anti").select(*marked.columns)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component of near copies: that of least doc_id, rows without an id last; of several texts of that id the one of least set and hash, of equal rows any one."""
+    rows, _, edges = _linked(docs)
+    roots = components(edges).withColumnRenamed("node", "set")
+    texts = cut(rows.join(roots, "set", "left").groupBy(F.coalesce("root", "set").alias("root"), "doc_id", "at").agg(F.min("set").alias("set"), F.count("*").alias("copies")))
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "set", "at")).alias("first"))
+    stay = texts.join(first, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
+    stay = cut(stay.select("doc_id", "at", "copies", "stays"))
+    marked, hit = _marked(docs, stay.where("not stays or copies > 1").select("doc_id").distinct())
+    at_, id_, copies_, turn_ = fresh(marked.columns, "at", "id", "copies", "turn")
+    kept = stay.where("stays").select(F.col("doc_id").alias(id_), F.col("at").alias(at_), F.col("copies").alias(copies_))
+    asked = marked.where(hit).withColumn(f"{at_}_", F.xxhash64("text"))
+    found = asked.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(f"{at_}_") == F.col(at_)))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    one = found.where(F.col(copies_) > 1).withColumn(turn_, F.row_number().over(Window.partitionBy(id_, at_).orderBy(F.xxhash64(*every)))).where(F.col(turn_) == 1)
+    return marked.where(~F.col(hit)).select(*every).unionByName(found.where(F.col(copies_) == 1).select(*every)).unionByName(one.select(*every))

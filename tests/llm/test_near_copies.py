@@ -53,3 +53,33 @@ def test_one_changed_word_is_a_near_copy(spark):
     text = [f"w{i}" for i in range(80)]
     docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join([*text[:40], "x", *text[41:]]))], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    """Ids of several texts, repeated rows and rows without ids: exactly one row of each component stays, and no unique text is lost."""
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    base = [[r.choice(words) for _ in range(60)] for _ in range(25)]
+    near = lambda t: " ".join([*t[:30], "other", *t[31:]])
+    rows = [(3, " ".join(base[0])), (5, near(base[0])), (5, " ".join(base[1])), (6, " ".join(base[2])), (6, " ".join(base[2])), (7, " ".join(base[3])), (7, near(base[3])),
+            (None, " ".join(base[4])), (None, " ".join(base[4])), (None, near(base[4])), (None, " ".join(base[0])), (9, near(base[1])), (9, near(base[2])), (8, ""), (8, None), (None, " "), (None, "alone here")]
+    rows += [(r.choice([20, 21, 22, 23, None]), r.choice([" ".join(b), near(b)])) for b in base[5:] for _ in range(r.randint(1, 4))]
+    keys = [(i is None, i or 0) for i, _ in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1] or "", rows[j][1] or "") >= 0.8:
+                x, y = root[i], root[j]
+                root = [y if z == x else z for z in root]
+    least = {}
+    for k, c in zip(keys, root):
+        least[c] = min(least.get(c, k), k)
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, at string").repartition(4)
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((a.doc_id is None, a.doc_id or 0) for a in got) == sorted(least.values())
+    texts = {}
+    for a in got:
+        owner = {root[k] for k, x in enumerate(rows) if x == (a.doc_id, a.text)}
+        assert len(owner) == 1 and owner.isdisjoint(texts)
+        texts |= dict.fromkeys(owner)
+    assert len(texts) == len(least)
