@@ -40,12 +40,26 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.lower(F.trim(blank(url))), "^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def decoded(part: Column) -> Column:
+    """A part of a query with plus signs and percent codes decoded; percent signs that begin no code stay."""
+    return F.try_url_decode(F.regexp_replace(part, "%(?![0-9a-fA-F]{2})", "%25"))
+
+
+def encoded(part: Column) -> Column:
+    """Text as a part of a query, as forms write it: letters, digits and _ . - ~ stay, blanks become plus signs."""
+    return F.replace(F.replace(F.url_encode(part), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def normalize_url(url: Column) -> Column:
-    """Lower case, https, no trailing slashes, no fragment, no tracking or blank parameters, the others sorted."""
-    u = F.regexp_replace(F.lower(F.trim(blank(url))), "^http://", "https://")
-    base = F.regexp_replace(F.regexp_extract(u, "^([^?#]*)", 1), "/+$", "")
-    pairs = F.filter(F.split(F.regexp_extract(u, "\\?([^#]*)", 1), "&"), lambda p: p.rlike("^[^=]+=.+") & ~F.split_part(p, F.lit("="), F.lit(1)).isin(*C.TRACKING))
-    query = F.array_join(F.array_sort(pairs), "&")
+    """Lower case, https, no trailing slashes, no fragment, no tracking or blank parameters, the others decoded, sorted and encoded."""
+    u = F.regexp_replace(F.regexp_replace(F.lower(F.trim(blank(url))), "^http://", "https://"), "(?s)#.*$", "")
+    whole = F.regexp_extract(u, "^([^?]*)", 1)
+    params = F.regexp_extract(whole, "(;[^/]*)$", 1)  # of the last part of the path
+    base = F.concat(F.regexp_replace(F.left(whole, F.length(whole) - F.length(params)), "/+$", ""), F.when(params == ";", "").otherwise(params))
+    pairs = F.transform(F.split(F.regexp_extract(u, "(?s)\\?(.*)$", 1), "&"), lambda p: F.regexp_extract_all(p, F.lit("^([^=]*)=(.+)$"), F.lit(0)))
+    pairs = F.transform(F.flatten(pairs), lambda p: F.struct(decoded(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), decoded(F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
+    kept = F.filter(pairs, lambda x: ~x["k"].isin(*C.TRACKING))
+    query = F.array_join(F.transform(F.array_sort(kept), lambda x: F.concat(encoded(x["k"]), F.lit("="), encoded(x["v"]))), "&")
     return F.when(query == "", base).otherwise(F.concat(base, F.lit("?"), query))
 
 

@@ -44,14 +44,16 @@ def relevance_score(title: Column, description: Column, content: Column, topic:
     return F.least(count_in(text, keys) * 20.0, F.lit(100.0))
 
 
+FUNCTION_WORDS = {"en": "the of and to in is that for it was with be on not this have from are by", "fr": "le la les et des du que qui est une pour dans par sur avec au", "de": "der die und das den nicht mit ist ein eine zu auf von dem auch",
+                  "es": "el los las del con una por para es que en se como al", "no": "og det er som på til av har ikke med den"}
+
+
 def is_english(*parts: Column) -> Column:
     """Own detector: letters mostly ASCII, and English function words outnumber those of three neighbours."""
     text = F.lower(F.concat_ws(" ", *parts))
     tokens = F.filter(F.split(F.regexp_replace(text, "[^\\p{L}]+", " "), " "), lambda w: w != "")
-    lists = {"en": "the of and to in is that for it was with be on not this have from are by", "fr": "le la les et des du que qui est une pour dans par sur avec au", "de": "der die und das den nicht mit ist ein eine zu auf von dem auch",
-             "es": "el los las del con una por para es que en se como al", "no": "og det er som på til av har ikke med den"}
     known = lambda many: lambda w: w.isin(*many)
-    hits = {k: F.size(F.filter(tokens, known(v.split()))) for k, v in lists.items()}
+    hits = {k: F.size(F.filter(tokens, known(v.split()))) for k, v in FUNCTION_WORDS.items()}
     ascii_letters, letters = F.regexp_count(text, F.lit("[a-z]")), F.regexp_count(text, F.lit("\\p{L}"))
     best = hits["en"] > F.greatest(*[v for k, v in hits.items() if k != "en"])
     return F.coalesce((F.size(tokens) > 0) & (ascii_letters >= 0.9 * letters) & best, F.lit(False))

@@ -57,7 +57,7 @@ def keywords_from_fallback(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(k, "url", "left").withColumn("keywords", made).drop("_k")
 
 
-def three_keywords(raw: Column, forbidden=C.FORBIDDEN_TAGS, pads=C.FALLBACK_TAGS) -> Column:
+def three_keywords(raw: Column, forbidden=C.FORBIDDEN_KEYWORDS, pads=C.FALLBACK_TAGS) -> Column:
     """A model's keywords trimmed, without forbidden ones, distinct in any casing, cut or padded to three."""
     kept = F.filter(F.transform(F.coalesce(raw, F.array().cast("array<string>")), lambda t: F.trim(X.blank(t))), lambda t: (t != "") & ~F.lower(t).isin(*forbidden))
     both = F.concat(kept, X.words(pads))

@@ -11,7 +11,8 @@ from gleaner.functions.columns import singular, title_case, words
 MARKS = "^[.,;:!?()\\[\\]{}'\"-]+|[.,;:!?()\\[\\]{}'\"-]+$"
 SENTENCE_END = "[.!?]+(?:\\s+|\\z)"
 CONNECTORS = ("of", "and", "for", "in", "the", "on", "to", "at", "&")
-CAPITALS = "[A-Z][a-zA-Z0-9.\\-]*(?:\\s+(?:(?:of|and|for|in|the|on|to|at|&)\\s+)?[A-Z][a-zA-Z0-9.\\-]*)*"
+CAPITAL = "[A-Z][a-zA-Z0-9.\\-]*"
+CAPITALS = f"{CAPITAL}(?:\\s+(?:(?:{'|'.join(CONNECTORS)})\\s+)?{CAPITAL})*"
 
 
 LETTER = "[\\p{L}\\p{N}_]"
@@ -29,11 +30,16 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, "\\s+"), lambda t: t != "")
 
 
-def noun_phrases(text: Column, stop_words=C.STOP_WORDS) -> Column:
+def _once(value: Column, f) -> Column:
+    """`f` of a value that is computed once; written out in a lambda it would be computed anew for every element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def noun_phrases(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
     """All 1-, 2- and 3-grams inside runs of content words of one sentence, with their start, as array<struct<at, phrase>>."""
     t = F.transform(tokens(text), lambda w: F.struct(F.regexp_replace(w, MARKS, "").alias("w"), w.rlike("[.!?]$").alias("end")))
     # A word that breaks a run becomes null, so a slice without nulls lies inside a run; one that ends a sentence is null but as a phrase's last.
-    kept = lambda x: F.when((F.length(x["w"]) >= 3) & ~x["w"].rlike("^[0-9]+$") & ~F.lower(x["w"]).isin(*stop_words, *C.ARTEFACTS), x["w"])
+    kept = lambda x: F.when((F.length(x["w"]) >= 3) & ~x["w"].rlike("^[0-9]+$") & ~F.lower(x["w"]).isin(*stop_words, *verbs, *C.ARTEFACTS), x["w"])
     content = F.transform(t, lambda x: F.struct(kept(x).alias("last"), F.when(~x["end"], kept(x)).alias("inner")))
 
     def grams(c):
@@ -43,35 +49,67 @@ def noun_phrases(text: Column, stop_words=C.STOP_WORDS) -> Column:
 
         return F.concat(of(1), of(2), of(3))
 
-    # The one-element array names the words once; written out in each lambda they would be computed anew for every element.
-    return F.get(F.transform(F.array(content), grams), 0)
+    return _once(content, grams)
+
+
+def run_phrases(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
+    """The phrases of `noun_phrases` run by run: of each run of content words first single words, then pairs, then triples."""
+    mark = "\u0002"  # stands behind each run
+    t = F.transform(tokens(text), lambda w: F.struct(F.regexp_replace(F.regexp_replace(w, mark, ""), MARKS, "").alias("w"), w.rlike("[.!?]$").alias("end")))
+    kept = lambda x: (F.length(x["w"]) >= 3) & ~x["w"].rlike("^[0-9]+$") & ~F.lower(x["w"]).isin(*stop_words, *verbs, *C.ARTEFACTS)
+    line = F.array_join(F.transform(t, lambda x: F.when(kept(x), F.concat(x["w"], F.when(x["end"], f" {mark}").otherwise(""))).otherwise(mark)), " ")
+    runs = F.filter(F.transform(F.split(line, mark), lambda r: F.trim(r)), lambda r: r != "")
+
+    def grams(w):
+        of = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+        return F.concat(of(1), of(2), of(3))
+
+    return F.flatten(F.transform(runs, lambda r: _once(F.split(r, " "), grams)))
 
 
-def capitalized_phrases(text: Column, stop_words=C.STOP_WORDS) -> Column:
-    """Runs of capitalised words of one sentence, at most three (four with a connector), none of them a stop word."""
+def capitalized_phrases(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
+    """Runs of capitalised words of one sentence, at most three (four with a connector), none of them a stop word or verb but for connectors."""
     runs = F.flatten(F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_extract_all(s, F.lit("(" + EDGE + CAPITALS + EDGE + ")"), F.lit(1))))
     found = F.transform(runs, lambda p: F.regexp_replace(p, MARKS, ""))
     def ok(p):
         w = F.transform(F.split(p, "\\s+"), F.lower)
         short = (F.size(w) <= 3) | ((F.size(w) == 4) & F.arrays_overlap(w, words(CONNECTORS)))
-        return short & (F.length(p) >= 3) & ~F.exists(w, lambda x: x.isin(*[s for s in (*stop_words, *C.ARTEFACTS) if s not in CONNECTORS]))
+        return short & (F.length(p) >= 3) & ~F.exists(w, lambda x: x.isin(*[s for s in (*stop_words, *verbs, *C.ARTEFACTS) if s not in CONNECTORS]))
     return F.filter(found, ok)
 
 
 def canonical(phrase: Column) -> Column:
     c = F.array_join(F.transform(F.filter(F.transform(F.split(phrase, "\\s+"), lambda w: F.regexp_replace(w, MARKS, "")), lambda w: w != ""), singular), " ")
-    return F.when(c.isin("ai", "artificial intelligence", "a.i."), "artificial intelligence").when(c.isin("ev", "electric vehicle", "electric vehicles"), "electric vehicles").when(c.isin("ml", "machine learning"), "machine learning").otherwise(c)
+    return variant(c, F.lower)
 
 
-def phrase_rows(rows: DataFrame, text: Column, key: str = "url") -> DataFrame:
+def variant(phrase: Column, casing=lambda c: c) -> Column:
+    """The fixed spelling of a phrase in lower case that has one, put through `casing`, else the phrase itself."""
+    known = F.create_map(*[F.lit(x) for pair in C.VARIANTS.items() for x in pair])
+    return _once(phrase, lambda p: F.coalesce(casing(F.try_element_at(known, p)), p))
+
+
+def phrase_rows(rows: DataFrame, text: Column, key: str = "url", stop_words=C.STOP_WORDS, verbs=()) -> DataFrame:
     """(key, phrase, canonical, proper): each occurrence of a phrase, artefacts removed by substring as published."""
     # Noun phrases have no stop words.
-    both = F.concat(F.transform(capitalized_phrases(text), lambda p: F.struct(trim_stop_words(p).alias("phrase"), F.lit(True).alias("proper"))),
-                    F.transform(noun_phrases(text), lambda x: F.struct(x["phrase"].alias("phrase"), F.lit(False).alias("proper"))))
-    p = rows.select(key, F.inline(both)).where("phrase <> ''").withColumn("canonical", canonical(F.col("phrase"))).where(F.length("canonical") >= 3)
-    for a in C.ARTEFACTS:
-        p = p.where(~F.contains("canonical", F.lit(a)))
-    return p
+    both = F.concat(F.transform(capitalized_phrases(text, stop_words, verbs), lambda p: F.struct(trim_stop_words(p, stop_words).alias("phrase"), F.lit(True).alias("proper"))),
+                    F.transform(run_phrases(text, stop_words, verbs), lambda p: F.struct(p.alias("phrase"), F.lit(False).alias("proper"))))
+    p = rows.select(key, F.inline(both)).where("phrase <> ''").withColumn("canonical", canonical(F.col("phrase")))
+    # One condition that names the column once, as a filter is computed from the column's expression.
+    return p.where(F.col("canonical").rlike("(?s)^(?!.*(?:" + "|".join(C.ARTEFACTS) + ")).{3,}$"))
+
+
+def phrase_counts(phrases: DataFrame, key: str = "url") -> DataFrame:
+    """(canonical, phrase, key, n, proper): occurrences by spelling and article, from which statistics and casings follow."""
+    return phrases.groupBy("canonical", "phrase", key).agg(F.count("*").alias("n"), F.max("proper").alias("proper"))
+
+
+def keywords(phrases: DataFrame, most: int = 150, key: str = "url") -> DataFrame:
+    """(canonical, casing, score) of the `most` phrases of highest composite score, from one pass over the texts."""
+    counts = phrase_counts(phrases, key)
+    stats = counts.groupBy("canonical").agg(F.sum("n").alias("freq"), F.countDistinct(key).alias("articles"), F.max("proper").alias("proper"))
+    best = composite(stats).orderBy(F.desc("score"), "canonical").limit(most)
+    return best.join(best_casing(counts), "canonical").select("canonical", "casing", "score").orderBy(F.desc("score"), "canonical")
 
 
 def phrase_stats(phrases: DataFrame, key: str = "url") -> DataFrame:
@@ -89,26 +127,25 @@ def best_casing(phrases: DataFrame) -> DataFrame:
     """Per canonical phrase, the casing of most frequency times (1 + capitals); ties go to the first by spelling."""
     w = F.split("phrase", " ")
     bonus = F.aggregate(w, F.lit(0.0), lambda a, x: a + F.when((F.upper(x) == x) & (F.lower(x) != x), 1.5).when(F.left(x, F.lit(1)).rlike("[A-Z]"), 2.0).otherwise(0.0))
-    c = phrases.groupBy("canonical", "phrase").agg(F.count("*").alias("n"), F.max("proper").alias("proper")).withColumn("w", F.col("n") * (1.0 + bonus))
+    n = F.sum("n") if "n" in phrases.columns else F.count("*")
+    c = phrases.groupBy("canonical", "phrase").agg(n.alias("n"), F.max("proper").alias("proper")).withColumn("w", F.col("n") * (1.0 + bonus))
     best = c.groupBy("canonical").agg(F.min_by("phrase", F.struct(-F.col("w"), "phrase")).alias("casing"), F.max("proper").alias("proper"))
     return best.withColumn("casing", F.when(F.col("proper") & F.left("casing", F.lit(1)).rlike("[a-z]"), title_case(F.col("casing"))).otherwise(F.col("casing")))
 
 
-def fallback_tags(text: Column) -> Column:
-    """Three tags: capitalised phrases by frequency, then noun phrases, then defaults."""
-    def once(value, f):
-        return F.get(F.transform(F.array(value), f), 0)
-
+def fallback_tags(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
+    """Three tags without stop words at their ends: capitalised phrases by frequency, then noun phrases, then defaults."""
     # Equal phrases stand together in sorted order, so that counting takes no comparison of all pairs.
     def ranked(found):
         def runs(s):
             starts = F.filter(F.transform(s, lambda x, k: F.struct(k.alias("k"), x["i"].alias("i"), x["p"].alias("p"))), lambda y: (y["k"] == 0) | (F.get(s, y["k"] - 1)["p"] != y["p"]))
             count = lambda b, y, j: F.coalesce(F.get(b, j + 1)["k"], F.size(s)) - y["k"]
-            return once(starts, lambda b: F.transform(F.array_sort(F.transform(b, lambda y, j: F.struct((-count(b, y, j)).alias("n"), y["i"].alias("i"), y["p"].alias("p")))), lambda x: x["p"]))
+            return _once(starts, lambda b: F.transform(F.array_sort(F.transform(b, lambda y, j: F.struct((-count(b, y, j)).alias("n"), y["i"].alias("i"), y["p"].alias("p")))), lambda x: x["p"]))
 
-        return once(F.array_sort(F.transform(found, lambda p, i: F.struct(p.alias("p"), i.alias("i")))), runs)
+        return _once(F.array_sort(F.transform(found, lambda p, i: F.struct(p.alias("p"), i.alias("i")))), runs)
 
-    every = F.concat(ranked(capitalized_phrases(text)), ranked(F.transform(noun_phrases(text), lambda x: x["phrase"])), words(C.FALLBACK_TAGS))
+    proper = F.filter(F.transform(capitalized_phrases(text, stop_words, verbs), lambda p: trim_stop_words(p, stop_words)), lambda p: F.length(p) >= 3)
+    every = F.concat(ranked(proper), ranked(run_phrases(text, stop_words, verbs)), words(C.FALLBACK_TAGS))
     every = F.filter(every, lambda p: ~F.lower(p).isin(*C.FORBIDDEN_TAGS))
 
     def but(e, p):
@@ -118,6 +155,6 @@ def fallback_tags(text: Column) -> Column:
         def two(r):
             return F.array(F.get(e, 0), F.get(r, 0), F.get(but(r, F.get(r, 0)), 0))
 
-        return once(but(e, F.get(e, 0)), two)
+        return _once(but(e, F.get(e, 0)), two)
 
-    return F.when(text.isNotNull(), once(every, three))
+    return F.when(text.isNotNull(), _once(every, three))

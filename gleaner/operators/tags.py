@@ -22,13 +22,22 @@ def normalize_tag(tag: Column) -> Column:
     return F.array_join(F.transform(F.filter(F.split(F.trim(tag), "\\s+"), lambda w: w != ""), one), " ")
 
 
-def clean_tags(tags: Column, title: Column, summary: Column, content: Column, stop_words=C.STOP_WORDS, most: int = 4) -> Column:
-    """At most four tags of one or two words, normalised, distinct, that occur in the article."""
+def clean_tags(tags: Column, title: Column, summary: Column, content: Column, stop_words=C.STOP_WORDS, most: int = 4, entities: Column | None = None, taxonomy: Column | None = None) -> Column:
+    """At most `most` tags of one or two words, normalised, distinct, that occur in the article or in an entry of `entities` or `taxonomy`, or hold
+    such an entry of three letters and more. Without these lists every tag passes where title, summary and content are all blank."""
     text = match_key(F.concat_ws(" ", blank(title), blank(summary), F.substring(blank(content), 1, 2000)))
     raw = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(F.regexp_replace(blank(t), "[^\\p{L}\\p{N}_\\s-]", "")))
     ok = F.filter(raw, lambda t: (t != "") & (F.size(F.split(t, "\\s+")) <= 2) & ~F.forall(F.split(t, "\\s+"), lambda w: w.rlike("^[0-9]+$")) & ~F.forall(F.split(t, "\\s+"), lambda w: F.lower(w).isin(*stop_words)))
     made = F.transform(ok, lambda t: F.struct(match_key(normalize_tag(t)).alias("k"), normalize_tag(t).alias("t")))
-    present = F.filter(made, lambda x: (F.length(x["k"]) >= 2) & F.contains(text, x["k"]))
+    lists = [F.transform(F.coalesce(x, F.array().cast("array<string>")), lambda e: match_key(blank(e))) for x in (entities, taxonomy) if x is not None]
+
+    def known(k):
+        hit = F.contains(text, k)
+        for x in lists:
+            hit = hit | F.exists(x, lambda e: F.contains(e, k) | ((F.length(e) > 2) & F.contains(k, e)))
+        return hit if lists else hit | (F.concat(blank(title), blank(summary), blank(content)) == "")
+
+    present = F.filter(made, lambda x: (F.length(x["k"]) >= 2) & known(x["k"]))
     keys = F.transform(present, lambda x: x["k"])
     first = F.filter(present, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
     return F.slice(F.transform(first, lambda x: x["t"]), 1, most)
@@ -53,7 +62,7 @@ def stale(tags: Column, title: Column) -> Column:
     for lst in C.STALE_LISTS:
         within = within | (F.size(F.array_except(k, words(lst))) == 0)
     tw = F.filter(F.transform(F.split(F.lower(blank(title)), "\\s+"), lambda w: F.regexp_replace(w, "^[.,;:!?()\\[\\]{}'\"-]+|[.,;:!?()\\[\\]{}'\"-]+$", "")), lambda w: w != "")
-    plain = F.filter(tw, lambda w: ~w.isin(*C.FORBIDDEN_TAGS, *C.STOP_WORDS))
+    plain = F.filter(tw, lambda w: ~w.isin(*C.TITLE_FILLERS))
     single = F.forall(k, lambda x: F.size(F.split(x, "\\s+")) == 1)
     from_title = single & ((k == F.slice(plain, 1, F.greatest(F.size(k), F.lit(1)))) | (F.size(F.array_except(k, F.slice(tw, 1, 5))) == 0))
     return (F.size(k) == 0) | within | (F.size(F.array_except(k, words(C.STALE_WORDS))) == 0) | from_title

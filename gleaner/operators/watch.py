@@ -133,6 +133,6 @@ def brand_label(company: Column, is_pinned: Column) -> Column:
 def canonical_casing(phrase: Column) -> Column:
     """The fixed spelling of a canonical phrase that has one."""
     out = F.lit(None).cast("string")
-    for c in C.CANONICAL:
-        out = F.when(F.lower(phrase) == c.lower(), c).otherwise(out)
+    for spelling in dict.fromkeys(C.VARIANTS.values()):
+        out = F.when(F.lower(phrase) == spelling.lower(), spelling).otherwise(out)
     return out

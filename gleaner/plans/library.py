@@ -8,7 +8,7 @@ from gleaner.functions import columns as X
 from gleaner.functions import constants as C
 from gleaner.operators import library, select, tags, watch
 from gleaner.plans import sql as S
-from gleaner.plans.registry import query
+from gleaner.plans.registry import FALLBACK_TAGS, query
 from gleaner.sources.views import ARTICLES, NOW, TAGGED, articles, load, tagged
 
 
@@ -38,17 +38,24 @@ def metadata_backfill(spark, sf):
     return library.backfill_metadata(some, stores, NOW).select("ord", "title", "published_at")
 
 
-@query()
+_STRIP = lambda t: f"regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
+
+
+# A title is a cached one's beginning or equal to it but for marks, so the ratio is that of the lengths.
+@query(f"""WITH {TAGGED}, f AS (SELECT *, left(content, 200) AS summary FROM tagged QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1),
+c AS (SELECT ord, tags, ord % 2 = 0 AS cached, ord % 5 <> 0 OR {S.content_hash("'another'")} = {S.content_hash('summary')} AS same,
+ length({_STRIP('title')}) AS n, CASE WHEN ord % 3 = 0 THEN length('andagreatdealmore') ELSE 0 END AS more FROM f),
+h AS (SELECT ord, tags, cached AND same AND n > 0 AND 2.0 * n / (2 * n + more) >= 0.95 AS hit FROM c) SELECT ord, hit, CASE WHEN hit THEN tags END AS tags FROM h""")
 def tag_cache_hits(spark, sf):
     """Cached tags by url, like title and equal summary; every third cached title is longer, every fifth summary another."""
     t = tagged(spark, sf).withColumn("summary", F.left("content", F.lit(200)))
     t = select.first_wins(t, "url")
-    cache = t.where("ord % 2 = 0").select("url", F.when(F.col("ord") % 3 == 0, F.concat("title", F.lit(" and a great deal more"))).otherwise(F.upper("title")).alias("title"),
+    cache = t.where("ord % 2 = 0").select("url", F.when(F.col("ord") % 3 == 0, F.concat("title", F.lit(" and a great deal more"))).otherwise(F.concat(F.lit("! "), "title")).alias("title"),
                                           F.when(F.col("ord") % 5 == 0, "another").otherwise(F.col("summary")).alias("summary"), "tags")
     return library.tag_cache_hits(t, cache)
 
 
-@query()
+@query(f"WITH {TAGGED}, k AS (SELECT ord, title, CASE WHEN ord % 3 = 0 THEN ['Manufacturing', 'General'] ELSE tags END AS tags FROM tagged) SELECT ord, CASE WHEN {S.stale('tags', 'title')} THEN [] ELSE tags END AS tags FROM k")
 def stale_tags_dropped(spark, sf):
     t = tagged(spark, sf).withColumn("tags", F.when(F.col("ord") % 3 == 0, X.words(["Manufacturing", "General"])).otherwise(F.col("tags")))
     return library.drop_stale(t).select("ord", "tags")
@@ -61,14 +68,14 @@ def chip_toggle(spark, sf):
     return tagged(spark, sf).select("ord", library.toggle(X.words(["ai", "steel"]), chip).alias("chips"))
 
 
-@query()
+@query(f"WITH {ARTICLES}, {FALLBACK_TAGS}, k AS (SELECT url, arg_min(source, ord) AS s FROM articles WHERE ord % 4 = 0 GROUP BY 1) SELECT a.ord, CASE WHEN k.s IS NOT NULL THEN [k.s] ELSE m.tags END AS keywords FROM articles a LEFT JOIN k USING (url) LEFT JOIN made m ON m.ord = a.ord")
 def article_keywords(spark, sf):
     t = tagged(spark, sf)
     return library.keywords_from_fallback(t, select.first_wins(t.where("ord % 4 = 0"), "url").select("url", F.array("source").alias("keywords"))).select("ord", "keywords")
 
 
 @query(f"WITH {ARTICLES}, k AS (SELECT ord, CASE ord % 3 WHEN 0 THEN [] WHEN 1 THEN [source, 'AI'] ELSE [source, lang, 'Steel', 'Kiln'] END AS raw FROM articles), "
-       f"f AS (SELECT ord, list_concat(list_filter(raw, lambda t: trim(t) <> '' AND lower(trim(t)) NOT IN {S.inlist(C.FORBIDDEN_TAGS)}), {list(C.FALLBACK_TAGS)}) AS k FROM k) "
+       f"f AS (SELECT ord, list_concat(list_filter(raw, lambda t: trim(t) <> '' AND lower(trim(t)) NOT IN {S.inlist(C.FORBIDDEN_KEYWORDS)}), {list(C.FALLBACK_TAGS)}) AS k FROM k) "
        "SELECT ord, list_slice(list_filter(k, lambda t, i: list_position(list_transform(k, lambda x: lower(x)), lower(t)) = i), 1, 3) AS keywords FROM f")
 def model_keywords_to_three(spark, sf):
     raw = (F.when(F.col("ord") % 3 == 0, F.array().cast("array<string>")).when(F.col("ord") % 3 == 1, F.array(F.concat(F.lit(" "), "source"), F.lit("AI"), F.lit("News")))

@@ -118,7 +118,7 @@ def short_content_notice(spark, sf):
     return docs(spark, sf).select(F.col("ord").alias("doc_id"), production.short_content(F.col("title"), F.col("content")).alias("notice"))
 
 
-@query(f"WITH {ARTICLES} SELECT ord, CAST(round(0.1 * length(content) + 0.5 * length(title) + 10.0 * (ord % 101), 1) AS DOUBLE) AS quality FROM articles")
+@query(f"WITH {ARTICLES} SELECT ord, CAST(printf('%.1f', length(content) * 0.1::DOUBLE + length(title) * 0.5::DOUBLE + (ord % 101)::DOUBLE * 10.0::DOUBLE) AS DOUBLE) AS quality FROM articles")
 def batch_quality(spark, sf):
     return articles(spark, sf).select("ord", production.batch_quality(F.col("content"), F.col("title"), (F.col("ord") % 101).cast("double")).alias("quality"))
 

@@ -47,6 +47,17 @@ def normalize_url(spark, sf):
     return load(spark, sf, "pages").select("page_id", X.normalize_url(F.col("url")).alias("url_norm"))
 
 
+_ASKED = ("a=1%20z&b=%41", "b=2&a=1+z&utm_source=x", "q=caf%C3%A9&empty=&Z=1", "x=%zz&=blank&flag", "r=2&r=1&r=%31#frag?no=1", "u%74m_source=hidden&k=a%26b%3Dc", "t=~*!()'-_.&sid=9", "")
+
+
+@query("WITH v AS (SELECT page_id, url, unnest([" + ", ".join(map(S.lit, _ASKED)) + f"]) AS asked, unnest(range({len(_ASKED)})) AS k FROM pages), u AS (SELECT page_id, k, url || CASE k % 3 WHEN 0 THEN '/;v=1?' WHEN 1 THEN '//?' ELSE '?' END || asked AS url FROM v) SELECT page_id, k, {S.norm_url('url')} AS url_norm FROM u")
+def normalize_url_parameters(spark, sf):
+    """Every page's url with encoded, blank, repeated and tracking parameters."""
+    v = load(spark, sf, "pages").select("page_id", "url", F.posexplode(X.words(_ASKED)).alias("k", "asked"))
+    end = F.when(F.col("k") % 3 == 0, "/;v=1?").when(F.col("k") % 3 == 1, "//?").otherwise("?")
+    return v.select("page_id", "k", X.normalize_url(F.concat("url", end, "asked")).alias("url_norm"))
+
+
 @query(f"SELECT page_id, {S.domain('url')} AS domain FROM pages")
 def normalized_domain(spark, sf):
     return load(spark, sf, "pages").select("page_id", X.normalized_domain(F.col("url")).alias("domain"))
@@ -333,7 +344,14 @@ def tag_backfill_join(spark, sf):
     return tags.backfill(some, t.where("ord % 4 = 0").select("url", F.array("source").alias("keywords"))).select("ord", "tags")
 
 
-@query()
+_KEY = lambda t: f"regexp_replace(lower({t}), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""WITH {TAGGED}, r AS (SELECT ord, {_KEY("title || '  ' || substr(content, 1, 2000)")} AS body, list_transform(list_concat(tags, ['the', '123', 'Tariffs']), lambda t: trim(regexp_replace(t, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'))) AS raw FROM tagged),
+g AS (SELECT ord, body, unnest(raw) AS t, unnest(range(1, len(raw) + 1)) AS i FROM r), w AS (SELECT *, regexp_split_to_array(t, '\\s+') AS w FROM g WHERE t <> ''),
+n AS (SELECT ord, body, i, {S.normalize_tag('t')} AS t FROM w WHERE len(w) <= 2 AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^[0-9]+$'))) > 0 AND len(list_filter(w, lambda x: lower(x) NOT IN {S.inlist(C.STOP_WORDS)})) > 0),
+h AS (SELECT * FROM (SELECT *, {_KEY('t')} AS k FROM n) WHERE length(k) >= 2 AND contains(body, k) QUALIFY row_number() OVER (PARTITION BY ord, k ORDER BY i) = 1),
+a AS (SELECT ord, list(t ORDER BY i)[:4] AS tags FROM h GROUP BY ord) SELECT ord, coalesce(a.tags, []) AS tags FROM articles LEFT JOIN a USING (ord)""")
 def clean_tags(spark, sf):
     t = tagged(spark, sf)
     return t.select("ord", tags.clean_tags(F.concat("tags", F.array(F.lit("the"), F.lit("123"), F.lit("Tariffs"))), F.col("title"), F.lit(""), F.col("content")).alias("tags"))
@@ -345,7 +363,7 @@ def singularize_tag(spark, sf):
     return t.select("w", X.singular_tag_word(F.col("w")).alias("tag_word"), X.singular(F.col("w")).alias("mined_word"))
 
 
-@query()
+@query(f"WITH {TAGGED}, k AS (SELECT ord, title, CASE WHEN ord % 3 = 0 THEN ['Manufacturing', 'General'] ELSE tags END AS tags FROM tagged) SELECT ord, {S.stale('tags', 'title')} AS stale FROM k")
 def stale_keywords(spark, sf):
     t = tagged(spark, sf).withColumn("tags", F.when(F.col("ord") % 3 == 0, X.words(["Manufacturing", "General"])).otherwise(F.col("tags")))
     return t.select("ord", tags.stale(F.col("tags"), F.col("title")).alias("stale"))
@@ -444,6 +462,23 @@ def _phrases(spark, sf):
     return mining.phrase_rows(a, F.regexp_replace(F.concat_ws(" . ", "title", "content"), "[“”‘’\"]", " "))
 
 
+_MINED = f"""WITH {ARTICLES}, src AS (SELECT url AS ord, regexp_replace(title || ' . ' || content, '[“”‘’"]', ' ', 'g') AS text FROM articles), {S.phrases('src', mining.CONNECTORS, C.STOP_WORDS)},
+every AS (SELECT ord AS url, p, true AS proper FROM caps UNION ALL SELECT ord, p, false FROM nouns),
+counted AS (SELECT url, p, proper, count(*) AS n FROM every WHERE p <> '' GROUP BY ALL), spellings AS (SELECT DISTINCT p FROM counted),
+canon AS (SELECT p, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(p, '\\s+'), lambda w: regexp_replace(w, '{S.MARKS}', '', 'g')), lambda w: w <> ''), lambda w: {S.singular('w')}), ' ') AS c FROM spellings),
+named AS (SELECT url, p AS phrase, proper, n, CASE {' '.join(f'WHEN c = {S.lit(k)} THEN {S.lit(v.lower())}' for k, v in C.VARIANTS.items())} ELSE c END AS canonical FROM counted JOIN canon USING (p)),
+kept AS (SELECT * FROM named WHERE length(canonical) >= 3 AND {' AND '.join(f"NOT contains(canonical, {S.lit(x)})" for x in C.ARTEFACTS)}),
+stats AS (SELECT canonical, sum(n)::BIGINT AS freq, count(DISTINCT url) AS articles, max(proper) AS proper FROM kept GROUP BY 1)
+"""
+_SCORED = _MINED + f""", split AS (SELECT *, string_split(canonical, ' ') AS w, canonical IN {S.inlist(C.DOMAIN_TOPICS)} OR list_has_any(string_split(canonical, ' '), {list(C.DOMAIN_WORDS)}) AS domain FROM stats),
+score AS (SELECT canonical, (3.0::DOUBLE * articles + 0.5::DOUBLE * freq) * CASE WHEN len(w) = 2 THEN 2.0 WHEN len(w) >= 3 THEN 2.5 ELSE 1.0 END::DOUBLE * CASE WHEN proper THEN 1.5 ELSE 1.0 END::DOUBLE * CASE WHEN domain THEN 3.0 ELSE 1.0 END::DOUBLE AS score
+ FROM split WHERE domain OR articles >= 2 AND freq >= 2),
+top AS (SELECT * FROM score ORDER BY score DESC, canonical LIMIT 150),
+spelled AS (SELECT canonical, phrase, sum(n) * (1.0 + list_sum(list_transform(string_split(phrase, ' '), lambda x: CASE WHEN upper(x) = x AND lower(x) <> x THEN 1.5 WHEN regexp_matches(left(x, 1), '[A-Z]') THEN 2.0 ELSE 0.0 END))::DOUBLE) AS w, max(proper) AS proper FROM kept SEMI JOIN top USING (canonical) GROUP BY 1, 2),
+best AS (SELECT canonical, first(phrase ORDER BY w DESC, phrase) AS casing, max(proper) AS proper FROM spelled GROUP BY 1)
+SELECT canonical, CASE WHEN proper AND regexp_matches(left(casing, 1), '[a-z]') THEN {S.title_case('casing')} ELSE casing END AS casing, score FROM top JOIN best USING (canonical)"""
+
+
 _GRAMS = f"""WITH {ARTICLES}, r AS (SELECT ord, list_filter(regexp_split_to_array(title, '\\s+'), lambda t: t <> '') AS r FROM articles),
 w AS (SELECT ord, r, list_transform(r, lambda t: regexp_replace(t, '^[.,;:!?()\\[\\]{{}}''"\\-]+|[.,;:!?()\\[\\]{{}}''"\\-]+$', '', 'g')) AS t FROM r),
 i AS (SELECT ord, r, t, unnest(range(1, len(t) + 1)) AS a FROM w), g AS (SELECT ord, a - 1 AS "at", n, list_slice(t, a, a + n - 1) AS p, CASE WHEN n > 1 THEN list_slice(r, a, a + n - 2) ELSE [] END AS q FROM i, (SELECT unnest([1, 2, 3]) AS n))
@@ -455,26 +490,36 @@ def ngram_noun_phrases(spark, sf):
     return articles(spark, sf).select("ord", F.inline(mining.noun_phrases(F.col("title")))).withColumnRenamed("at", "pos")
 
 
-@query()
+@query(_MINED + "SELECT * FROM stats")
 def phrase_stats(spark, sf):
     return mining.phrase_stats(_phrases(spark, sf))
 
 
-@query()
+@query(_SCORED)
 def keyword_composite_top150(spark, sf):
-    p = _phrases(spark, sf)
-    s = mining.composite(mining.phrase_stats(p)).orderBy(F.desc("score"), "canonical").limit(150)
-    return s.join(mining.best_casing(p).select("canonical", "casing"), "canonical").select("canonical", "casing", "score").orderBy(F.desc("score"), "canonical")
+    return mining.keywords(_phrases(spark, sf))
 
 
-@query()
+FALLBACK_TAGS = f"""src AS (SELECT ord, title || '. ' || content AS text FROM articles), {S.phrases('src', mining.CONNECTORS, C.STOP_WORDS)},
+ranked AS (SELECT ord, 0 AS grp, row_number() OVER (PARTITION BY ord ORDER BY count(*) DESC, min(i)) AS r, p FROM caps WHERE length(p) >= 3 GROUP BY ord, p
+ UNION ALL SELECT ord, 1, row_number() OVER (PARTITION BY ord ORDER BY count(*) DESC, min(i)), p FROM nouns GROUP BY ord, p
+ UNION ALL SELECT ord, 2, unnest(range(1, {len(C.FALLBACK_TAGS) + 1})), unnest({list(C.FALLBACK_TAGS)}) FROM src),
+unlike AS (SELECT ord, grp, r, p FROM ranked WHERE lower(p) NOT IN {S.inlist(C.FORBIDDEN_TAGS)} QUALIFY row_number() OVER (PARTITION BY ord, lower(p) ORDER BY grp, r) = 1),
+made AS (SELECT ord, list(p ORDER BY grp, r)[:3] AS tags FROM unlike GROUP BY ord)"""
+
+
+@query(f"WITH {ARTICLES}, {FALLBACK_TAGS} SELECT ord, tags FROM made")
 def fallback_keywords3(spark, sf):
     return articles(spark, sf).select("ord", mining.fallback_tags(F.concat_ws(". ", "title", "content")).alias("tags"))
 
 
 # -- language, extraction, enrichment --------------------------------------------------------------------------------
 
-@query()
+_ENGLISH = {k: S.inlist(v.split()) for k, v in filters.FUNCTION_WORDS.items()}
+
+
+@query(f"""WITH t AS (SELECT doc_id, lower({T} || ' ' || text) AS t FROM documents), w AS (SELECT doc_id, t, list_filter(string_split(regexp_replace(t, '[^\\p{{L}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM t)
+SELECT doc_id, coalesce(len(w) > 0 AND len(regexp_extract_all(t, '[a-z]')) >= 0.9 * len(regexp_extract_all(t, '\\p{{L}}')) AND len(list_filter(w, lambda x: x IN {_ENGLISH['en']})) > greatest({', '.join(f"len(list_filter(w, lambda x: x IN {v}))" for k, v in _ENGLISH.items() if k != 'en')}), false) AS is_english FROM w""")
 def is_english(spark, sf):
     return docs(spark, sf).select(F.col("ord").alias("doc_id"), filters.is_english(F.col("title"), F.col("content")).alias("is_english"))
 
@@ -507,7 +552,9 @@ def insight_default_fill(spark, sf):
     return i.select("ord", F.when(F.col("ok"), F.col("i.executive_summary")).otherwise(C.SUMMARY).alias("executive_summary"), F.when(F.col("ok"), F.col("i.innovation_score")).otherwise(50).cast("int").alias("innovation_score"))
 
 
-@query()
+@query(f"""WITH {ARTICLES}, a AS (SELECT ord, title, content AS c, regexp_extract(content, '(?s)^(.{{10,}}?[.!?])', 1) AS one FROM articles), b AS (SELECT *, substr(c, length(one) + 1) AS rest FROM a),
+d AS (SELECT *, regexp_extract(rest, '(?s)^(.{{10,}}?[.!?])', 1) AS two FROM b), m AS (SELECT ord, title, CASE WHEN one = '' THEN trim(c) ELSE trim(trim(one) || ' ' || trim(CASE WHEN two <> '' THEN two ELSE rest END)) END AS made FROM d)
+SELECT ord, CASE WHEN length(made) < 50 THEN 'This report covers the latest developments regarding ' || chr(39) || title || chr(39) || ', discussing industry impacts, strategic decisions, and future outlook.' ELSE made END AS summary FROM m""")
 def fallback_summary(spark, sf):
     return articles(spark, sf).select("ord", enrich.fallback_summary(F.col("title"), F.col("content")).alias("summary"))
 

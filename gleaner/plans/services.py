@@ -115,7 +115,7 @@ def keyword_store_ordered(spark, sf):
 
 # -- watched keywords and pins ---------------------------------------------------------------------------------------
 
-_WATCH = TAGGED + ", k AS (SELECT ord, CASE WHEN ord % 2 = 0 THEN upper(tags[1]) ELSE ' ' || tags[1] END AS keyword, ord % 4 = 0 AS is_processed FROM tagged WHERE len(tags) > 0)"
+_WATCH = TAGGED + ", k AS (SELECT ord, CASE WHEN ord % 2 = 0 THEN replace(replace(upper(tags[1]), 'ß', 'SS'), 'ẞ', 'SS') ELSE ' ' || tags[1] END AS keyword, ord % 4 = 0 AS is_processed FROM tagged WHERE len(tags) > 0)"
 
 
 def _watched(spark, sf):
@@ -186,7 +186,8 @@ def article_pool(spark, sf):
 @query(f"WITH {ARTICLES}, s AS (SELECT ord FROM articles WHERE lower(source) IN (SELECT lower(source) FROM articles WHERE ord = 1) ORDER BY ord LIMIT 20) SELECT ord FROM s")
 def sources_and_limit(spark, sf):
     a = articles(spark, sf)
-    return watch.of_sources(a, [r.source.upper() for r in a.where("ord = 1").select("source").collect()], 20).select("ord")
+    named = a.where("ord = 1").select(F.lower("source").alias("_s"))
+    return a.join(named, F.lower("source") == F.col("_s"), "left_semi").orderBy("ord").limit(20).select("ord")
 
 
 @query(f"WITH {TAGGED} SELECT ord FROM tagged WHERE contains(lower(title), 'ther') OR contains(lower(content), 'ther') OR len(list_filter(tags, lambda t: contains(lower(t), 'ther'))) > 0")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.columns import blank, parse_time
 from gleaner.operators import select
+from gleaner.sources import stores
 
 ITEMS = "title string, url string, source struct<name string>, publishedAt string, description string"
 RESULTS = "title string, link string, source_id string, pubDate string, description string"
@@ -94,9 +95,9 @@ def pinned(company_phrases: dict[str, str], found: DataFrame) -> DataFrame:
 
 
 def save_pool(pool: DataFrame, path: str, now: str) -> None:
-    """Articles as JSON lines, then the time at which they were made; both replace what was there."""
-    pool.write.mode("overwrite").json(f"{path}/articles")
-    pool.sparkSession.createDataFrame([(now,)], "pool_generated_at string").coalesce(1).write.mode("overwrite").json(f"{path}/made")
+    """Articles as JSON lines, then the time at which they were made; each replaces what was there once it is whole."""
+    stores.replace(pool, f"{path}/articles")
+    stores.replace(pool.sparkSession.createDataFrame([(now,)], "pool_generated_at string").coalesce(1), f"{path}/made")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

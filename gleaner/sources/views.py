@@ -17,19 +17,21 @@ def first_line_title(text):
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per page with a document's text and an event's time."""
-    p = load(spark, sf_dir, "pages").select("page_id", "url")
+    """One row per document, with its page's url or one made from source and id, and the time of the event of its number or one made from the id."""
+    p = load(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url"))
     d = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    e = load(spark, sf_dir, "events").select((F.col("event_id") / 20).alias("at"), F.col("event_id").alias("event_id"), "ts").where(F.col("event_id") % 20 == 0)
-    e = e.select((F.col("event_id") / 20).cast("long").alias("event_page"), "ts")
-    return (p.join(d, p.page_id == d.doc_id).join(e, p.page_id == e.event_page)
-            .select(F.col("page_id").alias("ord"), "url", F.col("text").alias("content"), first_line_title(F.col("text")).alias("title"), "lang", "source",
-                    F.col("ts").alias("published_ts"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at")))
-
-
-ARTICLES = """articles AS (SELECT p.page_id AS ord, p.url, d.text AS content, substr(split_part(d.text, chr(10), 1), 1, 80) AS title, d.lang, d.source,
- e.ts AS published_ts, strftime(e.ts, '%Y-%m-%dT%H:%M:%SZ') AS published_at
- FROM pages p JOIN documents d ON d.doc_id = p.page_id JOIN events e ON e.event_id = p.page_id * 20)"""
+    e = load(spark, sf_dir, "events").select("event_id", "ts")
+    made = F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/items/"), F.col("doc_id").cast("string"))
+    at = F.coalesce("ts", F.timestamp_seconds(1_704_067_200 + F.col("doc_id") * 60))
+    rows = d.join(p, p.page_id == d.doc_id, "left").join(e, e.event_id == d.doc_id, "left").withColumn("at", at)
+    return rows.select(F.col("doc_id").alias("ord"), F.coalesce("page_url", made).alias("url"), F.col("text").alias("content"), first_line_title(F.col("text")).alias("title"), "lang", "source",
+                       F.col("at").alias("published_ts"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"))
+
+
+ARTICLES = """articles AS (SELECT d.doc_id AS ord, coalesce(p.url, 'https://' || d.source || '.example.org/items/' || d.doc_id) AS url, d.text AS content,
+ substr(split_part(d.text, chr(10), 1), 1, 80) AS title, d.lang, d.source, coalesce(e.ts::TIMESTAMP, make_timestamp((1704067200 + d.doc_id * 60) * 1000000)) AS published_ts,
+ strftime(coalesce(e.ts::TIMESTAMP, make_timestamp((1704067200 + d.doc_id * 60) * 1000000)), '%Y-%m-%dT%H:%M:%SZ') AS published_at
+ FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id LEFT JOIN events e ON e.event_id = d.doc_id)"""
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
