@@ -40,7 +40,7 @@ LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # grams in one 50-byte string
 COVER, PERIOD = (0, 1, 3), 7
 SHIFT = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])  # to the next sample position
-BLOCK_BYTES, SHARD_ANCHORS = 8_000_000, 1_500_000
+BLOCK_BYTES, SHARD_ANCHORS = 4_000_000, 1_500_000
 SLICE = 3_000_000  # bytes of contexts that one suffix bucket sorts at a time
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: later than all
 
@@ -116,13 +116,14 @@ def _from_six(raw: bytes) -> np.ndarray:
 
 
 def _own_hashes(rows, copied, shards: int):
-    """Anchor hashes of the block, distinct per document, with their shards; sorted by (shard, hash) and counted."""
+    """Anchor hashes of the block, distinct per document, sorted by (shard, hash) and counted; and the range of each shard that occurs."""
     per = [np.unique(anchors(d)[3]) for i, d in rows if not copied(i, d)]
     h, n = np.unique(np.concatenate(per), return_counts=True) if per else (np.empty(0, np.uint64), np.empty(0, np.int64))
     shard = (h >> np.uint64(20)) % np.uint64(shards)
     shard = shard.astype(np.int64)
     order = np.argsort(shard, kind="stable")
-    return h[order], n[order] > 1, np.searchsorted(shard[order], np.arange(shards + 1))
+    found, first = np.unique(shard[order], return_index=True)
+    return h[order], n[order] > 1, {s: (a, z) for s, a, z in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(h)])}
 
 
 ASK = "shard int, block int, hashes binary, several binary"
@@ -130,8 +131,8 @@ ASK = "shard int, block int, hashes binary, several binary"
 
 def _ask(shards: int):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        h, several, ends = _own_hashes(_rows(docs), _copies(known), shards) if docs.num_rows else (None, None, [0] * (shards + 1))
-        out = [(s, _six(h[ends[s]:ends[s + 1]]), np.packbits(several[ends[s]:ends[s + 1]]).tobytes()) for s in range(shards) if ends[s + 1] > ends[s]]
+        h, several, ranges = _own_hashes(_rows(docs), _copies(known), shards) if docs.num_rows else (None, None, {})
+        out = [(s, _six(h[a:z]), np.packbits(several[a:z]).tobytes()) for s, (a, z) in ranges.items()]
         block = docs.column("block")[0].as_py() if docs.num_rows else 0
         return pa.table({"shard": pa.array([x[0] for x in out], pa.int32()), "block": pa.array([block] * len(out), pa.int32()),
                          "hashes": pa.array([x[1] for x in out], pa.binary()), "several": pa.array([x[2] for x in out], pa.binary())})
@@ -163,9 +164,9 @@ def _contexts(shards: int, buckets: int):
             return schema.empty_table()
         rows = _rows(docs)
         copied = _copies(known)
-        h, _, ends = _own_hashes(rows, copied, shards)
+        h, _, ranges = _own_hashes(rows, copied, shards)
         answers = known.filter(known.column("bits").is_valid())
-        good = [h[ends[s]:ends[s + 1]][np.unpackbits(np.frombuffer(b, np.uint8))[:ends[s + 1] - ends[s]].astype(bool)] for s, b in zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist())]
+        good = [h[(r := ranges[s])[0]:r[1]][np.unpackbits(np.frombuffer(b, np.uint8))[:r[1] - r[0]].astype(bool)] for s, b in zip(answers.column("shard").to_pylist(), answers.column("bits").to_pylist())]
         good = np.sort(np.concatenate(good)) if good else np.empty(0, np.uint64)
         out: dict[int, tuple] = {}
         first_of: dict[bytes, int] = {}
