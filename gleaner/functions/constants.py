@@ -40,6 +40,8 @@ WATCHED = ("Artificial Intelligence", "Cybersecurity", "Robotics", "Cloud Comput
 SHORT_CONTENT = "No sufficient content available. Title: "
 SENTIMENTS = ("Positive", "Neutral", "Negative", "Mixed")
 NAV_WORDS = ("login", "sign in", "sign up", "subscribe", "terms of", "privacy policy", "all rights reserved", "copyright", "home", "search", "menu", "share on", "facebook", "twitter", "linkedin", "contact us", "about us", "newsletter")
+MOCK_PAGE = ("This is a detailed mock report regarding '{title}'. The current developments in the industry highlight rapid progress and emerging trends across multiple sectors. Companies are actively investing in new solutions to optimize their operations, reduce carbon emissions, and improve productivity.\n\n"
+             "Key stakeholders are emphasizing the integration of smart automation technologies to streamline workflows. These initiatives are expected to yield significant cost savings and enhance manufacturing performance over the next decade.")
 SUMMARY = "This article discusses key industrial developments and technological advancements in the sector."
 # Parts of addresses that are no words.
 ARTEFACTS = ("https", "http", "www", "com", "org", "net", "prnewswire", "globenewswire", "newswire", "networknewsaudio", "marketsandmarkets", "pypi", "githubusercontent", "rss", "xml", "feed")

@@ -44,29 +44,44 @@ def title_key(title: Column) -> Column:
     return F.regexp_replace(F.lower(blank(title)), "[^\\p{L}\\p{N}_]+", "")
 
 
-def _pieces(n: Column, ratio: float) -> tuple[Column, Column]:
-    """How many pieces a key of `n` characters is cut into, and how long they are."""
+SPARE = 4  # pieces beyond what edits can break
+
+
+def _pieces(n: Column, ratio: float) -> tuple[Column, Column, Column]:
+    """How many pieces a key of `n` characters is cut into, how long they are, and how many of them edits can break."""
     longest = F.floor((2 - ratio) / ratio * n + 1e-9)  # of the other string
-    count = F.least(n, F.floor((1 - ratio) * (n + longest) + 1e-9).cast("int") + 1)
-    return count, F.greatest(F.lit(1), F.floor(n / count).cast("int"))
+    edits = F.floor((1 - ratio) * (n + longest) + 1e-9).cast("int")
+    count = F.least(n, edits + SPARE)
+    return count, F.greatest(F.lit(1), F.floor(n / count).cast("int")), edits
+
+
+def _shared_letters(a: Column, b: Column) -> Column:
+    """How many characters two strings have in common, order aside: no matching can have more."""
+    times = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
+    return F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
 
 
 def similar_keys(left: DataFrame, right: DataFrame, ratio: float = 0.95) -> DataFrame:
     """(t, u): keys of `left` (t) with other keys of `right` (u) that they reach the ratio with; keys are distinct and not blank.
 
     A ratio r of two strings of n and m characters leaves at most (1 - r)(n + m) single deletions and insertions, and each
-    breaks at most one of the first string's pieces. With more pieces than that, one stands whole in the other string;
-    candidates share such a piece, and lengths must allow the ratio. The UDF then decides.
+    breaks at most one of the first string's pieces. With SPARE more pieces than that, at least SPARE stand whole in the other string, so one of
+    any `edits + 1` pieces does: those are taken that fewest strings hold, which leaves a phrase that many titles share aside.
+    Lengths must allow the ratio, as must the letters that both have; the UDF then decides.
     """
-    count, size = _pieces(F.length("t"), ratio)
-    cuts = left.select("t", F.length("t").alias("n"), count.alias("count"), size.alias("size"))
-    cuts = cuts.select("t", "n", "size", F.explode(F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.substring("t", i * F.col("size") + 1, F.col("size")))).alias("piece")).distinct()
+    count, size, edits = _pieces(F.length("t"), ratio)
+    cuts = left.select("t", F.length("t").alias("n"), count.alias("count"), size.alias("size"), edits.alias("edits"))
+    cuts = cuts.select("t", "n", "size", "edits", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.substring("t", i * F.col("size") + 1, F.col("size")))).alias("at", "piece"))
     m = F.length("u")
     low, high = F.greatest(F.lit(1), F.ceil(ratio / (2 - ratio) * m - 1e-9).cast("int")), F.floor((2 - ratio) / ratio * m + 1e-9).cast("int")
     spots = right.select("u", m.alias("m"), F.explode(F.array_distinct(F.transform(F.sequence(low, high), lambda k: _pieces(k, ratio)[1]))).alias("size")).where("size <= m")
-    spots = spots.select("u", "m", "size", F.explode(F.transform(F.sequence(F.lit(1), F.col("m") - F.col("size") + 1), lambda i: F.substring("u", i, F.col("size")))).alias("piece")).distinct()
-    near = cuts.join(spots, ["piece", "size"]).where((F.col("t") != F.col("u")) & (2 * F.least("n", "m") >= ratio * (F.col("n") + F.col("m"))))
-    return near.select("t", "u").distinct().where(title_ratio("t", "u") >= ratio)
+    spots = spots.select("u", "m", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("m") - F.col("size") + 1), lambda i: F.substring("u", i, F.col("size"))))).alias("piece"))
+    held = spots.groupBy("piece", "size").agg(F.count("*").alias("held"))
+    rarest = Window.partitionBy("t").orderBy("held", "at")
+    cuts = cuts.join(held, ["piece", "size"], "left").withColumn("held", F.coalesce("held", F.lit(0))).withColumn("k", F.row_number().over(rarest)).where((F.col("k") <= F.col("edits") + 1) & (F.col("held") > 0))
+    near = cuts.select("t", "n", "size", "piece").distinct().join(spots, ["piece", "size"]).where((F.col("t") != F.col("u")) & (2 * F.least("n", "m") >= ratio * (F.col("n") + F.col("m"))))
+    near = near.select("t", "n", "u", "m").distinct().where(2 * _shared_letters(F.col("t"), F.col("u")) >= ratio * (F.col("n") + F.col("m")) - 1e-9)
+    return near.select("t", "u").where(title_ratio("t", "u") >= ratio)
 
 
 def similar_titles(rows: DataFrame, ratio: float = 0.95) -> DataFrame:

@@ -36,7 +36,12 @@ def search(rows: DataFrame, keyword: str, few: int = 5) -> DataFrame:
     low = F.transform("tags", lambda t: F.lower(F.trim(t)))
     text = F.contains(F.lower("title"), F.lit(kw)) | F.contains(F.lower("content"), F.lit(kw))
     tier = F.when(F.array_contains(low, kw), 1).when(F.exists(low, lambda t: (t != "") & (F.contains(t, F.lit(kw)) | F.contains(F.lit(kw), t))), 2).when(text, 3)
-    hits = first_wins(rows.withColumn("tier", tier).where("tier is not null"), "url")
+    return tiers_shown(rows.withColumn("tier", tier).where("tier is not null"), few)
+
+
+def tiers_shown(hits: DataFrame, few: int = 5) -> DataFrame:
+    """The first hit (ord, url, tier, ...) of each url: those of tier 1 if there are any, else of tier 2 and, if these are fewer than `few`, of tier 3."""
+    hits = first_wins(hits, "url")
     n = hits.agg(F.count_if(F.col("tier") == 1).alias("exact"), F.count_if(F.col("tier") == 2).alias("part"))
     return hits.join(F.broadcast(n), F.lit(True)).where(F.when(F.col("exact") > 0, F.col("tier") == 1).otherwise((F.col("tier") == 2) | ((F.col("part") < few) & (F.col("tier") == 3)))).drop("exact", "part")
 

@@ -1,3 +1,3 @@
-from gleaner.plans import library, production, registry, services  # all but registry register their queries on import
+from gleaner.plans import flows, library, matching, production, registry, services  # all but registry register their queries on import
 
-__all__ = ["library", "production", "registry", "services"]
+__all__ = ["flows", "library", "matching", "production", "registry", "services"]

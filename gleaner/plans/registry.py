@@ -465,8 +465,8 @@ def _phrases(spark, sf):
 _MINED = f"""WITH {ARTICLES}, src AS (SELECT url AS ord, regexp_replace(title || ' . ' || content, '[“”‘’"]', ' ', 'g') AS text FROM articles), {S.phrases('src', mining.CONNECTORS, C.STOP_WORDS)},
 every AS (SELECT ord AS url, p, true AS proper FROM caps UNION ALL SELECT ord, p, false FROM nouns),
 counted AS (SELECT url, p, proper, count(*) AS n FROM every WHERE p <> '' GROUP BY ALL), spellings AS (SELECT DISTINCT p FROM counted),
-canon AS (SELECT p, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(p, '\\s+'), lambda w: regexp_replace(w, '{S.MARKS}', '', 'g')), lambda w: w <> ''), lambda w: {S.singular('w')}), ' ') AS c FROM spellings),
-named AS (SELECT url, p AS phrase, proper, n, CASE {' '.join(f'WHEN c = {S.lit(k)} THEN {S.lit(v.lower())}' for k, v in C.VARIANTS.items())} ELSE c END AS canonical FROM counted JOIN canon USING (p)),
+canon AS MATERIALIZED (SELECT p, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(p, '\\s+'), lambda w: regexp_replace(w, '{S.MARKS}', '', 'g')), lambda w: w <> ''), lambda w: {S.singular('w')}), ' ') AS c FROM spellings),
+named AS MATERIALIZED (SELECT url, p AS phrase, proper, n, CASE {' '.join(f'WHEN c = {S.lit(k)} THEN {S.lit(v.lower())}' for k, v in C.VARIANTS.items())} ELSE c END AS canonical FROM counted JOIN canon USING (p)),
 kept AS (SELECT * FROM named WHERE length(canonical) >= 3 AND {' AND '.join(f"NOT contains(canonical, {S.lit(x)})" for x in C.ARTEFACTS)}),
 stats AS (SELECT canonical, sum(n)::BIGINT AS freq, count(DISTINCT url) AS articles, max(proper) AS proper FROM kept GROUP BY 1)
 """
