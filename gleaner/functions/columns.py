@@ -55,7 +55,9 @@ def normalize_url(url: Column) -> Column:
     u = F.regexp_replace(F.regexp_replace(F.lower(F.trim(blank(url))), "^http://", "https://"), "(?s)#.*$", "")
     whole = F.regexp_extract(u, "^([^?]*)", 1)
     params = F.regexp_extract(whole, "(;[^/]*)$", 1)  # of the last part of the path
-    base = F.concat(F.regexp_replace(F.left(whole, F.length(whole) - F.length(params)), "/+$", ""), F.when(params == ";", "").otherwise(params))
+    bare = F.regexp_replace(F.left(whole, F.length(whole) - F.length(params)), "/+$", "")
+    slash = F.when(bare.rlike("^[a-z][a-z0-9+.-]*://[^/]*$"), "/").otherwise("")  # a path without parts keeps its slash before them
+    base = F.concat(bare, F.when(F.length(params) > 1, F.concat(slash, params)).otherwise(""))
     pairs = F.transform(F.split(F.regexp_extract(u, "(?s)\\?(.*)$", 1), "&"), lambda p: F.regexp_extract_all(p, F.lit("^([^=]*)=(.+)$"), F.lit(0)))
     pairs = F.transform(F.flatten(pairs), lambda p: F.struct(decoded(F.split_part(p, F.lit("="), F.lit(1))).alias("k"), decoded(F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
     kept = F.filter(pairs, lambda x: ~x["k"].isin(*C.TRACKING))

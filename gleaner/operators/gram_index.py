@@ -23,8 +23,11 @@ def _bucket(c: Column) -> Column:
 
 def ngrams(text: Column) -> Column:
     """The distinct substrings of one, two and three characters."""
-    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
-    return F.array_union(F.array_union(of(1), of(2)), of(3))
+    def grams(c):  # of the characters, as finding the i-th one in a string takes i steps
+        of = lambda n: F.transform(c, lambda x, i: F.concat(*[F.get(c, i + k) for k in range(n)]))
+        return F.array_distinct(F.filter(F.concat(of(1), of(2), of(3)), lambda g: g.isNotNull() & (g != "")))
+
+    return F.get(F.transform(F.array(F.split(text, "")), grams), 0)
 
 
 def build(rows: DataFrame, path: str) -> None:

@@ -64,10 +64,10 @@ def provider_responses(spark, sf):
 
 @query(_PAGES + ", k AS (SELECT phrase FROM p WHERE pos IN (1, 2)), q AS (SELECT DISTINCT source AS phrase, page, seq, row_number() OVER (ORDER BY seq) AS place FROM (SELECT DISTINCT source, page, seq FROM r WHERE source IN (SELECT phrase FROM k))) "
        "SELECT phrase, page, seq, provider FROM (SELECT phrase, page, seq, 'one' AS provider FROM q WHERE place <= 2 UNION ALL SELECT phrase, page, seq, 'two' FROM q)")
-def provider_requests_pushed(spark, sf):
-    """Requests made for two phrases with a quota of two for the first provider: pushed phrases make no partitions of the others."""
+def provider_requests_of_phrases(spark, sf):
+    """Requests made for two phrases with a quota of two for the first provider: the other phrases make no partitions."""
     path, phrases, pages = _stored_responses(spark, sf)
-    return providers.responses(spark, path, ["one", "two"], phrases, pages, {"one": 2}).where(F.col("phrase").isin(phrases[1:3])).select("phrase", "page", "seq", "provider")
+    return providers.responses(spark, path, ["one", "two"], phrases, pages, {"one": 2}, phrases[1:3]).select("phrase", "page", "seq", "provider")
 
 
 def _insight(x):

@@ -30,7 +30,8 @@ def norm_url(u: str) -> str:
     low = f"regexp_replace(regexp_replace(lower(trim(coalesce({u}, ''))), '^http://', 'https://'), '(?s)#.*$', '')"
     whole = f"split_part({low}, '?', 1)"
     params = f"regexp_extract({whole}, '(;[^/]*)$', 1)"
-    base = f"(rtrim(left({whole}, length({whole}) - length({params})), '/') || CASE WHEN {params} = ';' THEN '' ELSE {params} END)"
+    bare = f"rtrim(left({whole}, length({whole}) - length({params})), '/')"
+    base = f"({bare} || CASE WHEN length({params}) < 2 THEN '' WHEN regexp_matches({bare}, '^[a-z]+://[^/]*$') THEN '/' || {params} ELSE {params} END)"
     asked = f"substr({low}, length({whole}) + 2)"
     plain = lambda x: f"url_decode(replace({x}, '+', ' '))"
     pairs = f"list_transform(list_filter(string_split({asked}, '&'), lambda p: contains(p, '=') AND instr(p, '=') < length(p)), lambda p: struct_pack(k := {plain('split_part(p, chr(61), 1)')}, v := {plain('substr(p, instr(p, chr(61)) + 1)')}))"

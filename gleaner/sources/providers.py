@@ -1,8 +1,9 @@
-"""Stored responses of search providers as a data source of Spark: one partition per phrase and page, phrases pushed down, quotas kept before anything is read.
+"""Stored responses of search providers as a data source of Spark: one partition per phrase and page, quotas kept before anything is read.
 
 Responses are text files under provider=P/phrase=X/page=N, each line a JSON object with `status` and, if it has results, `body`.
-Options: path; providers, by priority; phrases, in order; pages; quotas as JSON ({provider: requests left}). Requests are
-numbered (seq) by phrase and page; a provider with a quota answers its first ones only. A response that is missing gives no row, one that can't be
+Options: path; providers, by priority; phrases, in order; pages; quotas as JSON ({provider: requests left}); only, the phrases that are
+asked for now. Requests are numbered (seq) by phrase and page; a provider with a quota answers the first ones that are made. (Spark keeps a filter that
+was pushed into a Python source with the relation, so a relation that is read again without it would lose rows; phrases are therefore chosen by the option.) A response that is missing gives no row, one that can't be
 parsed a row without status.
 """
 
@@ -13,11 +14,10 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NAME = "gleaner_responses"
 REFUSED = (429, 403)  # fixed values: over quota, forbidden
-PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 class Request(InputPartition):
@@ -31,22 +31,14 @@ class _Reader(DataSourceReader):
         self.path = options["path"].rstrip("/")
         self.providers, self.phrases = json.loads(options["providers"]), json.loads(options["phrases"])
         self.pages, self.quotas = int(options.get("pages", 1)), json.loads(options.get("quotas", "{}"))
-        self.wanted: set[str] | None = None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (EqualTo, In)) and f.attribute == ("phrase",):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted = values if self.wanted is None else self.wanted & values
-            else:
-                yield f
+        self.only = set(json.loads(options["only"])) if "only" in options else None
 
     def partitions(self):
         asked = [(x, n) for x in self.phrases for n in range(1, self.pages + 1)]
         left = dict(self.quotas)
         out = []
         for seq, (phrase, n) in enumerate(asked):
-            if self.wanted is None or phrase in self.wanted:
+            if self.only is None or phrase in self.only:
                 open_ = [p for p in self.providers if left.get(p, 1) > 0]
                 for p in open_:
                     if p in left:
@@ -87,10 +79,10 @@ class Responses(DataSource):
         return _Reader(self.options)
 
 
-def responses(spark: SparkSession, path: str, providers: list[str], phrases: list[str], pages: int = 1, quotas: dict[str, int] | None = None) -> DataFrame:
-    spark.conf.set(PUSHDOWN, "true")
+def responses(spark: SparkSession, path: str, providers: list[str], phrases: list[str], pages: int = 1, quotas: dict[str, int] | None = None, only: list[str] | None = None) -> DataFrame:
     spark.dataSource.register(Responses)
-    return spark.read.format(NAME).options(path=path, providers=json.dumps(providers), phrases=json.dumps(phrases), pages=str(pages), quotas=json.dumps(quotas or {})).load()
+    options = {"path": path, "providers": json.dumps(providers), "phrases": json.dumps(phrases), "pages": str(pages), "quotas": json.dumps(quotas or {})} | ({} if only is None else {"only": json.dumps(only)})
+    return spark.read.format(NAME).options(**options).load()
 
 
 def granted(rows: DataFrame) -> DataFrame:

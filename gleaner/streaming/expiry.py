@@ -21,7 +21,7 @@ class SeenOnce(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.at = handle, handle.getValueState("at", "micros long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         was = last = self.at.get()[0] if self.at.exists() else None
         batch = pd.concat(list(rows))
         batch = batch.sort_values(self.time, kind="stable")
@@ -39,9 +39,9 @@ class SeenOnce(StatefulProcessor):
             self.handle.registerTimer(self._due(last))
         yield batch.iloc[passed]
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.at.clear()
-        yield pd.DataFrame()
+        return iter(())
 
     def _due(self, last: int) -> int:
         return (last + self.ttl) // 1000 + 1  # a row at the very end of the time to live is still a repeat
