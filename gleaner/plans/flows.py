@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleaner.functions import columns as X
 from gleaner.functions import constants as C
-from gleaner.operators import enrich, gram_index
+from gleaner.operators import enrich, gram_index, refresh
 from gleaner.plans.registry import ORACLES, query
 from gleaner.plans import sql as S
+from gleaner.plans.services import VERDICTS
 from gleaner.sources import feeds, providers, stores
-from gleaner.sources.views import ARTICLES, articles, load, tagged
+from gleaner.sources.views import ARTICLES, TAGGED, articles, load, tagged
 from gleaner.streaming import expiry
 
 _PARTS = 4
@@ -110,3 +112,36 @@ def search_by_index(spark, sf):
 @query(ORACLES["search_tiered"].replace("'hation'", "'er'"))
 def search_by_index_short(spark, sf):
     return _by_index(spark, sf, "er")
+
+
+def _refreshed(spark, sf):
+    """Articles whose texts come from the cache of pages that were read before."""
+    a = articles(spark, sf)
+    rows = a.drop("content").withColumn("html", F.lit(None).cast("string"))
+    seen = a.where("ord % 11 = 0").select(X.hash_of(F.trim("url")).alias("url_hash"))
+    judged = refresh.judged(rows, seen, "This with thaner", F.left("content", F.lit(120)), a.select("url", "content"), F.col("lang") == "en")
+    return refresh.run(judged, f"{stores.shared_dir(spark)}/refresh-{uuid.uuid4().hex}")
+
+
+_REASONS = ", ".join(map(S.lit, refresh.REASONS))
+
+
+@query(VERDICTS + f", r AS (SELECT unnest([{_REASONS}]) AS metric) SELECT 'examined' AS metric, count(*) AS n FROM verdicts UNION ALL SELECT 'scraped', count(*) FILTER (content IS NOT NULL) FROM articles "
+       f"UNION ALL SELECT 'without_domain', count(*) FILTER ({S.domain('url')} = '') FROM articles UNION ALL SELECT metric, count(v.ord) FROM r LEFT JOIN verdicts v ON v.reject_reason = r.metric GROUP BY 1")
+def refresh_counters(spark, sf):
+    """What one refresh counted while it judged and wrote its rows."""
+    return spark.createDataFrame(list(_refreshed(spark, sf)[1].items()), "metric string, n long")
+
+
+@query(VERDICTS + f", d AS (SELECT a.*, row_number() OVER (PARTITION BY {S.domain('url')} ORDER BY ord) AS k FROM articles a JOIN verdicts USING (ord) WHERE reject_reason = 'accepted_articles') "
+       "SELECT ord, title, url, NULL::VARCHAR AS canonical_url, source, published_at, substr(content, 1, 120) AS summary, content AS scraped_content, 'this' AS keyword, NULL::VARCHAR AS company, false AS is_pinned, 80.0::DOUBLE AS validation_relevance_score, 0.0::DOUBLE AS relevance_score, "
+       "CASE WHEN k = 1 THEN 0 ELSE 1 END AS pass FROM d ORDER BY pass, ord LIMIT 50")
+def refresh_accepted(spark, sf):
+    return refresh.accepted(_refreshed(spark, sf)[0], "this", F.lit(80.0))
+
+
+@query(f"WITH {TAGGED}, t AS (SELECT DISTINCT unnest(tags) AS tag FROM tagged), l AS (SELECT tag, CASE WHEN regexp_matches(upper(tag[1]), '^[A-Z]$') THEN upper(tag[1]) ELSE '#' END AS letter FROM t) SELECT tag, letter, row_number() OVER (PARTITION BY letter ORDER BY tag COLLATE en, tag) AS place FROM l")
+def sidebar_collated(spark, sf):
+    """The place of each tag under its first letter, in the order of the Unicode collation."""
+    t = tagged(spark, sf).select(F.explode("tags").alias("tag")).distinct().withColumn("letter", X.first_letter(F.col("tag")))
+    return t.withColumn("place", F.row_number().over(Window.partitionBy("letter").orderBy(F.collate(F.col("tag"), "UNICODE"), "tag")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import columns as X
 from gleaner.functions import constants as C
-from gleaner.operators import dedup, select, state, watch
+from gleaner.operators import dedup, refresh, select, state, watch
 from gleaner.plans import sql as S
 from gleaner.plans.registry import _PRIORITY, query
 from gleaner.sources import feeds, stores
@@ -165,8 +165,11 @@ _EARLY = (f"CASE WHEN {S.url_reason('url')} <> 'ok' THEN 'invalid_url' WHEN url
           f"WHEN least({S.count_in("lower(title || '  ' || substr(content, 1, 1000))", _PRIORITY)} * 20, 100) < 40 THEN 'failed_relevance_validation' END")
 
 
-@query(f"WITH {ARTICLES}, e AS (SELECT *, {_EARLY} AS early, {S.norm_title('title')} AS nt FROM articles), u AS (SELECT *, row_number() OVER (PARTITION BY url, early IS NULL ORDER BY ord) AS ru FROM e), "
-       f"v AS (SELECT *, row_number() OVER (PARTITION BY nt, early IS NULL AND ru = 1 ORDER BY ord) AS rv FROM u) SELECT ord, coalesce(early, CASE WHEN ru > 1 OR (nt <> '' AND rv > 1) THEN 'duplicate_urls' WHEN NOT {S.summary_ok('substr(content, 1, 120)', 'title')} THEN 'failed_summary_validation' ELSE 'accepted_articles' END) AS reject_reason FROM v")
+VERDICTS = (f"WITH {ARTICLES}, e AS (SELECT *, {_EARLY} AS early, {S.norm_title('title')} AS nt FROM articles), u AS (SELECT *, row_number() OVER (PARTITION BY url, early IS NULL ORDER BY ord) AS ru FROM e), "
+            f"v AS (SELECT *, row_number() OVER (PARTITION BY nt, early IS NULL AND ru = 1 ORDER BY ord) AS rv FROM u), verdicts AS (SELECT ord, coalesce(early, CASE WHEN ru > 1 OR (nt <> '' AND rv > 1) THEN 'duplicate_urls' WHEN NOT {S.summary_ok('substr(content, 1, 120)', 'title')} THEN 'failed_summary_validation' ELSE 'accepted_articles' END) AS reject_reason FROM v)")
+
+
+@query(VERDICTS + " SELECT ord, reject_reason FROM verdicts")
 def candidate_verdicts(spark, sf):
     a = articles(spark, sf).withColumn("summary", F.left("content", F.lit(120)))
     seen = a.where("ord % 11 = 0").select(X.hash_of(F.trim("url")).alias("url_hash"))
@@ -204,6 +207,14 @@ def insert_if_absent(spark, sf):
 
 # -- texts and display -----------------------------------------------------------------------------------------------
 
+@query("""WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS block, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents), n AS (SELECT *, len(list_filter(regexp_split_to_array(block, '\\s+'), lambda w: w <> '')) AS n FROM b WHERE length(trim(block)) > 30),
+w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k FROM n) SELECT doc_id, place, block FROM w WHERE before < 250 AND k <= 8""")
+def first_blocks(spark, sf):
+    """The first lines of each text of over 30 characters, until there are 250 words or eight of them."""
+    b = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "block")).where(F.length(F.trim("block")) > 30)
+    return refresh.first_blocks(b, "doc_id", "place", "block")
+
+
 @query("SELECT doc_id, array_to_string(list_slice(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> ''), 1, 250), ' ') AS content FROM documents")
 def word_cap_250(spark, sf):
     return load(spark, sf, "documents").select("doc_id", watch.first_words(F.col("text")).alias("content"))
