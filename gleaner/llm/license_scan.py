@@ -79,7 +79,7 @@ FAMILIES: dict[str, tuple[str, str]] = {
     "unlicense": ("unlicense", r"(?:the\s+)?unlicense"),
     "wtfpl": ("wtfpl", r"wtfpl"),
     "psf-2.0": ("python", r"python(?:\s+software\s+foundation)?"),
-    "php-3.01": ("php", r"php(?:\s+licen[sc]e)?,?\s+version\s+3\.01?"),
+    "php-3.01": ("php", r"php(?:\s+version)?\s+3\.01?"),
     "php": ("php", r"php"),
     "ruby": ("ruby", r"ruby(?:'s)?"),
     "openssl": ("openssl", r"openssl"),
@@ -112,6 +112,33 @@ FORMS: list[tuple[int, float, str]] = [
     (60, 0.85, r"licen[sc]e\s*[:=]\s*[\"']?{n}(?![\w-])"),
     (50, 0.7, r"(?:subject\s+to|governed\s+by|according\s+to|conditions\s+of)\s+(?:the\s+)?{n}(?:\s+licen[sc]e)?(?![\w-])"),
 ]
+#: The second licence of several that a text is under.
+FURTHER = (78, 0.9, r"licen[sc]ed\s+under\s+(?:[\w/.,+()-]+\s+){1,8}?(?:or|and)\s+(?:the\s+)?{n}(?![\w-])")
+#: A name that holds the word licence stands for itself wherever it is.
+TITLE = (68, 0.85, r"(?<![\w-]){n}(?![\w-]|\.\d)")
+#: Names that mostly mean a language or a program: only together with the word licence, or alone in a field.
+PROGRAMS = ("psf-2.0", "php-3.01", "php", "ruby", "openssl", "postgresql", "vim")
+PROGRAM_FORMS: list[tuple[int, float, str]] = [
+    (80, 0.95, r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|redistributed|made\s+available)\s+under\s+(?:the\s+)?(?:terms\s+(?:and\s+conditions\s+)?of\s+)?(?:the\s+)?{n}\s+licen[sc]e(?![\w-])"),
+    (70, 0.9, r"(?<![\w-])the\s+{n}\s+licen[sc]e(?![\w-])"),
+    (60, 0.85, r"licen[sc]e\s*[:=]\s*[\"']?{n}(?=[\"']?[ \t]*(?:[,;\n]|\Z))"),
+    (50, 0.7, r"(?:subject\s+to|governed\s+by|according\s+to|conditions\s+of)\s+(?:the\s+)?{n}\s+licen[sc]e(?![\w-])"),
+]
+#: label, keyword, regex: short names that mean nothing else.
+SHORT_NAMES: list[tuple[str, str, str]] = [
+    ("apache-2.0", "apache", rf"apache(?:-2\.0|\s+(?:software\s+)?licen[sc]e(?:{V}|-)2(?:\.0)?)"),
+    ("apache-1.1", "apache", rf"apache(?:-1\.1|\s+(?:software\s+)?licen[sc]e{V}1\.1)"),
+    ("gpl-2.0", "gpl", r"gpl(?:v|-)2(?:\.0)?(?:-only|-or-later)?"),
+    ("gpl-3.0", "gpl", r"gpl(?:v|-)3(?:\.0)?(?:-only|-or-later)?"),
+    ("lgpl-2.1", "lgpl", r"lgpl(?:v|-)2\.1(?:-only|-or-later)?"),
+    ("lgpl-3.0", "lgpl", r"lgpl(?:v|-)3(?:\.0)?(?:-only|-or-later)?"),
+    ("agpl-3.0", "agpl", r"agpl(?:v|-)3(?:\.0)?(?:-only|-or-later)?"),
+    ("bsd-2-clause", "bsd", r"(?:bsd-2-clause|2-clause\s+bsd)"),
+    ("bsd-3-clause", "bsd", r"(?:bsd-3-clause|3-clause\s+bsd)"),
+    ("mpl-2.0", "mpl", r"mpl-2\.0"),
+    ("epl-2.0", "epl", r"epl-2\.0"),
+    ("psf-2.0", "python software", r"python\s+software\s+foundation\s+licen[sc]e"),
+]
 #: label, keyword, priority, score, regex: passages of the licences themselves, their addresses and other notices.
 PASSAGES: list[tuple[str, str, int, float, str]] = [
     ("mit", "permission is hereby granted", 95, 1.0, r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person\s+obtaining\s+a\s+copy"),
@@ -350,7 +377,15 @@ class Rule:
 def rules() -> list[Rule]:
     """All rules in order of priority."""
     short = lambda label: label.removesuffix("-short").removesuffix("-long")
-    found = [Rule(short(label), word, p, s, re.compile(form.replace("{n}", f"(?:{name})"))) for label, (word, name) in FAMILIES.items() for p, s, form in FORMS]
+
+    def forms(label: str, name: str) -> list[tuple[int, float, str]]:
+        if label in PROGRAMS:
+            return PROGRAM_FORMS
+        own_word = "licen[sc]e" in name and "licen[sc]e)?" not in name  # "name license" would need the word twice
+        return [*([FORMS[0], TITLE, *FORMS[2:]] if own_word else FORMS), FURTHER]
+
+    found = [Rule(short(label), word, p, s, re.compile(form.replace("{n}", f"(?:{name})"))) for label, (word, name) in FAMILIES.items() for p, s, form in forms(label, name)]
+    found += [Rule(label, word, TITLE[0], TITLE[1], re.compile(TITLE[2].replace("{n}", f"(?:{name})"))) for label, word, name in SHORT_NAMES]
     for line in SIGNATURES.strip().split("\n"):
         label, priority, score, word, regex = line.split("|", 4)
         found.append(Rule(label, word, int(priority), float(score), re.compile(regex.replace(" ", r"\s+"))))
@@ -375,7 +410,7 @@ GATES = ("licen", "cc", "creative", "spdx", "permi", "redistribut", "endorse", "
          "apache.org", "gnu.org", "mozilla.org", "opensource.org", "reserved", "proprietary", "under", "subject", "governed", "according", "conditions",
          "mit no attribution", "for good, not evil", "warrant", "fee is hereby", "nuclear", "rights under", "appear in all", "altered", "source distribution", "free to", "beer", "source code form", "modules",
          "invariant", "cecill", "hosted or managed", "commons clause", "cnri", "give away", "unmodified copies", "copyright", "jpeg", "sam leffler", "julian", "mills", "postgres", "cryptographic", "instrument is",
-         "multics", "creativeml", "agreement", "font", "cc0", "dedicated", "datenlizenz", "terms of use", "unlimited", "copying", "trade secret", "internal use", "written", "commercial", "openrail", "imagemagick", "version 1", "version 2")
+         "multics", "creativeml", "agreement", "font", "cc0", "dedicated", "datenlizenz", "terms of use", "unlimited", "copying", "trade secret", "internal use", "written", "commercial", "openrail", "imagemagick", "version 1", "version 2", "gpl", "apache-", "bsd", "mpl-", "epl-")
 
 
 @cache

@@ -114,3 +114,26 @@ def test_wrapped_clause_and_library_licence():
     assert "lgpl-2.0" in ls.scan("Released under the GNU Library General Public License, version 2.")["labels"].split(",")
     clause = f"Neither the name of {'the Very Long Holder ' * 9}\nnor the names of its\ncontributors may be used to endorse or\npromote products derived from this software"
     assert ls.scan(clause)["labels"] == "bsd-3-clause"
+
+
+# Headers and notices as projects write them, none made from a rule.
+HEADERS = [
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", {"mpl-2.0"}),
+    ("Mozilla Public License, version 2.0", {"mpl-2.0"}), ("Eclipse Public License 2.0", {"epl-2.0"}), ("Boost Software License", {"bsl-1.0"}), ("GPLv3", {"gpl-3.0"}), ("Apache-2.0", {"apache-2.0"}),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", {"apache-2.0", "apache"}),
+    ("Apache License 2.0", {"apache-2.0", "apache"}), ("GNU Affero General Public License version 3", {"agpl-3.0", "gpl"}), ("GNU Lesser General Public License version 3", {"lgpl-3.0", "gpl"}),
+    ("dual licensed under MIT or Apache-2.0", {"mit", "apache-2.0"}), ("Dual-licensed under MIT or GPLv2.", {"mit", "gpl-2.0"}), ("Licensed under Apache 2.0 or the BSD 3-clause license", {"apache-2.0", "bsd-3-clause"}),
+    ("distributed under the terms of the GNU General Public License, version 2", {"gpl-2.0", "gpl"}), ("This package is released under the Ruby License.", {"ruby"}), ("License: PHP\n", {"php"}), ("Python Software Foundation License", {"psf-2.0"}),
+    ("European Union Public Licence", {"eupl-1.2"}), ("the SIL Open Font License", {"ofl-1.1"}), ("GPL-2.0-only", {"gpl-2.0"}), ("the 2-Clause BSD", {"bsd-2-clause"}),
+]
+NO_LICENCE = ["a python license to drive", "published under python", "a ruby license", "php license plates", "we serve pages with apache 2 on two hosts", "apache 2.4 was available under linux", "released under vim", "the boost software team", "openssl: license of fish", "mpl-2.1 and epl-2.5", "a common public place"]
+
+
+@pytest.mark.parametrize("text,labels", HEADERS)
+def test_headers_as_they_are_written(text, labels):
+    assert set(ls.scan(text)["labels"].split(",")) == labels
+
+
+@pytest.mark.parametrize("text", NO_LICENCE)
+def test_texts_that_name_no_licence(text):
+    assert ls.scan(text)["labels"] == ""
