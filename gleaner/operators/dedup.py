@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from gleaner.functions.columns import blank, content_hash, normalize_url
 from gleaner.operators.select import first_wins
+from gleaner.sources.stores import shared_dir
 
 
 @F.pandas_udf(DoubleType())
@@ -118,6 +119,7 @@ def first_of_similar(rows: DataFrame, rank: Column, ratio: float = 0.95) -> Data
     neighbours go, until none is undecided. Rows are not paired: a round looks at each label's best undecided and kept
     rank, and those of similar titles. Needs columns ord, url, title, content, and canonical_url if there is one.
     """
+    shared_dir(rows.sparkSession)  # for the checkpoints
     members = rows.select("ord", rank.alias("rank"), F.explode(labels(rows)).alias("g")).checkpoint()
     links = similar_keys(_titles(members, "t"), _titles(members, "u"), ratio).select(F.concat(F.lit("t"), "t").alias("g"), F.concat(F.lit("t"), "u").alias("h")).checkpoint()
     state = rows.select("ord", F.lit(None).cast("boolean").alias("keep")).checkpoint()

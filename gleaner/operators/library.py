@@ -13,6 +13,9 @@ from gleaner.operators.select import first_wins
 from gleaner.operators.watch import slug_title
 
 
+MOCK_TOPICS = 1000  # rows that mock_rows sends to every task
+
+
 def startup(dashboard: DataFrame, stored: DataFrame) -> DataFrame:
     """The dashboard's rows if there are any, else all stored articles; both have the same columns."""
     n = dashboard.agg(F.count("*").alias("_n"))  # one row
@@ -70,6 +73,8 @@ def mock_rows(phrases: DataFrame, topics: DataFrame) -> DataFrame:
 
     The url of a row of its own is named by a stable hash of the phrase.
     """
+    if topics.limit(MOCK_TOPICS + 1).count() > MOCK_TOPICS:
+        raise ValueError(f"more than {MOCK_TOPICS} topics; join a table of them as match.whole_words does")
     hits = phrases.join(F.broadcast(topics), F.contains(F.lower("phrase"), F.col("topic")))
     own = phrases.join(hits.select("phrase").distinct(), "phrase", "left_anti").select(
         "ord", "phrase", F.lit(None).cast("string").alias("topic"), F.concat(F.lit("Latest on "), "phrase").alias("title"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import constants as C
 from gleaner.functions.columns import blank, normalized_domain
 from gleaner.operators import dedup, select, state, watch
-from gleaner.sources import feeds
+from gleaner.sources import feeds, stores
 
 T = TypeVar("T")
 
@@ -45,6 +45,7 @@ def topic_pool(found: DataFrame, seen: DataFrame, topics: list[str], keep: Colum
 
     A topic's pages end before the first one without rows, and at `pages`. The list of topics is short: each is one step.
     """
+    stores.shared_dir(found.sparkSession)  # for the checkpoints
     share = -(-target // len(topics))
     have = found.where(F.col("page").between(1, pages)).groupBy("topic").agg(F.collect_set("page").alias("_p"))  # `pages` values a topic
     last = F.coalesce(F.array_min(F.filter(F.sequence(F.lit(1), F.lit(pages)), lambda p: ~F.array_contains("_p", p.cast(found.schema["page"].dataType)))) - 1, F.lit(pages))
@@ -65,6 +66,7 @@ def fresh_pool(spark: SparkSession, path: str, schema: str, make: Callable[[], D
                index: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The stored pool while it is younger than `max_age` hours; else new rows of `make` before the stored ones that have not expired, first
     url wins, which replace it. `index` gives the keywords (pos, keyword) that are stored beside a new pool. Schema: ord, url, published_at, fetched_at and more."""
+    stores.shared_dir(spark)  # for the checkpoint
     age = feeds.pool_age_hours(spark, path, now)
     old = feeds.load_pool(spark, path, schema)
     if age is not None and age < max_age:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.dedup import duplicate_of_any, first_of_similar
+from gleaner.operators.filters import keyword_search
 from gleaner.operators.select import first_wins
 
 
@@ -57,6 +58,20 @@ def suggest(tags: DataFrame, prefix: str, count: int = 10, few: int = 5) -> Data
     return hits.join(F.broadcast(n), F.lit(True)).where((F.col("tier") == 0) | (F.col("n") < few)).drop("n").orderBy("tier", "ord").limit(count)
 
 
+def known_keywords(aggregated: DataFrame, stored: DataFrame, few: int = 10) -> DataFrame:
+    """Keywords (tag, ord) for suggestions: the aggregated ones and, where these are fewer than `few`, behind them the stored ones (tag, ord) that are not among them."""
+    n = aggregated.limit(few).agg(F.count("*").alias("_n"))  # one row
+    more = stored.join(aggregated.select("tag"), "tag", "left_anti").join(F.broadcast(n), F.lit(True)).where(F.col("_n") < few)
+    place = lambda df, part: df.select("tag", F.struct(F.lit(part).alias("part"), F.col("ord").alias("at")).alias("ord"))
+    return place(aggregated, 0).unionByName(place(first_wins(more, "tag"), 1))
+
+
+def news(feed: DataFrame, payload_pinned: DataFrame, store: DataFrame, keyword: str, ratio: float = 0.95) -> DataFrame:
+    """What is shown for a comma-separated keyword: the payload's rows that match it by tag, title or summary, under the pinned ones of `overlay`."""
+    some = lambda df: keyword_search(df, keyword, "keywords", "title", "summary")
+    return overlay(some(feed), store, some(payload_pinned), ratio)
+
+
 def overlay_pinned(rows: DataFrame, pinned: DataFrame) -> DataFrame:
     """Pinned rows with the payload's fields over their own, then the payload's other rows."""
     shared = [c for c in rows.columns if c in pinned.columns and c != "url"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import columns as X
 from gleaner.functions import constants as C
-from gleaner.operators import enrich, gram_index, refresh
+from gleaner.operators import enrich, gram_index, refresh, search
 from gleaner.plans.registry import ORACLES, query
 from gleaner.plans import sql as S
 from gleaner.plans.services import VERDICTS
@@ -145,3 +145,32 @@ def sidebar_collated(spark, sf):
     """The place of each tag under its first letter, in the order of the Unicode collation."""
     t = tagged(spark, sf).select(F.explode("tags").alias("tag")).distinct().withColumn("letter", X.first_letter(F.col("tag")))
     return t.withColumn("place", F.row_number().over(Window.partitionBy("letter").orderBy(F.collate(F.col("tag"), "UNICODE"), "tag")))
+
+
+_MANY = f"WITH {TAGGED}, t AS (SELECT unnest(tags) AS tag, ord FROM tagged), g AS (SELECT tag, min(ord) AS ord FROM t GROUP BY 1), a AS (SELECT * FROM g WHERE __some__), s AS (SELECT DISTINCT tags[1] AS tag FROM tagged WHERE len(tags) > 0), u AS (SELECT tag, 0 AS part FROM a UNION ALL SELECT tag, 1 FROM s WHERE tag NOT IN (SELECT tag FROM a) AND (SELECT count(*) FROM a) < 10) SELECT * FROM u"
+
+
+def _known(spark, sf, some):
+    t = tagged(spark, sf)
+    every = t.select(F.explode("tags").alias("tag"), "ord").groupBy("tag").agg(F.min("ord").alias("ord")).where(some)
+    stored = t.where("size(tags) > 0").select(F.get("tags", F.lit(0)).alias("tag"), "ord")
+    return search.known_keywords(every, stored).select("tag", "ord.part")
+
+
+@query(_MANY.replace("__some__", "ord < 2"))
+def known_keywords_few(spark, sf):
+    """Under ten aggregated keywords: the stored ones follow."""
+    return _known(spark, sf, "ord < 2")
+
+
+@query(_MANY.replace("__some__", "true"))
+def known_keywords_many(spark, sf):
+    return _known(spark, sf, "true")
+
+
+@query()
+def news_of_keyword(spark, sf):
+    """The payload's rows for a keyword under the pinned rows; held against plain Python in the tests."""
+    stores.shared_dir(spark)
+    t = tagged(spark, sf).select("ord", "url", "title", "content", F.left("content", F.lit(200)).alias("summary"), F.col("tags").alias("keywords"))
+    return search.news(t.where("ord % 10 <> 0"), t.where("ord % 10 = 0"), t.limit(0), "hation, ther").select("ord", "url", "title", "is_pinned")

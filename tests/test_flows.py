@@ -213,3 +213,14 @@ def test_a_pool_that_cannot_be_made_leaves_the_old_one(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         feeds.save_pool(broken, f"{tmp_path}/p", "2024-01-02T00:00:00Z")
     assert [r.ord for r in feeds.load_pool(spark, f"{tmp_path}/p", schema).collect()] == [1] and feeds.pool_age_hours(spark, f"{tmp_path}/p", "2024-01-01 05:00:00") == 5
+
+
+def test_news_of_a_keyword(spark):
+    schema = "ord long, url string, title string, content string, summary string, keywords array<string>"
+    feed = spark.createDataFrame([(1, "https://a.org/1", "Steel grows", "c one", "s", ["AI"]), (2, "https://a.org/2", "Other", "c two", "on steel", []), (3, "https://a.org/3", "No", "c three", "s", ["x"]), (4, "https://a.org/4?utm_source=z", "Fourth", "c four", "s", ["Steel"])], schema)
+    pinned = spark.createDataFrame([(1, "https://a.org/9", "Pinned steel", "c nine", "s", []), (2, "https://a.org/8", "Else", "c eight", "s", [])], schema)
+    store = spark.createDataFrame([(1, "https://a.org/4", "Stored", "kept", "s", [])], schema)
+    shown = lambda p: {(r.url, r.is_pinned) for r in p.collect()}
+    assert shown(search.news(feed, pinned, store.limit(0), "steel, zzz")) == {("https://a.org/9", True), ("https://a.org/1", False), ("https://a.org/2", False), ("https://a.org/4?utm_source=z", False)}
+    assert shown(search.news(feed, pinned, store, "STEEL")) == {("https://a.org/4", True), ("https://a.org/1", False), ("https://a.org/2", False), ("https://a.org/9", False)}
+    assert shown(search.news(feed, pinned, store, "nothing")) == {("https://a.org/4", True)}
