@@ -117,7 +117,7 @@ def _candidates(budget: int, similarity: float):
         for i, j in walk(fp.view(np.uint64), ranges, bit, budget, root):
             ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
             i, j = i[ok], j[ok]
-            held.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), np.bitwise_count(fp[i] ^ fp[j]).astype(np.int64)]))
+            held.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(np.int64)]))
             size += len(i)
             if size > 2_000_000:
                 held, size = [merged()], 0
