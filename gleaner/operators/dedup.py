@@ -45,7 +45,8 @@ def title_key(title: Column) -> Column:
     return F.regexp_replace(F.lower(blank(title)), "[^\\p{L}\\p{N}_]+", "")
 
 
-SPARE = 4  # pieces beyond what edits can break
+SPARE = 2  # pieces beyond what edits can break
+BLOCK = 16  # places in a string that share a key
 
 
 def _pieces(n: Column, ratio: float) -> tuple[Column, Column, Column]:
@@ -56,6 +57,16 @@ def _pieces(n: Column, ratio: float) -> tuple[Column, Column, Column]:
     return count, F.greatest(F.lit(1), F.floor(n / count).cast("int")), edits
 
 
+def _letter_bits(text: Column) -> Column:
+    """64 bits, of which at most as many differ between two strings as they have letters that the other lacks, order aside: each
+    occurrence of a letter, numbered, turns one of them."""
+    def bits(s):
+        bit = F.transform(s, lambda c, i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(c, i - F.array_position(s, c)), F.lit(64)).cast("int")))
+        return F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+
+    return F.get(F.transform(F.array(F.array_sort(F.split(text, ""))), bits), 0)
+
+
 def _shared_letters(a: Column, b: Column) -> Column:
     """How many characters two strings have in common, order aside: no matching can have more."""
     times = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))
@@ -67,21 +78,34 @@ def similar_keys(left: DataFrame, right: DataFrame, ratio: float = 0.95) -> Data
 
     A ratio r of two strings of n and m characters leaves at most (1 - r)(n + m) single deletions and insertions, and each
     breaks at most one of the first string's pieces. With SPARE more pieces than that, at least SPARE stand whole in the other string, so one of
-    any `edits + 1` pieces does: those are taken that fewest strings hold, which leaves a phrase that many titles share aside.
-    Lengths must allow the ratio, as must the letters that both have; the UDF then decides.
+    any `edits + 1` pieces does: those are taken that fewest strings hold near their place, which leaves a phrase that many titles share aside.
+    A whole piece is moved by no more places than letters are deleted or inserted, so pieces meet by hash and block of places, and the join itself
+    drops rows whose lengths, places or letters allow no such ratio; rows are narrow and strings come back by hash. The UDF then decides.
     """
     count, size, edits = _pieces(F.length("t"), ratio)
-    cuts = left.select("t", F.length("t").alias("n"), count.alias("count"), size.alias("size"), edits.alias("edits"))
-    cuts = cuts.select("t", "n", "size", "edits", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: F.substring("t", i * F.col("size") + 1, F.col("size")))).alias("at", "piece"))
+    hashed = lambda s, block: F.xxhash64(s, block.cast("long"))
+    cuts = left.select("t", F.length("t").alias("n"), _letter_bits(F.col("t")).alias("t_bits"), count.alias("count"), size.alias("size"), edits.alias("edits"))
+    cuts = cuts.select("t", "n", "t_bits", "size", "edits", F.explode(F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda i: i * F.col("size"))).alias("at"))
+    blocks = F.sequence(F.floor(F.greatest(F.col("at") - F.col("edits"), F.lit(0)) / BLOCK), F.floor((F.col("at") + F.col("edits")) / BLOCK))
+    cuts = cuts.select("t", "n", "t_bits", "edits", "at", F.expr("substring(t, at + 1, size)").alias("piece"), F.explode(blocks).alias("block"))
+    cuts = cuts.select("t", "n", "t_bits", "edits", "at", hashed(F.col("piece"), F.col("block")).alias("h"))
     m = F.length("u")
     low, high = F.greatest(F.lit(1), F.ceil(ratio / (2 - ratio) * m - 1e-9).cast("int")), F.floor((2 - ratio) / ratio * m + 1e-9).cast("int")
-    spots = right.select("u", m.alias("m"), F.explode(F.array_distinct(F.transform(F.sequence(low, high), lambda k: _pieces(k, ratio)[1]))).alias("size")).where("size <= m")
-    spots = spots.select("u", "m", "size", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("m") - F.col("size") + 1), lambda i: F.substring("u", i, F.col("size"))))).alias("piece"))
-    held = spots.groupBy("piece", "size").agg(F.count("*").alias("held"))
-    rarest = Window.partitionBy("t").orderBy("held", "at")
-    cuts = cuts.join(held, ["piece", "size"], "left").withColumn("held", F.coalesce("held", F.lit(0))).withColumn("k", F.row_number().over(rarest)).where((F.col("k") <= F.col("edits") + 1) & (F.col("held") > 0))
-    near = cuts.select("t", "n", "size", "piece").distinct().join(spots, ["piece", "size"]).where((F.col("t") != F.col("u")) & (2 * F.least("n", "m") >= ratio * (F.col("n") + F.col("m"))))
-    near = near.select("t", "n", "u", "m").distinct().where(2 * _shared_letters(F.col("t"), F.col("u")) >= ratio * (F.col("n") + F.col("m")) - 1e-9)
+    spots = right.select("u", m.alias("m"), _letter_bits(F.col("u")).alias("u_bits"), F.explode(F.array_distinct(F.transform(F.sequence(low, high), lambda k: _pieces(k, ratio)[1]))).alias("size")).where("size <= m")
+    spots = spots.select("u", "m", "u_bits", "size", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("size"))).alias("place"))
+    spots = spots.select(F.xxhash64("u").alias("u_hash"), "m", "u_bits", "place", hashed(F.expr("substring(u, place + 1, size)"), F.floor(F.col("place") / BLOCK)).alias("h"))
+    held = spots.groupBy("h").agg(F.count("*").alias("held"))
+    piece = cuts.join(held, "h").groupBy("t", "n", "t_bits", "edits", "at").agg(F.sum("held").alias("held"), F.collect_list("h").alias("hs"))
+    rarest = F.row_number().over(Window.partitionBy("t").orderBy("held", "at"))
+    absent = F.col("count") - F.count("*").over(Window.partitionBy("t"))  # pieces that no string holds come first
+    piece = piece.withColumns({"count": _pieces(F.col("n"), ratio)[0], "k": rarest}).withColumn("absent", absent).where("k + absent <= edits + 1")
+    cuts = piece.select("t", "n", "t_bits", "at", F.explode("hs").alias("h"))
+    least = F.ceil(ratio * (F.col("n") + F.col("m")) / 2 - 1e-9)  # letters that are matched at this ratio
+    moved = F.col("place") - F.col("at")
+    fits = (least <= F.least("n", "m")) & (moved >= least - F.col("n")) & (moved <= F.col("m") - least) & (F.bit_count(F.col("t_bits").bitwiseXOR(F.col("u_bits"))) <= F.col("n") + F.col("m") - 2 * least)
+    near = cuts.join(spots, "h").where(fits).select("t", "u_hash").distinct()
+    near = near.join(right.select("u", F.xxhash64("u").alias("u_hash")), "u_hash").where("t <> u")
+    near = near.where(2 * _shared_letters(F.col("t"), F.col("u")) >= ratio * (F.length("t") + F.length("u")) - 1e-9)
     return near.select("t", "u").where(title_ratio("t", "u") >= ratio)
 
 
@@ -122,7 +146,7 @@ def first_of_similar(rows: DataFrame, rank: Column, ratio: float = 0.95) -> Data
     shared_dir(rows.sparkSession)  # for the checkpoints
     members = rows.select("ord", rank.alias("rank"), F.explode(labels(rows)).alias("g")).checkpoint()
     links = similar_keys(_titles(members, "t"), _titles(members, "u"), ratio).select(F.concat(F.lit("t"), "t").alias("g"), F.concat(F.lit("t"), "u").alias("h")).checkpoint()
-    state = rows.select("ord", F.lit(None).cast("boolean").alias("keep")).checkpoint()
+    state = members.select("ord").distinct().withColumn("keep", F.lit(None).cast("boolean")).checkpoint()  # every row has a label
     best = (F.min("open").alias("open"), F.min("kept").alias("kept"))
     while state.where("keep is null").limit(1).count():
         at = members.join(state, "ord").select("g", F.when(F.col("keep").isNull(), F.col("rank")).alias("open"), F.when(F.col("keep"), F.col("rank")).alias("kept")).groupBy("g").agg(*best)

@@ -224,3 +224,13 @@ def test_news_of_a_keyword(spark):
     assert shown(search.news(feed, pinned, store.limit(0), "steel, zzz")) == {("https://a.org/9", True), ("https://a.org/1", False), ("https://a.org/2", False), ("https://a.org/4?utm_source=z", False)}
     assert shown(search.news(feed, pinned, store, "STEEL")) == {("https://a.org/4", True), ("https://a.org/1", False), ("https://a.org/2", False), ("https://a.org/9", False)}
     assert shown(search.news(feed, pinned, store, "nothing")) == {("https://a.org/4", True)}
+
+
+def test_similar_titles_meet_near_their_places_only(spark):
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abcdefghijkl") for _ in range(9)) for _ in range(8)]
+    keys = sorted({"".join(r.sample(vocabulary, 8)) for _ in range(300)})  # the same letters, other places
+    df = spark.createDataFrame([(k,) for k in keys], "t string")
+    from unittest import mock
+    with mock.patch.object(dedup, "title_ratio", lambda t, u: F.lit(1.0)):
+        assert dedup.similar_keys(df, df.withColumnRenamed("t", "u")).count() < 300 * 299 // 5
