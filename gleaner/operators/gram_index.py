@@ -59,7 +59,7 @@ def _holding(spark: SparkSession, path: str, name: str, word: str, key: str) ->
     return _among(spark, path, name, "gram", rare).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") == len(rare)).select(key)
 
 
-def search(spark: SparkSession, path: str, keyword: str, few: int = 5) -> DataFrame:
+def search(spark: SparkSession, path: str, keyword: str, few: int = 5, key: str = "url") -> DataFrame:
     """(ord, url, tier) as `search` gives them for a keyword that is not blank."""
     kw = keyword.lower().strip()
     if not kw:
@@ -73,4 +73,4 @@ def search(spark: SparkSession, path: str, keyword: str, few: int = 5) -> DataFr
     ids = _holding(spark, path, "text_grams", kw, "ord").withColumn("bucket", _bucket(F.col("ord")))
     by_text = rows.join(ids, ["bucket", "ord"]).where(F.contains("title", F.lit(kw)) | F.contains("content", F.lit(kw))).select("ord", F.lit(3).alias("tier"))
     best = by_tag.unionByName(by_text).groupBy("ord").agg(F.min("tier").alias("tier")).withColumn("bucket", _bucket(F.col("ord")))
-    return tiers_shown(rows.select("bucket", "ord", "url").join(best, ["bucket", "ord"]).select("ord", "url", "tier"), few)
+    return tiers_shown(rows.select("bucket", "ord", "url").join(best, ["bucket", "ord"]).select("ord", "url", "tier"), few, key)
