@@ -20,6 +20,11 @@ def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def once(value: Column, f) -> Column:
+    """`f` of a value that is computed once; written out in a lambda it would be computed anew for every element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def count_in(text: Column, signs: Iterable[str]) -> Column:
     """How many of the signs occur in the text."""
     total = F.lit(0)
@@ -156,11 +161,13 @@ def singular_tag_word(w: Column) -> Column:
 
 def singular(word: Column) -> Column:
     """Singular of a mined word."""
-    w = F.lower(F.trim(word))
-    n = F.length(w)
-    es = F.right(w, F.lit(4)).isin("shes", "ches", "sses") | F.right(w, F.lit(3)).isin("xes", "zes")
-    return (F.when(w.isin(*C.SINGULAR_WORDS), w).when((n > 4) & F.endswith(w, F.lit("ies")), F.concat(F.left(w, n - 3), F.lit("y")))
-            .when((n > 3) & es, F.left(w, n - 2)).when((n > 2) & F.endswith(w, F.lit("s")) & ~F.endswith(w, F.lit("ss")), F.left(w, n - 1)).otherwise(w))
+    def of(w):
+        n = F.length(w)
+        es = F.right(w, F.lit(4)).isin("shes", "ches", "sses") | F.right(w, F.lit(3)).isin("xes", "zes")
+        return (F.when(w.isin(*C.SINGULAR_WORDS), w).when((n > 4) & F.endswith(w, F.lit("ies")), F.concat(F.left(w, n - 3), F.lit("y")))
+                .when((n > 3) & es, F.left(w, n - 2)).when((n > 2) & F.endswith(w, F.lit("s")) & ~F.endswith(w, F.lit("ss")), F.left(w, n - 1)).otherwise(w))
+
+    return once(F.lower(F.trim(word)), of)
 
 
 def title_case(c: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import constants as C
-from gleaner.functions.columns import singular, title_case, words
+from gleaner.functions.columns import once, singular, title_case, words
 
 MARKS = "^[.,;:!?()\\[\\]{}'\"-]+|[.,;:!?()\\[\\]{}'\"-]+$"
 SENTENCE_END = "[.!?]+(?:\\s+|\\z)"
@@ -30,11 +30,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, "\\s+"), lambda t: t != "")
 
 
-def _once(value: Column, f) -> Column:
-    """`f` of a value that is computed once; written out in a lambda it would be computed anew for every element."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def noun_phrases(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
     """All 1-, 2- and 3-grams inside runs of content words of one sentence, with their start, as array<struct<at, phrase>>."""
     t = F.transform(tokens(text), lambda w: F.struct(F.regexp_replace(w, MARKS, "").alias("w"), w.rlike("[.!?]$").alias("end")))
@@ -49,7 +44,7 @@ def noun_phrases(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
 
         return F.concat(of(1), of(2), of(3))
 
-    return _once(content, grams)
+    return once(content, grams)
 
 
 def run_phrases(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
@@ -64,12 +59,37 @@ def run_phrases(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
         of = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
         return F.concat(of(1), of(2), of(3))
 
-    return F.flatten(F.transform(runs, lambda r: _once(F.split(r, " "), grams)))
+    return F.flatten(F.transform(runs, lambda r: once(F.split(r, " "), grams)))
+
+
+def canonical_phrases(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
+    """The phrases of `run_phrases` without artefacts, in another order, as array<struct<phrase, canonical>>; variants are not yet renamed.
+
+    Words are judged and made singular one by one, before they are put together: of a text each word is looked at once, not once for each phrase
+    that holds it. No artefact holds a blank, so a phrase holds one if a word of it does.
+    """
+    least = [a for a in C.ARTEFACTS if not any(b in a for b in C.ARTEFACTS if b != a)]
+    t = F.transform(tokens(text), lambda w: F.struct(F.regexp_replace(w, MARKS, "").alias("w"), w.rlike("[.!?]$").alias("end")))
+    kept = lambda x: (F.length(x["w"]) >= 3) & ~x["w"].rlike("^[0-9]+$") & ~F.lower(x["w"]).isin(*stop_words, *verbs, *C.ARTEFACTS)
+    named = F.transform(t, lambda x: F.struct(x["w"].alias("w"), F.when(kept(x), singular(x["w"])).alias("c"), x["end"].alias("end")))
+    clean = F.transform(named, lambda x: F.struct(x["w"].alias("w"), F.when(~x["c"].rlike("|".join(least)), x["c"]).alias("last"), x["end"].alias("end")))
+    content = F.transform(clean, lambda x: F.struct(x["w"].alias("w"), x["last"].alias("last"), F.when(~x["end"], x["last"]).alias("inner")))
+
+    def grams(c):
+        def of(n):
+            part = lambda i, k: F.get(c, i + k)["last" if k == n - 1 else "inner"]
+            joined = lambda f: F.concat(*[x for k in range(n) for x in ((F.lit(" "),) if k else ()) + (f(k),)])
+            made = F.transform(c, lambda w, i: F.struct(joined(lambda k: F.get(c, i + k)["w"]).alias("phrase"), joined(lambda k: part(i, k)).alias("canonical")))
+            return F.filter(made, lambda x: (F.length(x["canonical"]) >= 3) | x["canonical"].isin(*C.VARIANTS))  # a variant's name is longer
+
+        return F.concat(of(1), of(2), of(3))
+
+    return once(content, grams)
 
 
 def capitalized_phrases(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
     """Runs of capitalised words of one sentence, at most three (four with a connector), none of them a stop word or verb but for connectors."""
-    runs = F.flatten(F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_extract_all(s, F.lit("(" + EDGE + CAPITALS + EDGE + ")"), F.lit(1))))
+    runs = F.flatten(F.transform(F.split(text, SENTENCE_END), lambda s: F.regexp_extract_all(s, F.lit("((?=[A-Z])" + EDGE + CAPITALS + EDGE + ")"), F.lit(1))))
     found = F.transform(runs, lambda p: F.regexp_replace(p, MARKS, ""))
     def ok(p):
         w = F.transform(F.split(p, "\\s+"), F.lower)
@@ -85,18 +105,22 @@ def canonical(phrase: Column) -> Column:
 
 def variant(phrase: Column, casing=lambda c: c) -> Column:
     """The fixed spelling of a phrase in lower case that has one, put through `casing`, else the phrase itself."""
-    known = F.create_map(*[F.lit(x) for pair in C.VARIANTS.items() for x in pair])
-    return _once(phrase, lambda p: F.coalesce(casing(F.try_element_at(known, p)), p))
+    return once(phrase, lambda p: F.coalesce(casing(F.try_element_at(_variants(), p)), p))
+
+
+def _variants() -> Column:
+    return F.create_map(*[F.lit(x) for pair in C.VARIANTS.items() for x in pair])
 
 
 def phrase_rows(rows: DataFrame, text: Column, key: str = "url", stop_words=C.STOP_WORDS, verbs=()) -> DataFrame:
     """(key, phrase, canonical, proper): each occurrence of a phrase, artefacts removed by substring as published."""
     # Noun phrases have no stop words.
-    both = F.concat(F.transform(capitalized_phrases(text, stop_words, verbs), lambda p: F.struct(trim_stop_words(p, stop_words).alias("phrase"), F.lit(True).alias("proper"))),
-                    F.transform(run_phrases(text, stop_words, verbs), lambda p: F.struct(p.alias("phrase"), F.lit(False).alias("proper"))))
-    p = rows.select(key, F.inline(both)).where("phrase <> ''").withColumn("canonical", canonical(F.col("phrase")))
+    proper = F.transform(F.transform(capitalized_phrases(text, stop_words, verbs), lambda p: trim_stop_words(p, stop_words)), lambda p: F.struct(p.alias("phrase"), canonical(p).alias("canonical"), F.lit(True).alias("proper")))
     # One condition that names the column once, as a filter is computed from the column's expression.
-    return p.where(F.col("canonical").rlike("(?s)^(?!.*(?:" + "|".join(C.ARTEFACTS) + ")).{3,}$"))
+    proper = F.filter(proper, lambda x: (x["phrase"] != "") & x["canonical"].rlike("(?s)^(?!.*(?:" + "|".join(C.ARTEFACTS) + ")).{3,}$"))
+    plain = F.transform(canonical_phrases(text, stop_words, verbs), lambda x: F.struct(x["phrase"].alias("phrase"), x["canonical"].alias("canonical"), F.lit(False).alias("proper")))
+    p = rows.select(key, F.inline(F.concat(proper, plain)))
+    return p.select(key, "phrase", F.coalesce(F.lower(F.try_element_at(_variants(), F.col("canonical"))), "canonical").alias("canonical"), "proper")
 
 
 def phrase_counts(phrases: DataFrame, key: str = "url") -> DataFrame:
@@ -105,15 +129,15 @@ def phrase_counts(phrases: DataFrame, key: str = "url") -> DataFrame:
 
 
 def keywords(phrases: DataFrame, most: int = 150, key: str = "url") -> DataFrame:
-    """(canonical, casing, score) of the `most` phrases of highest composite score, from one pass over the texts."""
-    counts = phrase_counts(phrases, key)
-    stats = counts.groupBy("canonical").agg(F.sum("n").alias("freq"), F.countDistinct(key).alias("articles"), F.max("proper").alias("proper"))
-    best = composite(stats).orderBy(F.desc("score"), "canonical").limit(most)
-    return best.join(best_casing(counts), "canonical").select("canonical", "casing", "score").orderBy(F.desc("score"), "canonical")
+    """(canonical, casing, score) of the `most` phrases of highest composite score; only their spellings are counted, in a second pass over the texts."""
+    best = composite(phrase_stats(phrases, key)).orderBy(F.desc("score"), "canonical").limit(most)
+    casings = best_casing(phrases.join(F.broadcast(best.select("canonical")), "canonical", "left_semi"))
+    return best.join(F.broadcast(casings), "canonical").select("canonical", "casing", "score").orderBy(F.desc("score"), "canonical")
 
 
 def phrase_stats(phrases: DataFrame, key: str = "url") -> DataFrame:
-    return phrases.groupBy("canonical").agg(F.count("*").alias("freq"), F.countDistinct(key).alias("articles"), F.max("proper").alias("proper"))
+    """(canonical, freq, articles, proper); phrases are dealt out once, by name, and counted where they lie."""
+    return phrases.select("canonical", key, "proper").repartition("canonical").groupBy("canonical").agg(F.count("*").alias("freq"), F.countDistinct(key).alias("articles"), F.max("proper").alias("proper"))
 
 
 def composite(stats: DataFrame) -> DataFrame:
@@ -140,9 +164,9 @@ def fallback_tags(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
         def runs(s):
             starts = F.filter(F.transform(s, lambda x, k: F.struct(k.alias("k"), x["i"].alias("i"), x["p"].alias("p"))), lambda y: (y["k"] == 0) | (F.get(s, y["k"] - 1)["p"] != y["p"]))
             count = lambda b, y, j: F.coalesce(F.get(b, j + 1)["k"], F.size(s)) - y["k"]
-            return _once(starts, lambda b: F.transform(F.array_sort(F.transform(b, lambda y, j: F.struct((-count(b, y, j)).alias("n"), y["i"].alias("i"), y["p"].alias("p")))), lambda x: x["p"]))
+            return once(starts, lambda b: F.transform(F.array_sort(F.transform(b, lambda y, j: F.struct((-count(b, y, j)).alias("n"), y["i"].alias("i"), y["p"].alias("p")))), lambda x: x["p"]))
 
-        return _once(F.array_sort(F.transform(found, lambda p, i: F.struct(p.alias("p"), i.alias("i")))), runs)
+        return once(F.array_sort(F.transform(found, lambda p, i: F.struct(p.alias("p"), i.alias("i")))), runs)
 
     proper = F.filter(F.transform(capitalized_phrases(text, stop_words, verbs), lambda p: trim_stop_words(p, stop_words)), lambda p: F.length(p) >= 3)
     every = F.concat(ranked(proper), ranked(run_phrases(text, stop_words, verbs)), words(C.FALLBACK_TAGS))
@@ -155,6 +179,6 @@ def fallback_tags(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
         def two(r):
             return F.array(F.get(e, 0), F.get(r, 0), F.get(but(r, F.get(r, 0)), 0))
 
-        return _once(but(e, F.get(e, 0)), two)
+        return once(but(e, F.get(e, 0)), two)
 
-    return F.when(text.isNotNull(), _once(every, three))
+    return F.when(text.isNotNull(), once(every, three))
