@@ -169,8 +169,10 @@ def fallback_tags(text: Column, stop_words=C.STOP_WORDS, verbs=()) -> Column:
         return once(F.array_sort(F.transform(found, lambda p, i: F.struct(p.alias("p"), i.alias("i")))), runs)
 
     proper = F.filter(F.transform(capitalized_phrases(text, stop_words, verbs), lambda p: trim_stop_words(p, stop_words)), lambda p: F.length(p) >= 3)
-    every = F.concat(ranked(proper), ranked(run_phrases(text, stop_words, verbs)), words(C.FALLBACK_TAGS))
-    every = F.filter(every, lambda p: ~F.lower(p).isin(*C.FORBIDDEN_TAGS))
+    allowed = lambda e: F.filter(e, lambda p: ~F.lower(p).isin(*C.FORBIDDEN_TAGS))
+    # Noun phrases are made only for a text whose capitalised ones are under three.
+    more = F.concat(allowed(ranked(run_phrases(text, stop_words, verbs))), allowed(words(C.FALLBACK_TAGS)))
+    every = once(allowed(ranked(proper)), lambda e: F.when(F.size(F.array_distinct(F.transform(e, F.lower))) >= 3, e).otherwise(F.concat(e, more)))
 
     def but(e, p):
         return F.filter(e, lambda x: F.lower(x) != F.lower(p))

