@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import constants as C
-from gleaner.functions.columns import blank, display_tag, match_key, singular_tag_word, title_case, words
+from gleaner.functions.columns import blank, display_tag, match_key, once, singular_tag_word, title_case, words
 
 
 def normalize_tag(tag: Column) -> Column:
@@ -28,19 +28,21 @@ def clean_tags(tags: Column, title: Column, summary: Column, content: Column, st
     text = match_key(F.concat_ws(" ", blank(title), blank(summary), F.substring(blank(content), 1, 2000)))
     raw = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(F.regexp_replace(blank(t), "[^\\p{L}\\p{N}_\\s-]", "")))
     ok = F.filter(raw, lambda t: (t != "") & (F.size(F.split(t, "\\s+")) <= 2) & ~F.forall(F.split(t, "\\s+"), lambda w: w.rlike("^[0-9]+$")) & ~F.forall(F.split(t, "\\s+"), lambda w: F.lower(w).isin(*stop_words)))
-    made = F.transform(ok, lambda t: F.struct(match_key(normalize_tag(t)).alias("k"), normalize_tag(t).alias("t")))
+    made = F.transform(ok, lambda t: once(normalize_tag(t), lambda n: F.struct(match_key(n).alias("k"), n.alias("t"))))
     lists = [F.transform(F.coalesce(x, F.array().cast("array<string>")), lambda e: match_key(blank(e))) for x in (entities, taxonomy) if x is not None]
 
-    def known(k):
-        hit = F.contains(text, k)
+    def known(body, k):
+        hit = F.contains(body, k)
         for x in lists:
             hit = hit | F.exists(x, lambda e: F.contains(e, k) | ((F.length(e) > 2) & F.contains(k, e)))
-        return hit if lists else hit | (F.concat(blank(title), blank(summary), blank(content)) == "")
+        return hit if lists else hit | ((blank(title) == "") & (blank(summary) == "") & (blank(content) == ""))
 
-    present = F.filter(made, lambda x: (F.length(x["k"]) >= 2) & known(x["k"]))
-    keys = F.transform(present, lambda x: x["k"])
-    first = F.filter(present, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
-    return F.slice(F.transform(first, lambda x: x["t"]), 1, most)
+    def first(present):
+        return once(F.transform(present, lambda x: x["k"]), lambda keys: F.filter(present, lambda x, i: F.array_position(keys, x["k"]) == i + 1))
+
+    # The text is made once for all tags, not once for each.
+    present = once(text, lambda body: F.filter(made, lambda x: (F.length(x["k"]) >= 2) & known(body, x["k"])))
+    return F.slice(F.transform(once(present, first), lambda x: x["t"]), 1, most)
 
 
 def keyword_counts(rows: DataFrame, tags: str = "tags", order: str = "ord") -> DataFrame:

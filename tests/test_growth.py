@@ -27,3 +27,11 @@ def test_fallback_tags_make_noun_phrases_only_if_needed(spark):
     assert made == [["Kiln", "Steel", "Ore"], ["kiln", "runs", "hot"], ["Kiln", "runs", "kiln runs"]] or made[0] == ["Kiln", "Steel", "Ore"]
     plan = _plan(rows.select(mining.fallback_tags(F.col("t"))))
     assert "array_distinct" in plan and plan.index("array_distinct") > 0
+
+
+def test_clean_tags_make_the_text_once(spark):
+    from gleaner.operators import tags
+
+    rows = spark.createDataFrame([(["Kilns", "kiln", "Ore"], "Kilns", "hot kilns")], "tags array<string>, title string, content string")
+    df = rows.select(tags.clean_tags(F.col("tags"), F.col("title"), F.lit(""), F.col("content")).alias("x"))
+    assert _plan(df).count("concat_ws") == 1 and df.first().x == ["Kiln"]
