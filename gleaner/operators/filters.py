@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import constants as C
-from gleaner.functions.columns import any_in, any_whole_word, blank, count_in, url_reason, words
+from gleaner.functions.columns import any_in, any_whole_word, blank, count_in, once, url_reason, words
 
 
 def title_is_doc_type(title: Column) -> Column:
@@ -50,13 +50,20 @@ FUNCTION_WORDS = {"en": "the of and to in is that for it was with be on not this
 
 def is_english(*parts: Column) -> Column:
     """Own detector: letters mostly ASCII, and English function words outnumber those of three neighbours."""
-    text = F.lower(F.concat_ws(" ", *parts))
-    tokens = F.filter(F.split(F.regexp_replace(text, "[^\\p{L}]+", " "), " "), lambda w: w != "")
+    every = sorted({w for v in FUNCTION_WORDS.values() for w in v.split()})
     known = lambda many: lambda w: w.isin(*many)
-    hits = {k: F.size(F.filter(tokens, known(v.split()))) for k, v in FUNCTION_WORDS.items()}
-    ascii_letters, letters = F.regexp_count(text, F.lit("[a-z]")), F.regexp_count(text, F.lit("\\p{L}"))
-    best = hits["en"] > F.greatest(*[v for k, v in hits.items() if k != "en"])
-    return F.coalesce((F.size(tokens) > 0) & (ascii_letters >= 0.9 * letters) & best, F.lit(False))
+
+    # Words are cut once, and the few that are function words of any language are then counted for each.
+    def outnumber(found):
+        hits = {k: F.size(F.filter(found, known(v.split()))) for k, v in FUNCTION_WORDS.items()}
+        return hits["en"] > F.greatest(*[v for k, v in hits.items() if k != "en"])
+
+    def of(text):
+        best = once(F.filter(F.split(text, " "), known(every)), outnumber)
+        letters = F.length(F.replace(text, F.lit(" "), F.lit("")))
+        return (letters > 0) & (F.length(F.regexp_replace(text, "[^a-z]+", "")) >= 0.9 * letters) & best
+
+    return F.coalesce(once(F.regexp_replace(F.lower(F.concat_ws(" ", *parts)), "[^\\p{L}]+", " "), of), F.lit(False))
 
 
 def keyword_search(articles: DataFrame, keyword: str, tags: str = "tags", title: str = "title", summary: str = "content") -> DataFrame:
