@@ -18,8 +18,9 @@ def off_topic(*parts: Column) -> Column:
 
 
 def source_type_reason(title: Column, content: Column) -> Column:
-    c = F.lower(blank(content))
-    return F.when(title_is_doc_type(title), "title").when(count_in(c, C.CODE_SIGNS) >= 3, "code").when(count_in(c, C.LANDING_SIGNS) >= 4, "landing").otherwise("ok")
+    # The text in lower case is made once for all signs.
+    signs = once(F.lower(blank(content)), lambda c: F.when(count_in(c, C.CODE_SIGNS) >= 3, "code").when(count_in(c, C.LANDING_SIGNS) >= 4, "landing").otherwise("ok"))
+    return F.when(title_is_doc_type(title), "title").otherwise(signs)
 
 
 def content_reason(content: Column) -> Column:
@@ -28,7 +29,7 @@ def content_reason(content: Column) -> Column:
     longer = lambda parts, k: F.size(F.filter(parts, lambda x: F.length(F.trim(x)) > k))
     paragraphs, lines, sentences = longer(F.split(c, "\\n[ \\t]*\\n"), 30), longer(F.split(c, "\n"), 30), longer(F.split(c, "[.!?]+"), 10)
     return (F.when(n < 60, "too_short").when((paragraphs < 2) & (lines < 2) & ~((n >= 80) & (sentences >= 3)), "few_paragraphs")
-            .when(any_in(F.lower(c), C.BOILERPLATE), "boilerplate").otherwise("ok"))
+            .when(once(F.lower(c), lambda low: any_in(low, C.BOILERPLATE)), "boilerplate").otherwise("ok"))
 
 
 def summary_ok(summary: Column, title: Column) -> Column:

@@ -42,3 +42,11 @@ def test_is_english_cuts_words_once(spark):
     rows = spark.createDataFrame([("The work of the mill is done, and it was for all",), ("der Ofen ist heiß und das Werk",), ("123 ...",), (None,)], "t string")
     df = rows.select(filters.is_english(F.col("t")).alias("x"))
     assert [r.x for r in df.collect()] == [True, False, False, False] and _plan(df).count("concat_ws") == 1 and _plan(df).count("split(") == 1
+
+
+def test_signs_are_looked_up_in_one_lower_case_text(spark):
+    from gleaner.operators import filters
+
+    rows = spark.createDataFrame([("t", "PIP install, npm install, Git Clone"), ("t", "plain")], "title string, content string")
+    df = rows.select(filters.source_type_reason(F.col("title"), F.col("content")).alias("x"))
+    assert [r.x for r in df.collect()] == ["code", "ok"] and _plan(df).count("lower(coalesce(content") == 1
