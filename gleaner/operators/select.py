@@ -42,10 +42,12 @@ def capped_by_domain(df: DataFrame, cap: int = 3, count: int = 15) -> DataFrame:
 
 
 def diversity_bonus(df: DataFrame, bonus: float = 0.3) -> DataFrame:
-    """`bonus` for the first row of each domain; the first ones are found by a partial minimum, so no domain is sorted."""
+    """`bonus` for the first row of each domain; the first ones are found by a partial minimum and met by domain and order, so no domain is sorted or lies in one task."""
     rows = df.withColumn("domain", normalized_domain(F.col("url")))
     first = rows.where("domain <> ''").groupBy("domain").agg(F.min("ord").alias("_first"))
-    return rows.join(first, "domain", "left").withColumn("bonus", F.when(F.col("ord") == F.col("_first"), bonus).otherwise(0.0)).drop("_first")
+    first = first.select(F.col("domain").alias("_domain"), "_first")
+    met = rows.join(first, (F.col("domain") == F.col("_domain")) & (F.col("ord") == F.col("_first")), "left")
+    return met.withColumn("bonus", F.when(F.col("_first").isNotNull(), bonus).otherwise(0.0)).drop("_domain", "_first")
 
 
 def topic_quota(df: DataFrame, total: int, topics: int, topic: str = "topic_bucket", topic_order: str = "topic_idx") -> DataFrame:

@@ -50,3 +50,12 @@ def test_signs_are_looked_up_in_one_lower_case_text(spark):
     rows = spark.createDataFrame([("t", "PIP install, npm install, Git Clone"), ("t", "plain")], "title string, content string")
     df = rows.select(filters.source_type_reason(F.col("title"), F.col("content")).alias("x"))
     assert [r.x for r in df.collect()] == ["code", "ok"] and _plan(df).count("lower(coalesce(content") == 1
+
+
+def test_first_of_a_domain_is_met_by_its_order(spark):
+    from gleaner.operators import select
+
+    rows = spark.createDataFrame([(2, "https://a.org/x"), (1, "https://a.org/y"), (3, "https://b.org/"), (4, "")], "ord long, url string")
+    df = select.diversity_bonus(rows)
+    assert {r.ord: r.bonus for r in df.collect()} == {1: 0.3, 2: 0.0, 3: 0.3, 4: 0.0}
+    assert next(x for x in _plan(df).splitlines() if "Join" in x).count(" = ") == 2  # by domain alone, one domain's rows lie in one task
