@@ -1,4 +1,4 @@
-"""Stored responses of search providers as a data source of Spark: one partition per phrase and page, quotas kept before anything is read.
+"""Stored responses of search providers as a data source of Spark: requests in order, at most MOST partitions of them, quotas kept before anything is read.
 
 Responses are text files under provider=P/phrase=X/page=N, each line a JSON object with `status` and, if it has results, `body`.
 Options: path; providers, by priority; phrases, in order; pages; quotas as JSON ({provider: requests left}); only, the phrases that are
@@ -18,12 +18,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NAME = "gleaner_responses"
 REFUSED = (429, 403)  # fixed values: over quota, forbidden
+MOST = 256  # a task for each request takes longer to start than to read
 
 
-class Request(InputPartition):
-    def __init__(self, seq: int, phrase: str, page: int, providers: list[str]):
+class Requests(InputPartition):
+    """Some requests (seq, phrase, page, providers), one after the other."""
+
+    def __init__(self, seq: int, asked: list[tuple[int, str, int, list[str]]]):
         super().__init__(seq)
-        self.seq, self.phrase, self.page, self.providers = seq, phrase, page, providers
+        self.asked = asked
 
 
 class _Reader(DataSourceReader):
@@ -43,16 +46,23 @@ class _Reader(DataSourceReader):
                 for p in open_:
                     if p in left:
                         left[p] -= 1
-                out.append(Request(seq, phrase, n, open_))
-        return out or [Request(-1, "", 0, [])]
+                out.append((seq, phrase, n, open_))
+        each = -(-len(out) // MOST) or 1
+        return [Requests(k, out[k:k + each]) for k in range(0, len(out), each)] or [Requests(-1, [])]
 
-    def read(self, request: Request):
+    def read(self, partition: Requests):
         from pyarrow import fs
 
         uri = self.path if ":" in self.path.split("/")[0] else f"file://{self.path}"
         files, root = fs.FileSystem.from_uri(uri)
-        for provider in request.providers:
-            folder = f"{root}/provider={provider}/phrase={request.phrase}/page={request.page}"
+        for seq, phrase, page, names in partition.asked:
+            yield from self._answers(files, root, seq, phrase, page, names)
+
+    def _answers(self, files, root: str, seq: int, phrase: str, page: int, names: list[str]):
+        from pyarrow import fs
+
+        for provider in names:
+            folder = f"{root}/provider={provider}/phrase={phrase}/page={page}"
             for info in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
                 name = unquote(info.base_name)
                 if info.type != fs.FileType.File or name[0] in "._":
@@ -62,9 +72,9 @@ class _Reader(DataSourceReader):
                 for line in lines:
                     try:
                         got = json.loads(line)
-                        yield provider, request.phrase, request.page, request.seq, int(got["status"]), got.get("body")
+                        yield provider, phrase, page, seq, int(got["status"]), got.get("body")
                     except (ValueError, KeyError, TypeError):
-                        yield provider, request.phrase, request.page, request.seq, None, None
+                        yield provider, phrase, page, seq, None, None
 
 
 class Responses(DataSource):

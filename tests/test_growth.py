@@ -59,3 +59,14 @@ def test_first_of_a_domain_is_met_by_its_order(spark):
     df = select.diversity_bonus(rows)
     assert {r.ord: r.bonus for r in df.collect()} == {1: 0.3, 2: 0.0, 3: 0.3, 4: 0.0}
     assert next(x for x in _plan(df).splitlines() if "Join" in x).count(" = ") == 2  # by domain alone, one domain's rows lie in one task
+
+
+def test_requests_share_partitions():
+    import json
+
+    from gleaner.sources import providers
+
+    options = {"path": "/none", "providers": '["one"]', "phrases": json.dumps([f"p{k}" for k in range(50)]), "pages": "100", "quotas": '{"one": 7}'}
+    parts = providers._Reader(options).partitions()
+    asked = [x for p in parts for x in p.asked]
+    assert len(parts) <= providers.MOST and [x[0] for x in asked] == list(range(5000)) and sum(len(x[3]) for x in asked) == 7
