@@ -8,6 +8,10 @@ Tags that the keyword holds are looked up by name, as one of its substrings.
 
 from __future__ import annotations
 
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +25,19 @@ def _bucket(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
 
 
-def ngrams(text: Column) -> Column:
-    """The distinct substrings of one, two and three characters."""
-    def grams(c):  # of the characters, as finding the i-th one in a string takes i steps
-        of = lambda n: F.transform(c, lambda x, i: F.concat(*[F.get(c, i + k) for k in range(n)]))
-        return F.array_distinct(F.filter(F.concat(of(1), of(2), of(3)), lambda g: g.isNotNull() & (g != "")))
+def ngrams(rows: DataFrame, key: str, *texts: str) -> DataFrame:
+    """(key, gram): the distinct substrings of one, two and three characters of each row's texts."""
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 200):  # few texts' grams are in memory at once
+                part = b.slice(at, 200)
+                columns = [c.to_pylist() for c in part.columns[1:]]
+                found = [list({t[i:i + n] for t in row if t for n in (1, 2, 3) for i in range(len(t) - n + 1)}) for row in zip(*columns)]
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(list(chain.from_iterable(found)), pa.string())], names=[key, "gram"])
 
-    return F.get(F.transform(F.array(F.split(text, "")), grams), 0)
+    some = rows.select(key, *[F.col(t).alias(f"_{i}") for i, t in enumerate(texts)])
+    return some.mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, gram string")
 
 
 def build(rows: DataFrame, path: str) -> None:
@@ -39,8 +49,8 @@ def build(rows: DataFrame, path: str) -> None:
 
     tags = r.select("ord", F.explode("tags").alias("tag")).where("tag <> ''").distinct()
     put(tags, "tag", "tags")
-    put(tags.select("tag").distinct().select("tag", F.explode(ngrams(F.col("tag"))).alias("gram")), "gram", "tag_grams")
-    put(r.select("ord", F.explode(F.array_union(ngrams(F.col("title")), ngrams(F.col("content")))).alias("gram")), "gram", "text_grams")
+    put(ngrams(tags.select("tag").distinct(), "tag", "tag"), "gram", "tag_grams")
+    put(ngrams(r, "ord", "title", "content"), "gram", "text_grams")
     put(r.select("ord", "url", "title", "content"), "ord", "rows")
 
 

@@ -70,3 +70,10 @@ def test_requests_share_partitions():
     parts = providers._Reader(options).partitions()
     asked = [x for p in parts for x in p.asked]
     assert len(parts) <= providers.MOST and [x[0] for x in asked] == list(range(5000)) and sum(len(x[3]) for x in asked) == 7
+
+
+def test_grams_of_a_row_once(spark):
+    from gleaner.operators import gram_index
+
+    rows = spark.createDataFrame([(1, "aba", "ab"), (2, "", None)], "ord long, title string, content string")
+    assert sorted(map(tuple, gram_index.ngrams(rows, "ord", "title", "content").collect())) == [(1, g) for g in ("a", "ab", "aba", "b", "ba")]
