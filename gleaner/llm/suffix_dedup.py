@@ -41,7 +41,7 @@ SPAN = LENGTH - GRAM + 1  # grams in one 50-byte string
 COVER, PERIOD = (0, 1, 3), 7
 SHIFT = np.array([min((c - r) % PERIOD for c in COVER) for r in range(PERIOD)])  # to the next sample position
 BLOCK_BYTES, SHARD_ANCHORS = 4_000_000, 1_500_000
-SLICE = 3_000_000  # bytes of contexts that one suffix bucket sorts at a time
+SLICE = 600_000  # bytes of contexts that one suffix bucket sorts at a time; sorting takes some 50 bytes a byte
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: later than all
 
 _rng = np.random.default_rng(20)
@@ -225,9 +225,12 @@ def window_classes(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.
 
 def _sort_bucket(group: pa.Table) -> pa.Table:
     """Marks of the bucket's suffixes that an earlier document has."""
-    block, row, doc, at, shape, text = [], [], [], [], [], []
+    block, row, doc, at, shape, kind = [], [], [], [], [], []
     out: dict[int, list] = {}
-    for b, *raw in zip(*[group.column(c).to_pylist() for c in ("block", "row", "doc", "at", "shape", "bytes", "done")]):
+    kinds: dict[bytes, int] = {}  # equal contexts are one
+    columns = [group.column(c) for c in ("block", "row", "doc", "at", "shape", "bytes", "done")]
+    for k in range(group.num_rows):  # one row's bytes at a time are copied
+        b, *raw = (c[k].as_py() for c in columns)
         if raw[5]:
             out.setdefault(b, []).append(np.frombuffer(raw[5], MARK))
         r = np.frombuffer(raw[0], "<i4")
@@ -235,20 +238,18 @@ def _sort_bucket(group: pa.Table) -> pa.Table:
             continue
         s = np.frombuffer(raw[3], np.uint8).reshape(-1, 2).astype(np.int64)
         ends = np.cumsum(s[:, 1] + LENGTH - 1)
-        text += [raw[4][x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        kind.append(np.array([kinds.setdefault(raw[4][x:y], len(kinds)) for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]))
         block.append(np.full(len(r), b))
         row.append(r)
         doc.append(np.frombuffer(raw[1], "<i8"))
         at.append(np.frombuffer(raw[2], "<i4"))
         shape.append(s)
     marks = []
-    if text:
-        block, row, doc, at = (np.concatenate(x) for x in (block, row, doc, at))
+    if kinds:
+        block, row, doc, at, kind = (np.concatenate(x) for x in (block, row, doc, at, kind))
         shape = np.concatenate(shape)
-        windows = np.zeros(len(text), np.uint32)
-        # Equal contexts are one; those of later documents are covered as a whole.
-        kinds: dict[bytes, int] = {}
-        kind = np.array([kinds.setdefault(t, len(kinds)) for t in text])
+        windows = np.zeros(len(kind), np.uint32)
+        # Contexts of later documents are covered as a whole.
         first = np.full(len(kinds), NO_ID)
         np.minimum.at(first, kind, doc)
         full = ((np.uint64(1) << shape[:, 1].astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
