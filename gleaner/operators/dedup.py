@@ -45,6 +45,12 @@ def title_key(title: Column) -> Column:
     return F.regexp_replace(F.lower(blank(title)), "[^\\p{L}\\p{N}_]+", "")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that both sides are dealt out for: tables that grow with the input would else be broadcast up to the
+    session's threshold, and a query of many such joins at a time fills the driver."""
+    return df.hint("merge")
+
+
 SPARE = 2  # pieces beyond what edits can break
 BLOCK = 16  # places in a string that share a key
 
@@ -95,7 +101,7 @@ def similar_keys(left: DataFrame, right: DataFrame, ratio: float = 0.95) -> Data
     spots = spots.select("u", "m", "u_bits", "size", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("size"))).alias("place"))
     spots = spots.select(F.xxhash64("u").alias("u_hash"), "m", "u_bits", "place", hashed(F.expr("substring(u, place + 1, size)"), F.floor(F.col("place") / BLOCK)).alias("h"))
     held = spots.groupBy("h").agg(F.count("*").alias("held"))
-    piece = cuts.join(held, "h").groupBy("t", "n", "t_bits", "edits", "at").agg(F.sum("held").alias("held"), F.collect_list("h").alias("hs"))
+    piece = cuts.join(dealt(held), "h").groupBy("t", "n", "t_bits", "edits", "at").agg(F.sum("held").alias("held"), F.collect_list("h").alias("hs"))
     rarest = F.row_number().over(Window.partitionBy("t").orderBy("held", "at"))
     absent = F.col("count") - F.count("*").over(Window.partitionBy("t"))  # pieces that no string holds come first
     piece = piece.withColumns({"count": _pieces(F.col("n"), ratio)[0], "k": rarest}).withColumn("absent", absent).where("k + absent <= edits + 1")
@@ -103,8 +109,8 @@ def similar_keys(left: DataFrame, right: DataFrame, ratio: float = 0.95) -> Data
     least = F.ceil(ratio * (F.col("n") + F.col("m")) / 2 - 1e-9)  # letters that are matched at this ratio
     moved = F.col("place") - F.col("at")
     fits = (least <= F.least("n", "m")) & (moved >= least - F.col("n")) & (moved <= F.col("m") - least) & (F.bit_count(F.col("t_bits").bitwiseXOR(F.col("u_bits"))) <= F.col("n") + F.col("m") - 2 * least)
-    near = cuts.join(spots, "h").where(fits).select("t", "u_hash").distinct()
-    near = near.join(right.select("u", F.xxhash64("u").alias("u_hash")), "u_hash").where("t <> u")
+    near = cuts.join(dealt(spots), "h").where(fits).select("t", "u_hash").distinct()
+    near = near.join(dealt(right.select("u", F.xxhash64("u").alias("u_hash"))), "u_hash").where("t <> u")
     near = near.where(2 * _shared_letters(F.col("t"), F.col("u")) >= ratio * (F.length("t") + F.length("u")) - 1e-9)
     return near.select("t", "u").where(title_ratio("t", "u") >= ratio)
 
@@ -115,8 +121,8 @@ def similar_titles(rows: DataFrame, ratio: float = 0.95) -> DataFrame:
     t = rows.select("ord", title_key(F.col("title")).alias("t")).where("t <> ''")
     named = t.groupBy("t").agg(F.min("ord").alias("a"))
     other = named.select(F.col("t").alias("u"), F.col("a").alias("b"))
-    links = similar_keys(named.select("t"), other.select("u"), ratio).join(named, "t").join(other, "u").select("a", "b", F.lit(False).alias("equal"))
-    copies = t.join(named, "t").where("ord <> a").select(F.col("ord").alias("a"), F.col("a").alias("b"), F.lit(True).alias("equal"))
+    links = similar_keys(named.select("t"), other.select("u"), ratio).join(dealt(named), "t").join(dealt(other), "u").select("a", "b", F.lit(False).alias("equal"))
+    copies = t.join(dealt(named), "t").where("ord <> a").select(F.col("ord").alias("a"), F.col("a").alias("b"), F.lit(True).alias("equal"))
     return links.unionByName(copies)
 
 
@@ -149,12 +155,12 @@ def first_of_similar(rows: DataFrame, rank: Column, ratio: float = 0.95) -> Data
     state = members.select("ord").distinct().withColumn("keep", F.lit(None).cast("boolean")).checkpoint()  # every row has a label
     best = (F.min("open").alias("open"), F.min("kept").alias("kept"))
     while state.where("keep is null").limit(1).count():
-        at = members.join(state, "ord").select("g", F.when(F.col("keep").isNull(), F.col("rank")).alias("open"), F.when(F.col("keep"), F.col("rank")).alias("kept")).groupBy("g").agg(*best)
-        at = at.unionByName(links.join(at.withColumnRenamed("g", "h"), "h").select("g", "open", "kept")).groupBy("g").agg(*best)
+        at = members.join(dealt(state), "ord").select("g", F.when(F.col("keep").isNull(), F.col("rank")).alias("open"), F.when(F.col("keep"), F.col("rank")).alias("kept")).groupBy("g").agg(*best)
+        at = at.unionByName(links.join(dealt(at.withColumnRenamed("g", "h")), "h").select("g", "open", "kept")).groupBy("g").agg(*best)
         before = lambda c: F.max(F.coalesce(F.col(c) < F.col("rank"), F.lit(False))).alias(c)
-        near = members.join(at, "g").groupBy("ord").agg(before("open"), before("kept"))
-        state = state.join(near, "ord").select("ord", F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.col("kept"), False).when(~F.col("open"), True).alias("keep")).checkpoint()
-    return rows.join(state.where("keep"), "ord", "left_semi")
+        near = members.join(dealt(at), "g").groupBy("ord").agg(before("open"), before("kept"))
+        state = state.join(dealt(near), "ord").select("ord", F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.col("kept"), False).when(~F.col("open"), True).alias("keep")).checkpoint()
+    return rows.join(dealt(state.where("keep")), "ord", "left_semi")
 
 
 def duplicate_of_any(rows: DataFrame, others: DataFrame, ratio: float | None = 0.95) -> DataFrame:
@@ -162,12 +168,12 @@ def duplicate_of_any(rows: DataFrame, others: DataFrame, ratio: float | None = 0
     one of theirs; without a ratio, an equal one."""
     mine = rows.select("ord", F.explode(labels(rows)).alias("g"))
     theirs = others.select(F.explode(labels(others)).alias("g")).distinct()
-    hits = mine.join(theirs, "g", "left_semi").select("ord")
+    hits = mine.join(dealt(theirs), "g", "left_semi").select("ord")
     if ratio is not None:
         links = similar_keys(_titles(mine, "t"), _titles(theirs, "u"), ratio).select(F.concat(F.lit("t"), "t").alias("g"))
-        hits = hits.unionByName(mine.join(links, "g", "left_semi").select("ord"))
+        hits = hits.unionByName(mine.join(dealt(links), "g", "left_semi").select("ord"))
     hits = hits.distinct().withColumn("is_duplicate", F.lit(True))
-    return rows.select("ord").join(hits, "ord", "left").select("ord", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
+    return rows.select("ord").join(dealt(hits), "ord", "left").select("ord", F.coalesce("is_duplicate", F.lit(False)).alias("is_duplicate"))
 
 
 def window_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -77,3 +77,12 @@ def test_grams_of_a_row_once(spark):
 
     rows = spark.createDataFrame([(1, "aba", "ab"), (2, "", None)], "ord long, title string, content string")
     assert sorted(map(tuple, gram_index.ngrams(rows, "ord", "title", "content").collect())) == [(1, g) for g in ("a", "ab", "aba", "b", "ba")]
+
+
+def test_tables_of_titles_are_not_broadcast(spark):
+    from gleaner.operators import dedup
+
+    rows = spark.createDataFrame([(k, f"https://a.org/{k}", f"the steel mill of town number {k % 3}", f"text {k}") for k in range(6)], "ord long, url string, title string, content string")
+    some = [dedup.duplicate_of_any(rows.where("ord < 3"), rows.where("ord >= 3")), dedup.similar_titles(rows), dedup.first_of_similar(rows, F.col("ord"))]
+    assert [df.count() for df in some] == [3, 9, 1]
+    assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString() for df in some)
