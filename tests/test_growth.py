@@ -106,3 +106,19 @@ def test_a_part_of_the_stream_has_several_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(flows, "_FILE_ROWS", 50)
     got = sorted(map(tuple, flows.stream_seen_expiry(spark, str(tmp_path)).collect()))
     assert got == want and len(want) > 7 and len(list((tmp_path / "at" / "in").glob("part-*"))) == 8
+
+
+def test_few_pages_are_strings_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from gleaner.operators import extract
+
+    html = pa.array([None, *[f"<p>{k} {'steel mill ' * 2000}</p>" for k in range(300)]])
+    want = [extract.readable(x) for x in html.to_pylist()]
+    tracemalloc.start()
+    got = extract.readable_text.func(html)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == want and peak < html.nbytes / 2
