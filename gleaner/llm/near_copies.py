@@ -10,8 +10,11 @@ The order puts shingles that a sample of the texts has often last and goes by ha
 this one keeps the tries small.
 
 Pairs within one component need no check. A first round therefore checks, for each text, only the FIRST neighbouring leaves that it
-meets at fewest bits and the FIRST heaviest texts that it meets in most tries, which joins large groups of near copies in linear work; the walk then prunes node pairs all of whose texts are in
-one component. Of the pairs that it finds between two components, FIRST are checked first, and all others where these do not link the two.
+meets at fewest bits and the FIRST heaviest texts that it meets in most tries; the walk then prunes node pairs all of whose texts are in
+one component. Up to ROUNDS walks give no pairs but those of a least spanning forest of the components in their shard, by the bits in which
+sketches of 256 bits differ, which joins large groups of near copies in rows that grow with the texts. A last walk gives every pair
+that is left between two components and differs in no more than APART bits, six standard deviations above what the similarity makes expected;
+of these FIRST are checked first, and all others where they do not link the two.
 
 Defined edge cases: a text of fewer than five words is one shingle; texts without words are equal to each other; a row without
 an id links like any other and never names a component, and of a group without ids one row stays; rows of one doc_id are judged each by
@@ -29,11 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import cut, fresh, lean, map_texts
-from gleaner.llm.simhash import cells_of, components, majority, named, node_pairs, walk
+from gleaner.llm.simhash import cells_of, components, majority, named, node_pairs, star_forest, walk
 
 WIDTH, SIMILARITY, BUDGET = 5, 0.8, 26
+SKETCH = ["s0", "s1", "s2", "s3"]  # 256 bits of minima, of which two sets of the similarity differ in 26 +- 5
+ORDERS = np.random.default_rng(42).integers(0, 1 << 31, (64 * len(SKETCH), 1), np.uint32) << np.uint32(1) | np.uint32(1)
+APART, ROUNDS = 56, 3
 SAMPLE, COMMON = 2_000, 50_000
-CELL_ROWS, SHARD_ROWS, FIRST = 100_000, 200_000, 4
+CELL_ROWS, SHARD_ROWS, HOME_ROWS, FIRST = 100_000, 200_000, 2_000, 4
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -65,6 +71,32 @@ def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: floa
     return s[np.lexsort((s, late))][:len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
 
 
+def sketch(s: np.ndarray, chunk: int = 1 << 10) -> np.ndarray:
+    """A bit of the least value of a set under each of ORDERS, as longs: two sets differ in about (1 - similarity) / 2 of them."""
+    half = (s >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(ORDERS), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(s), chunk):
+        np.minimum(least, (ORDERS * half[at:at + chunk]).min(axis=1), out=least)
+    return np.packbits(np.bitwise_count(least) & 1).view(np.int64)
+
+
+def spanning(pairs: np.ndarray) -> np.ndarray:
+    """The least spanning forest of the components that `pairs` (u, v, their components, bits) join, by bits: fewer pairs than components."""
+    roots, at = np.unique(pairs[2:4], return_inverse=True)
+    order = np.lexsort((pairs[1], pairs[0], pairs[4]))
+    a, b = at.reshape(2, -1)[:, order]
+    label, live, chosen = np.arange(len(roots)), np.arange(len(order)), [np.empty(0, np.int64)]
+    while True:
+        live = live[label[a[live]] != label[b[live]]]
+        if not len(live):
+            return pairs[:, order[np.concatenate(chosen)]]
+        first = np.full(len(roots), len(order))  # the closest pair that leads out of each tree
+        np.minimum.at(first, label[a[live]], live)
+        np.minimum.at(first, label[b[live]], live)
+        chosen.append(np.unique(first[first < len(order)]))
+        label = star_forest(len(roots), label[a[chosen[-1]]], label[b[chosen[-1]]])[label]
+
+
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that stand in several texts of a sample, ascending, with their number of texts; at most COMMON."""
     every = max(1, docs.count() // SAMPLE)
@@ -101,11 +133,34 @@ def _seats(fps: DataFrame) -> DataFrame:
     return fps.select("set", "prefix").mapInArrow(run, "key long, set long")
 
 
+def _met(cells: pa.Table, budget: int, similarity: float):
+    """Pairs of sets of different components in the cells of one shard, as arrays (u, v, component of u, of v, bits of their sketches), in pieces."""
+    order, ranges, bit = node_pairs(cells)
+    fp, ids, n, root, *bits = (cells.column(c).to_numpy()[order] for c in ("fp", "set", "n", "root", *SKETCH))
+    for i, j in walk(fp.view(np.uint64), ranges, bit, budget, root):
+        d = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in bits)
+        ok = (np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9) & (d <= APART)
+        i, j = np.where(ids[i] < ids[j], i, j)[ok], np.where(ids[i] < ids[j], j, i)[ok]
+        yield np.stack([ids[i], ids[j], root[i], root[j], d[ok]])
+
+
+def _forest(budget: int, similarity: float):
+    """Of the pairs in the cells of one shard, those of a least spanning forest of its components."""
+    def run(cells: pa.Table) -> pa.Table:
+        held, size = [np.empty((5, 0), np.int64)], 0
+        for pairs in _met(cells, budget, similarity):
+            held.append(pairs)
+            size += pairs.shape[1]
+            if size > 1_000_000:
+                held, size = [spanning(np.concatenate(held, axis=1))], 0
+        return pa.table([pa.array(x, pa.int64()) for x in spanning(np.concatenate(held, axis=1))[:4]], names=["u", "v", "ru", "rv"])
+
+    return run
+
+
 def _candidates(budget: int, similarity: float):
-    """Pairs of sets of different components in the cells of one shard, with the number of keys in which they meet and the bits in which they differ."""
+    """All pairs in the cells of one shard, with the number of keys in which they meet and the bits in which their sketches differ."""
     def run(cells: pa.Table) -> pa.Table:
-        order, ranges, bit = node_pairs(cells)
-        fp, ids, n, root = (cells.column(c).to_numpy()[order] for c in ("fp", "set", "n", "root"))
         held, size = [np.empty((4, 0), np.int64)], 0  # u, v, number of keys, bits
 
         def merged():
@@ -114,11 +169,9 @@ def _candidates(budget: int, similarity: float):
             first = np.flatnonzero(np.concatenate([[True], (a[0, 1:] != a[0, :-1]) | (a[1, 1:] != a[1, :-1])])) if a.shape[1] else np.empty(0, np.int64)
             return np.stack([a[0, first], a[1, first], np.add.reduceat(a[2], first) if len(first) else a[2], a[3, first]])
 
-        for i, j in walk(fp.view(np.uint64), ranges, bit, budget, root):
-            ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
-            i, j = i[ok], j[ok]
-            held.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), np.ones(len(i), np.int64), np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)).astype(np.int64)]))
-            size += len(i)
+        for u, v, _, _, d in _met(cells, budget, similarity):
+            held.append(np.stack([u, v, np.ones(len(u), np.int64), d]))
+            size += len(u)
             if size > 2_000_000:
                 held, size = [merged()], 0
         u, v, c, d = merged()
@@ -128,7 +181,7 @@ def _candidates(budget: int, similarity: float):
 
 
 def links(docs: DataFrame, nodes: DataFrame, seats: DataFrame, similarity: float = SIMILARITY, budget: int = BUDGET, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links (u, v) between sets of `nodes` (set, rep, n, fp) that span the components of all pairs at `similarity` or above."""
+    """Links (u, v) between sets of `nodes` (set, rep, n, fp, and sketches) that span the components of all pairs at `similarity` or above."""
     turn = Window.partitionBy("key").orderBy("set").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     several = seats.withColumns({"lo": F.first("set").over(turn), "hi": F.last("set").over(turn), "size": F.count("*").over(turn)}).where("lo <> hi").select("key", "set", "size")
     # A set's weight is the number of rows that it meets; of a family of copies, the least edited one has the most.
@@ -186,13 +239,36 @@ def links(docs: DataFrame, nodes: DataFrame, seats: DataFrame, similarity: float
     first = cut(near.select(F.least("set", "g").alias("u"), F.greatest("set", "g").alias("v")).distinct())
     found = checked(first)
 
+    def mixed(rows, roots):
+        """Those rows, with their components, whose tries hold several."""
+        rooted = rows.join(roots, "set", "left").withColumn("root", F.coalesce("root", "set"))
+        keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        return rooted.join(keys, "key", "left_semi")
+
+    def shards(left):
+        """The cells of their tries, dealt out by shard: tries in which one component has most rows lie together, HOME_ROWS at a time, so that a pair comes from few shards."""
+        most = left.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("home"), F.sum("count").alias("rows"))
+        slices = most.groupBy("home").agg(F.ceil(F.sum("rows") / HOME_ROWS).alias("slices"))
+        homes = most.join(slices, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("slices"))).alias("home"))
+        count = max(64, left.count() // SHARD_ROWS)
+        return cells_of(left.join(homes, "key"), budget, cell_rows).withColumn("shard", F.pmod(F.xxhash64("home", "pa", "pb"), F.lit(count))).groupBy("shard", "depth")
+
+    # Then the closest pairs that span the components of each shard, fewer than its rows however many pairs it holds. Components in none of these have no pair left.
     roots = components(found).withColumnRenamed("node", "set")
-    rooted = shared.join(roots, "set", "left").select("key", "set", "fp", "n", F.coalesce("root", "set").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = cut(rooted.join(mixed, "key", "left_semi").distinct())
-    shards = max(64, left.count() // SHARD_ROWS)
-    cells = cells_of(left, budget, cell_rows).withColumn("shard", F.pmod(F.xxhash64("key", "pa", "pb"), F.lit(shards)))
-    pairs = cells.groupBy("shard", "depth").applyInArrow(lean(_candidates(budget, similarity)), "u long, v long, c long, d int")
+    left = cut(mixed(shared.select("key", "set", "fp", "n"), roots).distinct().join(nodes.select("set", *SKETCH), "set"))
+    for _ in range(ROUNDS):
+        forest = cut(shards(left).applyInArrow(lean(_forest(budget, similarity)), "u long, v long, ru long, rv long"))
+        ends = forest.select(F.col("ru").alias("root")).unionByName(forest.select(F.col("rv").alias("root"))).distinct()
+        left = cut(left.join(ends, "root", "left_semi"))
+        closest = cut(forest.select("u", "v").distinct().join(first, ["u", "v"], "left_anti"))
+        linked = checked(closest)
+        first = cut(first.unionByName(closest))
+        if linked.isEmpty():
+            break
+        found = cut(found.unionByName(linked))
+        roots = components(found).withColumnRenamed("node", "set")
+        left = cut(mixed(left.drop("root"), roots))
+    pairs = shards(left).applyInArrow(lean(_candidates(budget, similarity)), "u long, v long, c long, d int")
     size = nodes.select("set", "n")
     pairs = pairs.groupBy("u", "v").agg(F.sum("c").alias("c"), F.min("d").alias("d")).join(size.select(F.col("set").alias("u"), "n"), "u").join(size.select(F.col("set").alias("v"), F.col("n").alias("m")), "v")
     # What two sets share is in both prefixes or behind the prefix that ends first.
@@ -222,11 +298,11 @@ def _linked(docs: DataFrame, similarity: float = SIMILARITY, cell_rows: int = CE
     def rows(texts):
         sets = [shingles(t) for t in texts]
         return {"set": [digest(s) for s in sets], "n": [len(s) for s in sets], "fp": [int(np.array(majority(s), np.uint64).view(np.int64)) for s in sets],
-                "prefix": [prefix(s, *shared.value, similarity).tobytes() for s in sets]}
+                "prefix": [prefix(s, *shared.value, similarity).tobytes() for s in sets]} | dict(zip(SKETCH, np.array([sketch(s) for s in sets], np.int64).reshape(-1, len(SKETCH)).T))
 
     hashed = docs.select("doc_id", F.xxhash64("text").alias("at"), "text")
-    fps = cut(map_texts(hashed, ["doc_id", "at"], "text", "doc_id long, at long, set long, n int, fp long, prefix binary", rows))
-    nodes = cut(fps.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    fps = cut(map_texts(hashed, ["doc_id", "at"], "text", "doc_id long, at long, set long, n int, fp long, prefix binary, " + ", ".join(f"{c} long" for c in SKETCH), rows))
+    nodes = cut(fps.groupBy("set").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", *SKETCH)]))
     return fps.select("doc_id", "at", "set"), nodes, links(docs, nodes, _seats(fps), similarity, cell_rows=cell_rows)
 
 

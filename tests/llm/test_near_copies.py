@@ -1,6 +1,9 @@
 """Near copies of the pipeline's second stage against all pairs."""
 
 import random
+import uuid
+
+import numpy as np
 
 import corpus_pipeline
 from gleaner.llm import near_copies
@@ -83,3 +86,47 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
         assert len(owner) == 1 and owner.isdisjoint(texts)
         texts |= dict.fromkeys(owner)
     assert len(texts) == len(least)
+
+
+def test_walks_give_rows_that_grow_with_the_texts(spark, monkeypatch, tmp_path):
+    """Texts that have one passage in common that the sample misses, and a chain of edited copies: no walk gives a pair for each two of them."""
+    lean = near_copies.lean
+
+    def counted(f):
+        g = lean(f)
+
+        def run(group):
+            out = g(group)
+            (tmp_path / uuid.uuid4().hex).write_text(str(out.num_rows))
+            return out
+
+        return run
+
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    monkeypatch.setattr(near_copies, "_common", lambda docs: none)
+    monkeypatch.setattr(near_copies, "lean", counted)
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(100_000)}"
+    passage = [word() for _ in range(14)]
+    texts = [passage + [word() for _ in range(24)] for _ in range(700)]
+    copy = [word() for _ in range(140)]
+    for _ in range(100):
+        copy = list(copy)
+        copy[r.randrange(len(copy))] = word()
+        texts.append(copy)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {a.doc_id: a.component_id for a in near_copies.grouped(docs).collect()}
+    assert got == {i: min(i, 700) for i in range(len(texts))}
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) < 2 * len(texts)
+
+
+def test_spanning_forest_joins_all_components_by_the_closest_pairs():
+    r = np.random.default_rng(2)
+    u, v, d = r.integers(0, 300, 4000), r.integers(300, 600, 4000), r.integers(0, 56, 4000)
+    pairs = np.stack([u, v, u // 3, v // 3, d])
+    label, weight = {x: x for x in range(200)}, 0  # one pair after the other, closest first
+    for a, b, bits in sorted(zip(pairs[2], pairs[3], d), key=lambda x: x[2]):
+        if label[a] != label[b]:
+            label, weight = {x: label[b] if y == label[a] else y for x, y in label.items()}, weight + bits
+    got = near_copies.spanning(pairs)
+    assert got.shape[1] == 200 - len(set(label.values())) and got[4].sum() == weight
