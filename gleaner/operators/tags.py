@@ -25,7 +25,7 @@ def normalize_tag(tag: Column) -> Column:
 def clean_tags(tags: Column, title: Column, summary: Column, content: Column, stop_words=C.STOP_WORDS, most: int = 4, entities: Column | None = None, taxonomy: Column | None = None) -> Column:
     """At most `most` tags of one or two words, normalised, distinct, that occur in the article or in an entry of `entities` or `taxonomy`, or hold
     such an entry of three letters and more. Without these lists every tag passes where title, summary and content are all blank."""
-    text = match_key(F.concat_ws(" ", blank(title), blank(summary), F.substring(blank(content), 1, 2000)))
+    text = match_key(F.concat_ws(" ", blank(title), blank(summary), blank(content)))
     raw = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.trim(F.regexp_replace(blank(t), "[^\\p{L}\\p{N}_\\s-]", "")))
     ok = F.filter(raw, lambda t: (t != "") & (F.size(F.split(t, "\\s+")) <= 2) & ~F.forall(F.split(t, "\\s+"), lambda w: w.rlike("^[0-9]+$")) & ~F.forall(F.split(t, "\\s+"), lambda w: F.lower(w).isin(*stop_words)))
     made = F.transform(ok, lambda t: once(normalize_tag(t), lambda n: F.struct(match_key(n).alias("k"), n.alias("t"))))

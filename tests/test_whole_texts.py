@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import dedup, library, mining
+from gleaner.operators import dedup, library, mining, tags
 from gleaner.plans import registry
 
 
@@ -51,3 +51,8 @@ def test_similar_titles_with_spread_edits(spark):
     assert len(want) > 12
     rows = spark.createDataFrame(list(enumerate(titles)), "ord long, title string")
     assert {(x.a, x.b) for x in dedup.similar_titles(rows).collect()} == want
+
+
+def test_tags_behind_character_2000(spark):
+    rows = spark.createDataFrame([(["Kilns", "absent"], "t", "it is so. " * 300 + "hot kilns")], "tags array<string>, title string, content string")
+    assert rows.select(tags.clean_tags(F.col("tags"), F.col("title"), F.lit(""), F.col("content")).alias("x")).first().x == ["Kiln"]
