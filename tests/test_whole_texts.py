@@ -56,3 +56,19 @@ def test_similar_titles_with_spread_edits(spark):
 def test_tags_behind_character_2000(spark):
     rows = spark.createDataFrame([(["Kilns", "absent"], "t", "it is so. " * 300 + "hot kilns")], "tags array<string>, title string, content string")
     assert rows.select(tags.clean_tags(F.col("tags"), F.col("title"), F.lit(""), F.col("content")).alias("x")).first().x == ["Kiln"]
+
+
+def test_phrases_of_texts_of_one_url_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    text = "Steel mill heats. Coal pit and Ore Works of Acme\nkiln halls, machine learning AIs"
+    texts = [(0, "steel mills of the town"), (1, text), (2, text), (3, "kiln halls hum"), (4, None)]  # equal texts, as the SQL leaves the order of two words at one place open
+    spark.createDataFrame([(k, t, "en", "s") for k, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, "https://a.org/" + str(k - k // 2)) for k in range(4)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.sql("select 1L event_id, timestamp'2024-01-05 00:00:00' ts").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "pages", "events"):
+        con.sql(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = sorted(map(tuple, registry.phrase_stats(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(f"select canonical, freq, articles, proper from ({registry.ORACLES['phrase_stats']})").fetchall())
+    assert {"mill mill heat", "artificial intelligence"} <= {x[0] for x in got}
