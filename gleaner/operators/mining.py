@@ -128,13 +128,6 @@ def phrase_counts(phrases: DataFrame, key: str = "url") -> DataFrame:
     return phrases.groupBy("canonical", "phrase", key).agg(F.count("*").alias("n"), F.max("proper").alias("proper"))
 
 
-def keywords(phrases: DataFrame, most: int = 150, key: str = "url") -> DataFrame:
-    """(canonical, casing, score) of the `most` phrases of highest composite score; only their spellings are counted, in a second pass over the texts."""
-    best = composite(phrase_stats(phrases, key)).orderBy(F.desc("score"), "canonical").limit(most)
-    casings = best_casing(phrases.join(F.broadcast(best.select("canonical")), "canonical", "left_semi"))
-    return best.join(F.broadcast(casings), "canonical").select("canonical", "casing", "score").orderBy(F.desc("score"), "canonical")
-
-
 def phrase_stats(phrases: DataFrame, key: str = "url") -> DataFrame:
     """(canonical, freq, articles, proper); phrases are dealt out once, by name, and counted where they lie."""
     return phrases.select("canonical", key, "proper").repartition("canonical").groupBy("canonical").agg(F.count("*").alias("freq"), F.countDistinct(key).alias("articles"), F.max("proper").alias("proper"))

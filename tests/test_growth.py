@@ -137,3 +137,17 @@ def test_phrases_are_dealt_out_as_counts(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 500
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(canonical" not in plan and "hashpartitioning(share" in plan
+
+
+def test_keywords_are_mined_without_phrases_as_rows(spark, monkeypatch):
+    from gleaner.operators import mining
+    from gleaner.plans import registry
+
+    rows = spark.createDataFrame([(k, f"u{k % 3}", "Steel Mill", "Acme steel mills heat. steel MILL and EVs, AI; the Bank of New York") for k in range(4)], "ord long, url string, title string, content string")
+    monkeypatch.setattr(registry, "articles", lambda spark, sf: rows.where("ord < 3"))
+    text = F.concat_ws(" . ", "title", "content")
+    phrases = mining.phrase_rows(rows.where("ord < 3"), text)
+    best = mining.composite(mining.phrase_stats(phrases)).join(mining.best_casing(phrases), "canonical")
+    got = registry.keyword_composite_top150(spark, "")
+    assert {tuple(x) for x in got.collect()} == {tuple(x) for x in best.select("canonical", "casing", "score").collect()} and got.count() > 10
+    assert "regexp_extract_all" not in _plan(got)
