@@ -173,3 +173,17 @@ def test_keywords_in_parts(spark, monkeypatch):
     monkeypatch.setattr(match, "WORDS", 3, raising=False)
     found = match.whole_words(texts, words, "ord")
     assert sorted(map(tuple, found.collect())) == sorted((k, f"word{j}") for k in range(9) for j in (k, k + 1)) and _plan(found).count("MapInArrow") == 4
+
+
+def test_candidates_are_looked_for_among_rows_that_pass(spark):
+    from gleaner.operators import match
+    from gleaner.sources import views
+
+    pool = spark.createDataFrame([(3, "u", "ore", "en"), (1, "u", "tin", "en"), (2, "u", "ore", "de"), (4, "v", "ore", "en"), (5, "", "ore", "en"), (6, "w", "tin", "en")], "ord long, url string, title string, lang string")
+    words, cached = spark.createDataFrame([("ore",)], "keyword string"), spark.createDataFrame([("w", ["Ore"]), ("u", [])], "url string, keywords array<string>")
+    seen = spark.createDataFrame([("v",)], "url string").selectExpr("sha2(url, 256) url_hash")
+    got = match.candidates(pool, words, cached, seen, F.col("lang") == "en", ("title",))
+    assert sorted((r.ord, r.keywords) for r in got.collect()) == [(3, None), (6, ["Ore"])]
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    titles = views.articles(spark, "/root/testdata/sf0.001").select("ord", "title")
+    assert "split_part" not in _plan(titles).split("Join", 1)[0]  # a title is made before rows are dealt out
